@@ -52,7 +52,7 @@ def text_or_empty(column: str = "text") -> Column:
 
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a frame's bytes; for a file scan that is the files' size, from metadata alone."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 # ---------------------------------------------------------------- Arrow batches
