@@ -114,45 +114,93 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 # ---------------------------------------------------------------- packed segments
 class Packer:
-    """Gathers (bucket, row key, start, flag, bytes) and hands them out as one compressed blob a bucket."""
+    """Gathers (bucket, row key, start, anchor key, bytes) and hands them out as one compressed blob a bucket."""
 
     def __init__(self, buckets: int):
         self.buckets, self.parts, self.size = buckets, {}, 0
 
-    def add(self, bucket: int, doc: int, text_hash: int, start: int, flag: int, data: bytes) -> None:
+    def add(self, bucket: int, doc: int, text_hash: int, start: int, key: int, data: bytes) -> None:
         p = self.parts.get(bucket)
         if p is None:
             p = self.parts[bucket] = ([], [], [], [], [])
         p[0].append(doc)
         p[1].append(text_hash)
         p[2].append(start)
-        p[3].append(flag)
+        p[3].append(key)
         p[4].append(data)
-        self.size += len(data) + 29
+        self.size += len(data) + 40
 
     def flush(self) -> Iterator[tuple[int, bytes]]:
         import zstandard
 
         z = zstandard.ZstdCompressor(level=3)
-        for bucket, (doc, th, start, flag, data) in self.parts.items():
-            head = struct.pack("<q", len(doc)) + np.array(doc, np.int64).tobytes() + np.array(th, np.int64).tobytes() + np.array(start, np.int64).tobytes() + np.array(flag, np.int8).tobytes() + np.fromiter(map(len, data), np.int64, len(data)).tobytes()
+        for bucket, (doc, th, start, key, data) in self.parts.items():
+            head = struct.pack("<q", len(doc)) + np.array(doc, np.int64).tobytes() + np.array(th, np.int64).tobytes() + np.array(start, np.int64).tobytes() + np.array(key, np.int64).tobytes() + np.fromiter(map(len, data), np.int64, len(data)).tobytes()
             yield bucket, z.compress(head + b"".join(data))
         self.parts, self.size = {}, 0
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """doc, text hash, start, flag, length of each segment, and their bytes in one string."""
+    """doc, text hash, start, key, length of each segment, and their bytes in one string."""
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = struct.unpack_from("<q", raw)[0]
     at, out = 8, []
-    for kind in (np.int64, np.int64, np.int64, np.int8, np.int64):
+    for kind in (np.int64,) * 5:
         out.append(np.frombuffer(raw, kind, n, at))
         at += n * np.dtype(kind).itemsize
     return (*out, raw[at:])
 
 
+def pack_runs(runs: list[tuple[int, int, int, int]]) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(np.array(runs, np.int64).reshape(-1, 4).T).tobytes())
+
+
+def unpack_runs(blob: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64).reshape(4, -1)
+
+
+PACKED, RUNS = "bucket int, known boolean, blob binary", "doc_id long, th long, start long, stop long"
+#: Runs in one blob of known ones.
+KNOWN_RUNS = 20_000
+
+
+def packed_rows(packer: Packer, known: list[tuple[int, int, int, int]]) -> Iterator[pa.RecordBatch]:
+    """Empty both into rows of PACKED: segments for their buckets, and runs that need no bucket, spread over all."""
+    for bucket, blob in packer.flush():
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([False]), pa.array([blob], pa.binary())], ["bucket", "known", "blob"])
+    for i in range(0, len(known), KNOWN_RUNS):
+        bucket = abs(known[i][1]) % packer.buckets
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([True]), pa.array([pack_runs(known[i : i + KNOWN_RUNS])], pa.binary())], ["bucket", "known", "blob"])
+    known.clear()
+
+
+def resolve(table: pa.Table, find) -> pa.Table:
+    """Runs of one bucket: the known ones as they are, and those that `find` makes of the packed segments."""
+    known, blobs = table.column("known").to_pylist(), table.column("blob").to_pylist()
+    found = [unpack_runs(b) for k, b in zip(known, blobs) if k]
+    packed = [b for k, b in zip(known, blobs) if not k]
+    del blobs
+    if packed:
+        found.append(np.array(find(packed), np.int64).reshape(4, -1))
+    cols = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+    return pa.table([pa.array(np.ascontiguousarray(c)) for c in cols], ["doc_id", "th", "start", "stop"])
+
+
+def runs_by_document(base: DataFrame, send, find, buckets: int) -> DataFrame:
+    """base (doc_id, th, text) with `runs`: one shuffle of packed segments, one of runs and one of texts."""
+    tasks = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 16)
+    runs = base.mapInArrow(send, PACKED).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(lambda t: resolve(t, find), RUNS)
+    runs = runs.groupBy(F.col("doc_id").alias("key"), "th").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    keyed = base.withColumn("key", F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max)))
+    return keyed.join(runs.hint("shuffle_hash"), ["key", "th"], "left").select("doc_id", "text", "runs")
+
+
 def merge_runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Join overlapping or touching [start, end) runs; the input need not be sorted."""
     if not len(start):
