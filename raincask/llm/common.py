@@ -55,6 +55,25 @@ def size_in_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+#: A key with more than 1/HOT_KEYS of the rows is hot; there can be at most HOT_KEYS of those.
+HOT_KEYS = 256
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, salt: Column) -> DataFrame:
+    """Left join on a unique key of `table`, whose column `count` says how many of the `total` rows have it.
+
+    Hot keys, HOT_KEYS at most, come by broadcast; the others by a shuffle in which the rows of hot keys
+    are dealt out by `salt` instead. Keys are non-null strings or longs.
+    """
+    least = total // HOT_KEYS + 1
+    values = [c for c in table.columns if c not in (key, count)]
+    hot = F.broadcast(table.where(F.col(count) >= least).select(F.col(key), F.lit(True).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in values)))
+    cold = table.where(F.col(count) < least).select(F.col(key).cast("string").alias("_key"), *(F.col(c).alias(f"_cold_{c}") for c in values))
+    met = rows.join(hot, key, "left").withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key).cast("string")).otherwise(F.concat(F.lit("salt "), F.hex(F.xxhash64(salt)))))
+    out = met.join(cold, "_key", "left")
+    return out.select(*rows.columns, *(F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in values))
+
+
 # ---------------------------------------------------------------- Arrow batches
 def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece holds at most `most` bytes of `column`, one row at least."""
