@@ -12,7 +12,6 @@ once a batch, not once a document.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +20,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Packer, merge_runs, mix, slices, sliding_min, size_in_bytes, text_or_empty, unpack
+from .common import Packer, merge_runs, mix, packed_rows, runs_by_document, size_in_bytes, slices, sliding_min, text_or_empty, unpack
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Packed bytes gathered before a batch's buckets are sent; bytes of input for each bucket.
-FLUSH_BYTES, BUCKET_BYTES = 96 << 20, 4 << 20
-RUNS = "doc_id long, th long, start long, stop long"
+FLUSH_BYTES, BUCKET_BYTES = 24 << 20, 4 << 20
 
 
 def words_of(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -69,8 +67,8 @@ def super_kmers(hashes: np.ndarray, counts: np.ndarray, window: int, gram: int)
     return text[starts], starts, ends - starts, least[starts]
 
 
-def repeated_windows(blobs: list[bytes], window: int) -> Iterator[tuple[int, int, int, int]]:
-    """(doc, text hash, start, stop): words of each packed segment under windows that a smaller id has too."""
+def repeated_windows(blobs: list[bytes], window: int) -> tuple:
+    """Arrays doc, text hash, start, stop: words of each packed segment under windows that a smaller id has too."""
     parts = [unpack(b) for b in blobs]
     doc, th, first, _, length = (np.concatenate([p[i] for p in parts]) for i in range(5))
     data = b"".join(p[5] for p in parts)
@@ -102,18 +100,18 @@ def repeated_windows(blobs: list[bytes], window: int) -> Iterator[tuple[int, int
         if all((codes[word[order] + k] == codes[word[order[lead]] + k]).all() for k in range(window)):
             break  # equal hashes are equal windows; otherwise try another hash
     if not len(order):
-        return
+        return ((),) * 4
     ids = doc[segment[order]]
     least = np.minimum.reduceat(ids, heads)[np.cumsum(np.r_[False, group[1:] != group[:-1]])]
     gone = np.sort(order[ids > least])
     if not len(gone):
-        return
+        return ((),) * 4
     seg, pos = segment[gone], place[gone]
     new = np.r_[True, (seg[1:] != seg[:-1]) | (pos[1:] > pos[:-1] + window)]
     head = np.flatnonzero(new)
     last = np.r_[head[1:], len(gone)] - 1
-    for s, a, b in zip(seg[head].tolist(), pos[head].tolist(), pos[last].tolist()):
-        yield int(doc[s]), int(th[s]), int(first[s]) + a, int(first[s]) + b + window
+    s = seg[head]
+    return doc[s], th[s], first[s] + pos[head], first[s] + pos[last] + window
 
 
 def _send(window: int, gram: int, buckets: int):
@@ -122,15 +120,6 @@ def _send(window: int, gram: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, seen, local = Packer(buckets), {}, []
 
-        def flush():
-            rows = list(packer.flush())
-            kinds = [(b, blob, None, None, None, None) for b, blob in rows] + [(None, None, *x) for x in local]
-            seen.clear()
-            local.clear()
-            if kinds:
-                cols = list(zip(*kinds))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["bucket", "blob", "doc_id", "th", "start", "stop"])
-
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 ids = pc.fill_null(part.column(0), top)
@@ -151,23 +140,18 @@ def _send(window: int, gram: int, buckets: int):
                     s = joined[a[i] : b[i]]
                     known = seen.get(s)
                     if known is not None and known < owner[i]:
-                        local.append((owner[i], hashed[i], at[i], stop[i]))
+                        mine = (owner[i], hashed[i], at[i], stop[i])
+                        if local and local[-1][:2] == mine[:2] and local[-1][2] <= mine[2] <= local[-1][3]:
+                            mine = (*local.pop()[:3], mine[3])
+                        local.append(mine)
                         continue
                     if known is None or known > owner[i]:
                         seen[s] = owner[i]
                     packer.add(bucket[i], owner[i], hashed[i], at[i], 0, s)
-                if packer.size + 24 * len(local) > FLUSH_BYTES:
-                    yield from flush()
-        yield from flush()
-
-    return run
-
-
-def _sort(window: int):
-    def run(table: pa.Table) -> pa.Table:
-        rows = list(repeated_windows(table.column("blob").to_pylist(), window))
-        cols = list(zip(*rows)) if rows else [[]] * 4
-        return pa.table([pa.array(c, pa.int64()) for c in cols], ["doc_id", "th", "start", "stop"])
+                if packer.size + 200 * len(local) > FLUSH_BYTES:
+                    seen.clear()
+                    yield from packed_rows(packer, local)
+        yield from packed_rows(packer, local)
 
     return run
 
@@ -202,18 +186,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 3, id_col: st
     one document for this rule: none of them removes words of another. Texts shorter than a window
     stay as they are, an empty table gives no rows, and other columns are ignored.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("th"), text_or_empty(text_col).alias("text"))
     buckets = max(64, size_in_bytes(docs) // BUCKET_BYTES)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 16)
-    sent = base.mapInArrow(_send(window, gram, buckets), "bucket int, blob binary, " + RUNS)
-    from .common import materialise
-
-    sent = materialise(sent, "super-k-mers")
-    found = sent.where("bucket IS NOT NULL").select("bucket", "blob").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_sort(window), RUNS)
-    runs = sent.where("bucket IS NULL").select("doc_id", "th", "start", "stop").unionByName(found)
-    runs = runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-    top = np.iinfo(np.int64).max
-    keyed = base.withColumn("key", F.coalesce("doc_id", F.lit(top)))
-    joined = keyed.join(runs.hint("shuffle_hash").withColumnsRenamed({"doc_id": "key", "th": "hash"}).withColumnRenamed("hash", "th"), ["key", "th"], "left").select("doc_id", "text", "runs")
+    joined = runs_by_document(base, _send(window, gram, buckets), lambda blobs: repeated_windows(blobs, window), buckets)
     return joined.mapInArrow(_cut, "doc_id long, n_words long, spans array<struct<start: long, stop: long>>, kept_text string")
