@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import documents
 from .exact_dedup import exact_dedup
 from .packing import pack
+from .quality import score_quality
 from .sharding import shard
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup
@@ -28,6 +29,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(documents(spark, sf_dir), words=4, most=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -49,6 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op6_packing": op6_packing,
     "op9_exact_dedup": op9_exact_dedup,
