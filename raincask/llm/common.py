@@ -74,6 +74,17 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total:
     return out.select(*rows.columns, *(F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in values))
 
 
+def may_match(rows: DataFrame, keys: DataFrame, hashed: Column, bits: int = 1 << 24) -> DataFrame:
+    """Rows whose `hashed` (a long) may be among the long column `key` of `keys`: no false negatives.
+
+    The filter is one field of `bits` positions, kept as at most bits / 64 words, so its broadcast is
+    bounded whatever the number of keys; with too many keys it lets more rows through.
+    """
+    words = keys.select(F.pmod("key", F.lit(bits)).alias("pos")).distinct().groupBy(F.shiftright("pos", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos & 63 as int))")).alias("_mask"))
+    probed = rows.withColumn("_pos", F.pmod(hashed, F.lit(bits))).withColumn("_word", F.shiftright("_pos", 6)).join(F.broadcast(words), "_word")
+    return probed.where(F.expr("_mask & shiftleft(1L, cast(_pos & 63 as int)) != 0")).select(*rows.columns)
+
+
 # ---------------------------------------------------------------- Arrow batches
 def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece holds at most `most` bytes of `column`, one row at least."""
