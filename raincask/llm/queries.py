@@ -11,6 +11,7 @@ from .common import documents
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .packing import pack
+from .pii import KINDS, find_pii, written
 from .quality import score_quality
 from .sharding import shard
 from .simhash import simhash_components
@@ -47,6 +48,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), capacity=2048)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_pii(documents(spark, sf_dir))
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    counts = [count(k) for k in range(len(KINDS))]
+    return out.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -63,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
+    "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_sharding": op10_sharding,
 }
