@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import documents
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
+from .lm_score import lm_score
 from .packing import pack
 from .pii import KINDS, find_pii, written
 from .quality import score_quality
@@ -48,6 +49,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), capacity=2048)
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(documents(spark, sf_dir), order=3, backoff=0.4)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_pii(documents(spark, sf_dir))
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
+    "op7_lm_score": op7_lm_score,
     "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_sharding": op10_sharding,
