@@ -74,15 +74,28 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total:
     return out.select(*rows.columns, *(F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in values))
 
 
+def _probed(rows: DataFrame, keys: DataFrame, hashed: Column, bits: int) -> tuple[DataFrame, Column]:
+    words = keys.select(F.pmod("key", F.lit(bits)).alias("pos")).distinct().groupBy(F.shiftright("pos", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos & 63 as int))")).alias("_mask"))
+    probed = rows.withColumn("_pos", F.pmod(hashed, F.lit(bits))).withColumn("_word", F.shiftright("_pos", 6)).join(F.broadcast(words), "_word", "left")
+    return probed, F.expr("coalesce(_mask & shiftleft(1L, cast(_pos & 63 as int)), 0L) != 0")
+
+
 def may_match(rows: DataFrame, keys: DataFrame, hashed: Column, bits: int = 1 << 24) -> DataFrame:
     """Rows whose `hashed` (a long) may be among the long column `key` of `keys`: no false negatives.
 
     The filter is one field of `bits` positions, kept as at most bits / 64 words, so its broadcast is
     bounded whatever the number of keys; with too many keys it lets more rows through.
     """
-    words = keys.select(F.pmod("key", F.lit(bits)).alias("pos")).distinct().groupBy(F.shiftright("pos", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos & 63 as int))")).alias("_mask"))
-    probed = rows.withColumn("_pos", F.pmod(hashed, F.lit(bits))).withColumn("_word", F.shiftright("_pos", 6)).join(F.broadcast(words), "_word")
-    return probed.where(F.expr("_mask & shiftleft(1L, cast(_pos & 63 as int)) != 0")).select(*rows.columns)
+    probed, hit = _probed(rows, keys, hashed, bits)
+    return probed.where(hit).select(*rows.columns)
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", bits: int = 1 << 24) -> DataFrame:
+    """Rows of docs whose id is not in `gone`. Only rows that a filter of fixed size can't clear take part in a join."""
+    hashed = F.coalesce(F.xxhash64(id_col), F.lit(0))
+    keys = gone.select(F.xxhash64(F.col(id_col).cast(docs.schema[id_col].dataType)).alias("key"))
+    probed, hit = _probed(docs, keys, hashed, bits)
+    return probed.where(~hit).select(*docs.columns).unionByName(probed.where(hit).select(*docs.columns).join(gone.select(id_col).distinct(), id_col, "left_anti").select(*docs.columns))
 
 
 # ---------------------------------------------------------------- Arrow batches

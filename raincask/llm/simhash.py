@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import join_counted, materialise, mix, slices, text_or_empty
 from .components import components
-from .substring_dedup import words_of
+from .substring_dedup import word_hashes, words_of
 
 SLICE_BYTES = 4 << 20
 #: Generator polynomial of the binary Golay code of length 23 (fixed value).
@@ -44,9 +44,8 @@ def fingerprints(text: pa.Array, words: int) -> np.ndarray:
 
     digest = xxhash.xxh64_intdigest
     flat, counts = words_of(pc.ascii_lower(text))
-    out = np.zeros(len(counts), np.uint64)
     if not len(flat):
-        return out
+        return np.zeros(len(counts), np.uint64)
     joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat), " ")[0].as_buffer().to_pybytes()
     offset = np.r_[0, np.cumsum(pc.binary_length(flat).to_numpy().astype(np.int64) + 1)]
     shingles = np.where(counts > 0, np.maximum(counts - words + 1, 1), 0)
@@ -54,19 +53,41 @@ def fingerprints(text: pa.Array, words: int) -> np.ndarray:
     first = (np.cumsum(counts) - counts)[text_of] + np.arange(len(text_of)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
     last = np.minimum(first + words, np.cumsum(counts)[text_of])
     hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(offset[first].tolist(), (offset[last] - 1).tolist())), np.uint64, len(first))
-    full = np.flatnonzero(shingles)
-    starts = (np.cumsum(shingles) - shingles)[full]
+    return majority(hashes, shingles)
+
+
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Bits set in over half of each text's hashes; a text without any has none set."""
+    out = np.zeros(len(counts), np.uint64)
+    full = np.flatnonzero(counts)
+    if not len(full):
+        return out
+    starts = (np.cumsum(counts) - counts)[full]
     votes = np.zeros((len(full), 64), np.int64)
-    step = 1 << 16  # shingles at a time: bits of each, summed by text
+    step = 1 << 16  # hashes at a time: bits of each, summed by text
     for i in range(0, len(hashes), step):
         bits = np.unpackbits(hashes[i : i + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         lo, hi = np.searchsorted(starts, i, "right") - 1, np.searchsorted(starts, i + len(bits), "left")
         votes[lo:hi] += np.add.reduceat(bits, np.maximum(starts[lo:hi] - i, 0), axis=0, dtype=np.int32)
-    majority = votes * 2 > shingles[full][:, None]
-    out[full] = np.packbits(majority, axis=1, bitorder="little").view(np.uint64).ravel()
+    most = votes * 2 > counts[full][:, None]
+    out[full] = np.packbits(most, axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
+def word_fingerprints(text: pa.Array, seeds: int) -> list[np.ndarray]:
+    """One SimHash for each seed over the distinct words of each text, in lower case and without outer punctuation."""
+    flat, counts = words_of(pc.utf8_lower(text))
+    flat = pc.utf8_trim(flat, characters="".join(map(chr, range(0x21, 0x30))) + ":;<=>?@[\\]^_`{|}~")
+    if not len(flat):
+        return [np.zeros(len(counts), np.uint64)] * seeds
+    coded = flat.dictionary_encode()
+    each = word_hashes(coded.dictionary)
+    pairs = np.unique(np.repeat(np.arange(len(counts)), counts) * np.int64(len(each)) + coded.indices.to_numpy())
+    doc, code = pairs // len(each), pairs % len(each)
+    n = np.bincount(doc, minlength=len(counts))
+    return [majority(mix(each[code] + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))), n) for k in range(seeds)]
+
+
 def _fingerprint(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
