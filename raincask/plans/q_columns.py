@@ -191,14 +191,14 @@ THEMES = {"rain": ["l_quantity", "l_extendedprice"], "terrain": ["l_discount"],
 
 
 @query("p31_driver_themes", """WITH c AS (SELECT l_orderkey, CAST(sum(l_quantity - 25) * 100 + sum(l_extendedprice - 1000) / 1000 AS DOUBLE) AS rain, sum(l_discount - 0.05) * 1000 AS terrain, sum(l_tax - 0.04) * 900 AS moisture FROM lineitem GROUP BY 1),
-    u AS (SELECT l_orderkey, 'rain' AS theme, round(rain + 1e-5, 2) AS v FROM c UNION ALL SELECT l_orderkey, 'terrain', round(terrain + 1e-5, 2) FROM c UNION ALL SELECT l_orderkey, 'moisture', round(moisture + 1e-5, 2) FROM c)
+    u AS (SELECT l_orderkey, 'rain' AS theme, round(rain + 3e-6, 2) AS v FROM c UNION ALL SELECT l_orderkey, 'terrain', round(terrain + 3e-6, 2) FROM c UNION ALL SELECT l_orderkey, 'moisture', round(moisture + 3e-6, 2) FROM c)
     SELECT l_orderkey, theme, v AS contribution, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(v) DESC, theme) AS rank FROM u) WHERE rank <= 2""")
 def p31(spark, d):
     """Contributions summed by theme, the strongest first."""
     from pyspark.sql.window import Window
 
     c = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_quantity") - 25).alias("q"), F.sum(F.col("l_extendedprice") - 1000).alias("e"), F.sum(F.col("l_discount") - 0.05).alias("s"), F.sum(F.col("l_tax") - 0.04).alias("t"))
-    themed = F.explode(F.create_map(F.lit("rain"), F.round(F.col("q") * 100 + F.col("e") / 1000 + 1e-5, 2), F.lit("terrain"), F.round(F.col("s") * 1000 + 1e-5, 2), F.lit("moisture"), F.round(F.col("t") * 900 + 1e-5, 2))).alias("theme", "contribution")
+    themed = F.explode(F.create_map(F.lit("rain"), F.round(F.col("q") * 100 + F.col("e") / 1000 + 3e-6, 2), F.lit("terrain"), F.round(F.col("s") * 1000 + 3e-6, 2), F.lit("moisture"), F.round(F.col("t") * 900 + 3e-6, 2))).alias("theme", "contribution")
     ranked = c.select("l_orderkey", themed).withColumn("rank", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.abs("contribution").desc(), "theme")))
     return ranked.where("rank <= 2").select("l_orderkey", "theme", "contribution", "rank")
 
