@@ -1 +1,182 @@
+"""Queries of the model ladder."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import models as M
+from ..operators.lookup import fallback_lookup
+from ..operators.scores import rounded as R6
+from .book import query
+from .views import ladder, sql, table
+
+L = "SELECT *, CASE WHEN year <= 1998 THEN 'train' WHEN year = 1999 THEN 'val' ELSE 'test' END AS split FROM ladder"
+IDS = ["lead", "iy", "ix", "year", "l_orderkey", "l_partkey", "l_suppkey"]
+
+
+def split(spark, d):
+    return M.split(ladder(spark, d))
+
+
+@query("m00_raw", sql("SELECT lead, year, count(*) AS n, round(sum(tp), 4) AS total FROM ladder GROUP BY 1, 2", "ladder"))
+def m00(spark, d):
+    return R6(ladder(spark, d).groupBy("lead", "year").agg(F.count("*").alias("n"), F.sum("tp").alias("total")), 4)
+
+
+RATIO = f"l AS ({L}), r AS (SELECT lead, iy, ix, least(greatest((sum(obs) + 50) / (sum(tp) + 50), 0.2), 5.0) AS ratio FROM l WHERE split = 'train' GROUP BY 1, 2, 3)"
+
+
+@query("a20_ratio_table", sql(f"WITH {RATIO} SELECT lead, iy, ix, round(ratio, 6) AS ratio FROM r", "ladder"))
+def a20(spark, d):
+    return R6(M.ratio_table(split(spark, d).where("split = 'train'"), ["lead", "iy", "ix"]))
+
+
+@query("m01_ratio_model", sql(f"WITH {RATIO} SELECT lead, iy, count(*) AS n, round(avg(tp * coalesce(ratio, 1.0)), 5) AS mean, round(sqrt(avg(pow(tp * coalesce(ratio, 1.0) - obs, 2))), 5) AS rmse FROM l LEFT JOIN r USING (lead, iy, ix) WHERE split = 'test' GROUP BY 1, 2", "ladder"))
+def m01(spark, d):
+    s = split(spark, d)
+    r = M.ratio_table(s.where("split = 'train'"), ["lead", "iy", "ix"])
+    p = s.where("split = 'test'").join(r, ["lead", "iy", "ix"], "left").withColumn("p", F.col("tp") * F.coalesce("ratio", F.lit(1.0)))
+    e = F.col("p") - F.col("obs")
+    return R6(p.groupBy("lead", "iy").agg(F.count("*").alias("n"), F.avg("p").alias("mean"), F.sqrt(F.avg(e * e)).alias("rmse")), 5)
+
+
+LEVELS = "[" + ", ".join(f"{q!r}" for q in M.UNIFORM) + "]"
+TAILS = "[" + ", ".join(f"{q!r}" for q in M.TAIL) + "]"
+
+
+def _map_sql(x: str) -> str:
+    """Interpolation over unique knots (f, o), with the first of ties, from lists qf and qo."""
+    return f"""list_filter(list_transform(range(1, len(qf) + 1), lambda i: {{'f': qf[i], 'o': qo[i], 'first': i = 1 OR qf[i] > qf[greatest(i - 1, 1)]}}), lambda k: k.first) AS ks, list_filter(ks, lambda k: k.f <= {x}) AS lo, list_filter(ks, lambda k: k.f > {x}) AS hi"""
+
+
+MAPPED = "greatest(CASE WHEN x > qf[len(qf)] THEN x + qo[len(qo)] - qf[len(qf)] WHEN x <= ks[1].f THEN ks[1].o WHEN len(hi) = 0 THEN lo[len(lo)].o ELSE lo[len(lo)].o + (x - lo[len(lo)].f) * (hi[1].o - lo[len(lo)].o) / nullif(hi[1].f - lo[len(lo)].f, 0) END, 0)"
+
+
+@query("a21_quantile_table", sql(f"WITH l AS ({L}) SELECT lead, iy, ix, CAST(i AS INT) AS level, round(qf[i + 1], 5) AS qf, round(qo[i + 1], 5) AS qo FROM (SELECT lead, iy, ix, quantile_cont(tp, {LEVELS}) AS qf, quantile_cont(obs, {LEVELS}) AS qo FROM l WHERE split = 'train' GROUP BY 1, 2, 3), (SELECT unnest([0, 10, 50, 90, 100]) AS i)", "ladder"))
+def a21(spark, d):
+    t = M.quantile_table(split(spark, d).where("split = 'train'"), ["lead", "iy", "ix"], M.UNIFORM)
+    at = F.explode(F.array(*(F.lit(i) for i in (0, 10, 50, 90, 100)))).alias("level")
+    return R6(t.select("lead", "iy", "ix", at, "qf", "qo").select("lead", "iy", "ix", "level", F.element_at("qf", F.col("level") + 1).alias("qf"), F.element_at("qo", F.col("level") + 1).alias("qo")), 5)
+
+
+@query("m02_quantile_mapping", sql(f"""WITH l AS ({L}), q AS (SELECT lead, iy, ix, quantile_cont(tp, {LEVELS}) AS qf, quantile_cont(obs, {LEVELS}) AS qo FROM l WHERE split = 'train' GROUP BY 1, 2, 3),
+    k AS (SELECT l.lead, l.iy, l.tp AS x, qf, qo, {_map_sql('l.tp')} FROM l JOIN q USING (lead, iy, ix) WHERE split = 'test' AND l.ix < 3) SELECT lead, iy, count(*) AS n, round(avg({MAPPED}), 5) AS mean, round(max({MAPPED}), 5) AS most FROM k GROUP BY 1, 2""", "ladder"))
+def m02(spark, d):
+    """Maps fitted on the training years, applied to the test years of three columns of cells."""
+    s = split(spark, d)
+    q = M.quantile_table(s.where("split = 'train'"), ["lead", "iy", "ix"], M.UNIFORM)
+    p = s.where("split = 'test' AND ix < 3").join(q, ["lead", "iy", "ix"]).select("lead", "iy", M.quantile_map(F.col("tp"), "qf", "qo").alias("p"))
+    return R6(p.groupBy("lead", "iy").agg(F.count("*").alias("n"), F.avg("p").alias("mean"), F.max("p").alias("most")), 5)
+
+
+@query("a22_regime_quantiles", sql(f"WITH l AS ({L}) SELECT lead, iy AS regime, count(*) AS n, round(quantile_cont(tp, 0.99) + 3e-7, 5) AS f99, round(quantile_cont(obs, 0.99) + 3e-7, 5) AS o99 FROM l GROUP BY GROUPING SETS ((lead, iy), (lead)) HAVING count(*) >= 2000", "ladder"))
+def a22(spark, d):
+    """By lead and regime from 2000 rows on, and by lead alone, in one pass."""
+    s = split(spark, d).withColumnRenamed("iy", "regime")
+    g = s.groupingSets([["lead", "regime"], ["lead"]], "lead", "regime").agg(F.count("*").alias("n"), (F.percentile("tp", F.lit(0.99)) + 3e-7).alias("f99"), (F.percentile("obs", F.lit(0.99)) + 3e-7).alias("o99"))
+    return R6(g.where("n >= 2000"), 5)
+
+
+@query("m06_regime_restore", sql(f"""WITH l AS ({L}), q AS (SELECT lead, iy AS regime, quantile_cont(tp, {TAILS}) AS qf, quantile_cont(obs, {TAILS}) AS qo FROM l WHERE split = 'val' GROUP BY GROUPING SETS ((lead, iy), (lead)) HAVING iy IS NULL OR count(*) >= 400),
+    j AS (SELECT l.lead, l.tp AS x, coalesce(a.qf, b.qf) AS qf, coalesce(a.qo, b.qo) AS qo FROM l LEFT JOIN q a ON a.lead = l.lead AND a.regime = l.iy LEFT JOIN q b ON b.lead = l.lead AND b.regime IS NULL WHERE split = 'test' AND l.ix = 1),
+    k AS (SELECT *, {_map_sql('x')} FROM j) SELECT lead, count(*) AS n, round(avg({MAPPED}), 5) AS mean, round(max({MAPPED}), 5) AS most FROM k GROUP BY 1""", "ladder"))
+def m06(spark, d):
+    """Quantiles restored by regime, with the lead's own map where a regime has too few rows."""
+    s = split(spark, d).withColumnRenamed("iy", "regime")
+    probs = F.array(*(F.lit(float(q)) for q in M.TAIL))
+    g = s.where("split = 'val'").groupingSets([["lead", "regime"], ["lead"]], "lead", "regime").agg(F.percentile("tp", probs).alias("qf"), F.percentile("obs", probs).alias("qo"), F.count("*").alias("n"))
+    maps = g.where("regime IS NULL OR n >= 400")
+    rows = s.where("split = 'test' AND ix = 1").select("lead", "regime", "tp")
+    p = fallback_lookup(rows, maps, ["lead", "regime"], ["lead"], ["qf", "qo"]).select("lead", M.quantile_map(F.col("tp"), "qf", "qo").alias("p"))
+    return R6(p.groupBy("lead").agg(F.count("*").alias("n"), F.avg("p").alias("mean"), F.max("p").alias("most")), 5)
+
+
+@query("w14_argmax", "SELECT p_partkey, CASE WHEN a >= b AND a >= c THEN 'break' WHEN b >= c THEN 'normal' ELSE 'active' END AS regime, greatest(a, b, c) AS confidence FROM (SELECT p_partkey, (p_size % 7) / 10.0::DOUBLE AS a, (p_partkey % 5) / 10.0::DOUBLE AS b, (p_partkey % 3) / 10.0::DOUBLE AS c FROM part)")
+def w14(spark, d):
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 7 / 10).alias("a"), (F.col("p_partkey") % 5 / 10).alias("b"), (F.col("p_partkey") % 3 / 10).alias("c"))
+    name, most = M.argmax(["break", "normal", "active"], ["a", "b", "c"])
+    return p.select("p_partkey", name.alias("regime"), most.alias("confidence"))
+
+
+FEATURES = ["tp", "tp_log", "iy", "ix", "lead", "season_sin", "season_cos"]
+
+
+def features(spark, d):
+    from ..functions.rain import season_phase
+
+    s, c = season_phase(F.col("time"))
+    return split(spark, d).withColumns({"tp_log": F.log1p("tp"), "season_sin": s, "season_cos": c, "label": F.when(F.col("tp") > 40, 1).when(F.col("obs") > 60, 2).otherwise(0)})
+
+
+@query("m03_boosted")
+def m03(spark, d):
+    f = features(spark, d)
+    model = M.boosted_regressor(f.where("split = 'train'"), FEATURES, trees=5)
+    p = M.predict_rain(model, f.where("split = 'test'"), "L3_gbm")
+    e = F.col("L3_gbm") - F.col("obs")
+    return R6(p.groupBy("lead").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.min("L3_gbm").alias("least")), 4)
+
+
+@query("m05_experts", sql("SELECT lead, count(*) AS n, round(avg(0.5 * (0.2 * obs + 0.8 * tp) + 0.5 * (0.5 * tp / 2 + 0.5 * tp)), 4) AS mean FROM ladder GROUP BY 1", "ladder"))
+def m05(spark, d):
+    """The gate of the mixture: experts shrunk by their training rows, weighted by class probabilities."""
+    gated = M.gate_experts(F.col("tp"), [(F.col("obs"), F.lit(0.5), 5_000.0), (F.col("tp") / 2, F.lit(0.5), 20_000.0)])
+    return R6(ladder(spark, d).groupBy("lead").agg(F.count("*").alias("n"), F.avg(gated).alias("mean")), 4)
+
+
+@query("m07_exceedance_head")
+def m07(spark, d):
+    f = features(spark, d)
+    head = M.exceedance_head(f.where("split = 'train'"), f.where("split = 'val'"), FEATURES, 64.5)
+    p = head(f.where("split = 'test'"))
+    return R6(p.groupBy("lead").agg(F.count("*").alias("n"), F.min(F.col("`p_gt_64.5`")).alias("least"), F.max(F.col("`p_gt_64.5`")).alias("most"), F.avg(F.col("`p_gt_64.5`")).alias("mean")), 4)
+
+
+@query("m08_regime_classifier")
+def m08(spark, d):
+    f = features(spark, d)
+    p = M.regime_classifier(f.where("split = 'train'"), FEATURES, "label", range(4), trees=5)(f.where("split = 'test'"))
+    name, most = M.argmax(["0", "1", "2", "3"], [f"p_{c}" for c in range(4)])
+    return R6(p.select(name.alias("predicted"), most.alias("confidence"), F.col("label")).groupBy("predicted", "label").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence")), 4)
+
+
+@query("m09_out_of_year")
+def m09(spark, d):
+    f = features(spark, d).where("year BETWEEN 1996 AND 1998")
+    return R6(M.out_of_year(f, FEATURES, "label", range(3), [1996, 1997, 1998]).groupBy("year").agg(F.count("*").alias("n"), F.avg("p_0").alias("p_0"), F.avg("p_1").alias("p_1"), F.avg("p_2").alias("p_2")), 4)
+
+
+@query("m10_predictions")
+def m10(spark, d):
+    """Ratio, quantile map, head-free class of each test row: one chain of joins and columns."""
+    s = split(spark, d)
+    train = s.where("split = 'train'")
+    r, q = M.ratio_table(train, ["lead", "iy", "ix"]), M.quantile_table(train, ["lead", "iy", "ix"], M.UNIFORM)
+    p = s.where("split = 'test'").join(r, ["lead", "iy", "ix"], "left").join(q, ["lead", "iy", "ix"], "left")
+    return R6(p.select(*IDS, F.col("tp").alias("L0_raw"), (F.col("tp") * F.coalesce("ratio", F.lit(1.0))).alias("L1_climbias"), M.quantile_map(F.col("tp"), "qf", "qo").alias("L2_qmap")), 5)
+
+
+@query("m11_one_day", sql(f"WITH {RATIO} SELECT lead, iy, ix, tp, round(tp * coalesce(ratio, 1.0), 5) AS corrected, l_orderkey FROM l LEFT JOIN r USING (lead, iy, ix) WHERE time = DATE '2000-07-01'", "ladder"))
+def m11(spark, d):
+    """The same plan as for all test rows, for one day."""
+    s = split(spark, d)
+    r = M.ratio_table(s.where("split = 'train'"), ["lead", "iy", "ix"])
+    return R6(s.where("time = DATE '2000-07-01'").join(r, ["lead", "iy", "ix"], "left").select("lead", "iy", "ix", "tp", (F.col("tp") * F.coalesce("ratio", F.lit(1.0))).alias("corrected"), "l_orderkey"), 5)
+
+
+@query("m12_contributions", sql("SELECT lead, feature, round(avg(v), 4) AS mean, round(avg(abs(v)), 4) AS strength FROM (SELECT lead, 'tp' AS feature, tp * 0.02 AS v FROM ladder UNION ALL SELECT lead, 'iy', iy * -0.1 FROM ladder) GROUP BY 1, 2", "ladder"))
+def m12(spark, d):
+    c = ladder(spark, d).select("lead", F.inline(M.linear_contributions(None, {"tp": 0.02, "iy": -0.1})))
+    return R6(c.groupBy("lead", "feature").agg(F.avg("value").alias("mean"), F.avg(F.abs("value")).alias("strength")), 4)
+
+
+@query("m13_confidence", "SELECT p_partkey, CASE WHEN p >= 0.6 AND m <= 30 THEN 'HIGH' WHEN p >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM (SELECT p_partkey, (p_partkey % 10) / 10.0::DOUBLE AS p, p_size AS m FROM part)")
+def m13(spark, d):
+    return table(spark, d, "part").select("p_partkey", M.confidence(F.col("p_partkey") % 10 / 10, F.col("p_size"), F.lit(30)).alias("confidence"))
+
+
+@query("m14_subsample", "SELECT l_orderkey % 100 AS k, count(*) AS n FROM lineitem WHERE (l_orderkey * 7919 + l_partkey * 104729 + l_suppkey * 31 + 42) % 1000003 % 10 < 3 GROUP BY 1")
+def m14(spark, d):
+    """A seeded share of the training rows by arithmetic on their keys; a sampling operator, as in the ladder's training caps."""
+    pick = F.pmod(F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104_729 + F.col("l_suppkey") * 31 + 42, F.lit(1_000_003)) % 10 < 3
+    return table(spark, d, "lineitem").where(pick).groupBy((F.col("l_orderkey") % 100).alias("k")).agg(F.count("*").alias("n"))

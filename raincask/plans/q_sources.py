@@ -1 +1,134 @@
+"""Queries of sources, profiles and the feature table."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import rain
+from ..operators import focal as W
+from ..operators.scores import rounded as R6
+from ..sources import daily, profile, synthetic
+from .book import query
+from .q_grid import grid
+from .views import cells, dense, granules, paired, pairs, sql, table
+
+S = lambda c: c.cast("string")
+
+
+@query("s02_synthetic_forecast")
+def s02(spark, d):
+    f = synthetic.forecast(spark, [2020, 2021], 12, 12)
+    return R6(f.groupBy("lead", F.year("time").alias("year")).agg(F.count("*").alias("n"), F.avg("tp").alias("mean"), F.max("tp").alias("most")), 4)
+
+
+@query("s03_synthetic_obs")
+def s03(spark, d):
+    o = synthetic.observations(spark, [2020], 12, 12)
+    return R6(o.groupBy(F.month("time").alias("month")).agg(F.count("rain").alias("n"), F.avg("rain").alias("mean")), 4)
+
+
+@query("s04_synthetic_analysis")
+def s04(spark, d):
+    return R6(synthetic.analysis(spark, [2020], 12, 12).groupBy("iy").agg(F.avg("u850").alias("u850"), F.avg("mslp").alias("mslp")), 3)
+
+
+@query("s05_season_curve", """WITH d AS (SELECT CAST(unnest(generate_series(DATE '2020-06-01', DATE '2020-09-30', INTERVAL 1 DAY)) AS DATE) AS day) SELECT CAST(day AS VARCHAR) AS day, round(exp(-pow((dayofyear(day) - 215) / 60.0, 2)), 6) AS base,
+    round(18.0 + 0.4 * (dayofyear(day) % 9), 6)::DOUBLE AS low_lat, round(88.0 - 1.6 * (dayofyear(day) % 9), 6)::DOUBLE AS low_lon FROM d""")
+def s05(spark, d):
+    days = synthetic.days(spark, [2020])
+    return R6(days.select(S(F.col("time")).alias("day"), (F.col("strength") / (1 + 0.5 * F.col("wave"))).alias("base"), "low_lat", "low_lon"))
+
+
+@query("s29_field_equations", "SELECT CAST(i AS BIGINT) AS cell, round(12 * exp(-pow((6.5 + i - 13.0) / 6.0, 2)), 6) AS jet FROM (SELECT unnest(range(0, 12)) AS i)")
+def s29(spark, d):
+    g = synthetic.grid(spark, 12, 1).withColumns({"strength": F.lit(1.0), "low_lat": F.lit(1000.0), "low_lon": F.lit(0.0), "wave": F.lit(0.0)})
+    return R6(synthetic.fields(g).select("cell", F.col("u850").alias("jet")))
+
+
+@query("s30_rain_means", "SELECT CAST(i AS BIGINT) AS cell, round(6 * (i / 10.0) + 14 * least(i * 100 / 1000.0 * (i / 10.0), 2.0), 5)::DOUBLE AS truth, round(0.75 * (6 * (i / 10.0) + 14 * least(i * 100 / 1000.0 * (i / 10.0), 2.0)) + 1, 5)::DOUBLE AS model FROM (SELECT unnest(range(0, 20)) AS i)")
+def s30(spark, d):
+    i = F.col("id")
+    x = spark.range(20).select(i.alias("cell"), (i / 10.0).alias("strength"), (i * 100.0).alias("elev"), F.lit(70.0).alias("lon"), F.lit(20.0).alias("lat"), F.lit(0.0).alias("wave"), F.lit(0.0).alias("low"))
+    return R6(x.select("cell", synthetic.rain_mean(False).alias("truth"), synthetic.rain_mean(True).alias("model")), 5)
+
+
+@query("s31_realisation")
+def s31(spark, d):
+    x = spark.range(20_000).withColumn("r", synthetic.realised(F.lit(6.0), "id", salt="t"))
+    return R6(x.agg(F.avg((F.col("r") > 0).cast("int")).alias("wet"), F.avg("r").alias("mean"), F.max("r").alias("most")), 4)
+
+
+@query("s06_forecast_scan", """WITH t AS (SELECT o_custkey AS key, min(o_totalprice) / 1000 AS t0, max(o_totalprice) / 1000 AS t1 FROM orders GROUP BY 1), s AS (SELECT o_custkey AS key, o_orderkey % 24 AS hour, avg(o_totalprice) AS mslp FROM orders GROUP BY 1, 2),
+    m AS (SELECT key, count(*) AS n, avg(mslp) AS mslp FROM s WHERE hour IN (3, 9, 15, 21) GROUP BY 1) SELECT t.key, round(greatest(t1 - t0, 0), 5) AS tp, round(CASE WHEN n = 4 THEN mslp END, 3) AS mslp FROM t LEFT JOIN m USING (key)""")
+def s06(spark, d):
+    """Rain from two running totals and the mean state of four hours; an hour short means no state."""
+    o = table(spark, d, "orders")
+    t = o.groupBy(F.col("o_custkey").alias("key")).agg((F.min("o_totalprice") / 1000).alias("t0"), (F.max("o_totalprice") / 1000).alias("t1"))
+    s = o.groupBy(F.col("o_custkey").alias("key"), (F.col("o_orderkey") % 24).alias("hour")).agg(F.avg("o_totalprice").alias("mslp"))
+    out = daily.forecast_day(t, s, ["mslp"], [3, 9, 15, 21])
+    return out.select("key", F.round("tp", 5).alias("tp"), F.round("mslp", 3).alias("mslp"))
+
+
+@query("s27_daily_state", "WITH s AS (SELECT o_custkey AS key, o_orderkey % 4 AS hour, avg(o_totalprice) AS u FROM orders GROUP BY 1, 2) SELECT key, round(CASE WHEN count(*) = 4 THEN avg(u) END + 0.0003, 1) AS u, round(CASE WHEN count(*) = 4 THEN sqrt(avg(u) * avg(u) + 144) END + 0.0003, 1) AS wind FROM s GROUP BY 1")
+def s27(spark, d):
+    s = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("key"), (F.col("o_orderkey") % 4).alias("hour")).agg(F.avg("o_totalprice").alias("u"))
+    m = s.groupBy("key").agg(F.when(F.count("*") == 4, F.avg("u")).alias("u"))
+    return m.select("key", F.round(F.col("u") + 0.0003, 1).alias("u"), F.round(F.hypot(F.col("u"), F.lit(12.0)) + 0.0003, 1).alias("wind"))
+
+
+@query("s12_s13_daily_files", sql("SELECT CAST(label AS VARCHAR) AS time, cell, obs AS rain FROM pairs WHERE obs IS NOT NULL AND day(label) <= 10", "pairs"))
+def s13(spark, d):
+    """Two files of one product under one another, selected by wanted days; a day and cell in both would be fatal."""
+    p = pairs(spark, d).where("obs IS NOT NULL").select(F.col("label").alias("time"), "cell", F.col("obs").alias("rain"))
+    odd = F.dayofmonth("time") % 2 == 1
+    wanted = p.select("time").distinct().where(F.dayofmonth("time") <= 10)
+    return daily.concatenated([p.where(odd), p.where(~odd)], ["time", "cell"], wanted).select(S(F.col("time")).alias("time"), "cell", "rain")
+
+
+@query("s15_fill_values", "SELECT c_custkey, CASE WHEN c_acctbal > -998 THEN c_acctbal END AS v FROM customer")
+def s15(spark, d):
+    from ..sources.mapping import no_fill
+
+    return table(spark, d, "customer").select("c_custkey", no_fill("c_acctbal").alias("v"))
+
+
+@query("s17_granule_selection", sql("SELECT count(*) AS granules, CAST(max(slot) - min(slot) + 1 - count(*) AS BIGINT) AS gaps FROM granules WHERE slot >= 946000 * 2 + 1048 AND slot < 946000 * 2 + 2048", "granules"))
+def s17(spark, d):
+    g = daily.selected_granules(granules(spark, d), 946_000 * 2 + 1048, 946_000 * 2 + 2048)
+    return g.agg(F.count("*").alias("granules"), (F.max("slot") - F.min("slot") + 1 - F.count("*")).alias("gaps"))
+
+
+@query("s18_analysis_merge", "WITH a AS (SELECT o_orderkey % 1000 AS k, CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS p FROM orders GROUP BY 1, 2), b AS (SELECT l_orderkey % 1000 AS k, CAST(l_shipdate AS DATE) AS day, avg(l_quantity) AS q FROM lineitem GROUP BY 1, 2) SELECT a.k, CAST(a.day AS VARCHAR) AS day, round(p / 100, 4) AS mslp, round(q, 4) AS u FROM a JOIN b ON a.k = b.k AND a.day = b.day")
+def s18(spark, d):
+    """Surface and level sets joined by cell and day, with the surface's units changed."""
+    a = table(spark, d, "orders").groupBy((F.col("o_orderkey") % 1000).alias("k"), F.to_date("o_orderdate").alias("day")).agg(F.avg("o_totalprice").alias("p"))
+    b = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 1000).alias("k"), F.to_date("l_shipdate").alias("day")).agg(F.avg("l_quantity").alias("q"))
+    return R6(a.join(b, ["k", "day"]).select("k", S(F.col("day")).alias("day"), (F.col("p") / 100).alias("mslp"), F.col("q").alias("u")), 4)
+
+
+@query("s21_s34_profile", sql("WITH l AS (SELECT DISTINCT CAST(lon AS DOUBLE) AS x FROM cells), g AS (SELECT x, x - lag(x) OVER (ORDER BY x) AS step FROM l) SELECT 'lon' AS axis, count(*) AS n, min(x) AS least, max(x) AS most, min(step) AS least_step, max(step) AS most_step FROM g", "cells"))
+def s21(spark, d):
+    return profile.axis_profile(cells(spark, d), "lon")
+
+
+@query("s21_time_profile", sql("SELECT CAST(min(label) AS VARCHAR) AS first, CAST(max(label) AS VARCHAR) AS last, count(DISTINCT label) AS days, CAST(max(label) - min(label) + 1 - count(DISTINCT label) AS BIGINT) AS missing_days, CAST(count(*) - count(DISTINCT (cell, label)) AS BIGINT) AS repeats FROM pairs", "pairs"))
+def s21t(spark, d):
+    return profile.time_profile(pairs(spark, d), "label", ["cell"])
+
+
+@query("s22_fetch_plan", "SELECT CAST(n AS INT) AS days, CAST(n * 48 AS INT) AS granules FROM (SELECT unnest(range(1, 32)) AS n)")
+def s22(spark, d):
+    return spark.range(1, 32).select(F.col("id").cast("int").alias("days"), (F.col("id") * 48).cast("int").alias("granules"))
+
+
+@query("f01_feature_table", sql("""WITH g AS (SELECT * FROM dense WHERE iy < 10), w AS (SELECT label, avg(fc) FILTER (lat BETWEEN 18 AND 28 AND lon BETWEEN 65 AND 88) AS zone FROM g GROUP BY 1),
+    o AS (SELECT unnest(range(-1, 2)) AS o), e AS (SELECT label, cell, least(greatest(iy + a.o, 0), (SELECT max(iy) FROM g)) AS y, least(greatest(ix + b.o, 0), (SELECT max(ix) FROM g)) AS x FROM g, o a, o b),
+    n AS (SELECT e.label, e.cell, avg(g.fc) AS n3 FROM e JOIN g ON g.label = e.label AND g.iy = e.y AND g.ix = e.x GROUP BY 1, 2)
+    SELECT CAST(g.label AS VARCHAR) AS label, g.cell, g.fc AS tp, round(ln(1 + g.fc), 5) AS tp_log, round(n3 + 3e-7, 5) AS tp_n3_mean, round(zone + 3e-7, 5) AS zone_tp, round(sin(2 * pi() * dayofyear(g.label) / 365.25), 5) AS doy_sin, g.obs FROM g JOIN w ON w.label = g.label JOIN n ON n.label = g.label AND n.cell = g.cell WHERE land AND valid""", "dense"))
+def f01(spark, d):
+    """Land rows with both sides: rain, its log, its neighbourhood, the zone's plain mean, the season."""
+    g = W.focal_mean(grid(spark, d), "fc", 3, ["label"], "n3", 10, 15)
+    zone = dense(spark, d).where("iy < 10 AND lat BETWEEN 18 AND 28 AND lon BETWEEN 65 AND 88").groupBy("label").agg(F.avg("fc").alias("zone"))
+    s, _ = rain.season_phase(F.col("label"))
+    out = g.where("land AND valid").join(F.broadcast(zone), "label")
+    return R6(out.select(S(F.col("label")).alias("label"), "cell", F.col("fc").alias("tp"), F.log1p("fc").alias("tp_log"), (F.col("n3") + 3e-7).alias("tp_n3_mean"), (F.col("zone") + 3e-7).alias("zone_tp"), s.alias("doy_sin"), "obs"), 5)
