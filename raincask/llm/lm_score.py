@@ -24,8 +24,8 @@ from .substring_dedup import word_hashes, words_of
 
 #: Bytes of text in a batch; bytes of input for each partition of the count table.
 BATCH_BYTES, PART_BYTES = 8 << 20, 4 << 20
-#: Bytes of a hash beside its partition's number, which adds its bits. At 6, two of 10^9 n-grams in 256 partitions collide with a chance of a few in 10^8 each.
-HASH_BYTES = 6
+#: Bits of a hash beside its partition's number, which adds its bits: of 10^9 n-grams in 256 partitions, about one in 10^7 shares both with another.
+HASH_BITS, HASH_BYTES = 44, 6
 
 
 def gram_hashes(words: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -52,16 +52,16 @@ class Batch:
         full = np.concatenate(self.gram)
         full = full[full > 0]
         self.part = lambda h: h % np.uint64(parts)
-        self.short = lambda h: h // np.uint64(parts) % np.uint64(1 << (8 * HASH_BYTES))
+        self.short = lambda h: h // np.uint64(parts) % np.uint64(1 << HASH_BITS)
         key, self.seen = np.unique(self.keyed(full), return_counts=True)
         self.key, self.parts = key, parts
 
     def keyed(self, h: np.ndarray) -> np.ndarray:
         """(partition, short hash) as one number that sorts by both."""
-        return (self.part(h) << np.uint64(8 * HASH_BYTES)) | self.short(h)
+        return (self.part(h) << np.uint64(HASH_BITS)) | self.short(h)
 
     def split(self) -> np.ndarray:
-        return np.searchsorted(self.key, np.arange(self.parts + 1).astype(np.uint64) << np.uint64(8 * HASH_BYTES))
+        return np.searchsorted(self.key, np.arange(self.parts + 1).astype(np.uint64) << np.uint64(HASH_BITS))
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
@@ -81,7 +81,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     import zstandard
 
-    z = zstandard.ZstdCompressor(level=3)
+    z = zstandard.ZstdCompressor(level=9)
     kept, size = [], 0
 
     def flush():
@@ -124,9 +124,9 @@ def _explode(order: int, parts: int):
                 b = Batch(_one(_texts(blob).column("text")), order, parts)
                 cut, out = b.split(), []
                 for p in range(parts):
-                    k, n = b.key[cut[p] : cut[p + 1]] & np.uint64((1 << (8 * HASH_BYTES)) - 1), b.seen[cut[p] : cut[p + 1]]
+                    k, n = b.key[cut[p] : cut[p + 1]] & np.uint64((1 << HASH_BITS) - 1), b.seen[cut[p] : cut[p + 1]]
                     if len(k):
-                        out.append((p, batch, z.compress(struct.pack("<q", len(k)) + _planes(np.diff(k, prepend=np.uint64(0)), HASH_BYTES) + n.astype("<u4").tobytes())))
+                        out.append((p, batch, z.compress(struct.pack("<q", len(k)) + _planes(np.diff(k, prepend=np.uint64(0)), HASH_BYTES) + _planes(n, 4))))
                 if out:
                     cols = list(zip(*out))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["part", "batch", "blob"])
@@ -144,7 +144,7 @@ def _count(table: pa.Table) -> pa.Table:
         raw = d.decompress(blob)
         n = struct.unpack_from("<q", raw)[0]
         keys.append(np.cumsum(_from_planes(raw[8 : 8 + n * HASH_BYTES], n, HASH_BYTES)))
-        seen.append(np.frombuffer(raw, "<u4", n, 8 + n * HASH_BYTES))
+        seen.append(_from_planes(raw[8 + n * HASH_BYTES :], n, 4))
     key, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(seen)).astype(np.uint64)[at]
     ends = np.cumsum([len(k) for k in keys])
@@ -193,7 +193,7 @@ def lm_score(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     batches = materialise(base.mapInArrow(_gather, "batch long, words long, blob binary"), "text-batches")
     corpus = batches.agg(F.sum("words")).first()[0] or 0
-    grams = batches.select("batch", "blob").repartition(max(tasks, batches.count() // 4)).mapInArrow(_explode(order, parts), "part int, batch long, blob binary")
+    grams = batches.select("batch", "blob").mapInArrow(_explode(order, parts), "part int, batch long, blob binary")
     counts = grams.repartition(max(tasks, parts // 4), "part").groupBy("part").applyInArrow(_count, "batch long, part int, counts binary")
 
     def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
