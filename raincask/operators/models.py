@@ -26,15 +26,26 @@ def quantile_table(train: DataFrame, keys: Sequence[str], levels: Sequence[float
     return train.groupBy(*keys).agg(F.percentile(tp, probs).alias("qf"), F.percentile(obs, probs).alias("qo"), F.count("*").alias("n"))
 
 
-def quantile_map(x: Column, qf: str, qo: str) -> Column:
-    """Linear interpolation from qf to qo over the first of tied knots; a constant shift above the top; never negative."""
-    knots = F.filter(F.arrays_zip(F.col(qf).alias("f"), F.col(qo).alias("o"), F.concat(F.array(F.lit(None).cast("double")), F.slice(qf, 1, F.size(qf) - 1)).alias("p")), lambda k: k["p"].isNull() | (k["f"] > k["p"]))
-    below = F.element_at(F.filter(knots, lambda k: k["f"] <= x), -1)
-    above = F.try_element_at(F.filter(knots, lambda k: k["f"] > x), F.lit(1))
-    first, top_f, top_o = F.element_at(knots, 1), F.element_at(qf, -1), F.element_at(qo, -1)
-    inner = below["o"] + (x - below["f"]) * (above["o"] - below["o"]) / F.nullif(above["f"] - below["f"], F.lit(0.0))
-    out = F.when(x > top_f, x + (top_o - top_f)).when(x <= first["f"], first["o"]).when(above.isNull(), below["o"]).otherwise(inner)
-    return F.greatest(out, F.lit(0.0))
+def knots(qf: Column, qo: Column) -> Column:
+    """array<struct<f, o>>: the paired quantiles without tied forecasts; the first of equal ones stays."""
+    before = F.concat(F.array(F.lit(None).cast("double")), F.slice(qf, 1, F.size(qf) - 1))
+    pairs = F.filter(F.arrays_zip(qf.alias("f"), qo.alias("o"), before.alias("p")), lambda k: k["p"].isNull() | (k["f"] > k["p"]))
+    return F.transform(pairs, lambda k: F.struct(k["f"].alias("f"), k["o"].alias("o")))
+
+
+def with_knots(maps: DataFrame) -> DataFrame:
+    """Quantile tables with their knots, made once a map and not once a row; top is the last pair."""
+    return maps.select(*[c for c in maps.columns if c not in ("qf", "qo")], knots(F.col("qf"), F.col("qo")).alias("knots"), F.struct(F.element_at("qf", -1).alias("f"), F.element_at("qo", -1).alias("o")).alias("top"))
+
+
+def quantile_mapped(df: DataFrame, x: str, out: str) -> DataFrame:
+    """Interpolation over the row's knots (null without them), a constant shift above the top, never negative."""
+    at = df.withColumn("_i", F.size(F.filter("knots", lambda k: k["f"] <= F.col(x))))
+    ends = at.withColumn("_lo", F.element_at("knots", F.greatest("_i", F.lit(1)))).withColumn("_hi", F.try_element_at("knots", F.col("_i") + 1))
+    v, lo, hi, top = F.col(x), F.col("_lo"), F.col("_hi"), F.col("top")
+    inner = lo["o"] + (v - lo["f"]) * (hi["o"] - lo["o"]) / F.nullif(hi["f"] - lo["f"], F.lit(0.0))
+    y = F.when(v > top["f"], v + (top["o"] - top["f"])).when((F.col("_i") == 0) | hi.isNull(), lo["o"]).otherwise(inner)
+    return ends.withColumn(out, F.when(F.col("knots").isNotNull(), F.greatest(y, F.lit(0.0)))).drop("_i", "_lo", "_hi")
 
 
 def argmax(names: Sequence[str], columns: Sequence[str]) -> tuple[Column, Column]:

@@ -104,8 +104,8 @@ def stability_index(df: DataFrame, value: str, side: str, reference: str, tests:
     df = df if by else df.withColumn("_all", F.lit(1))
     probs = F.array(*(F.lit(i / 10) for i in range(11)))
     edges = df.where(F.col(side) == reference).groupBy(*keys).agg(F.array_distinct(F.percentile(value, probs)).alias("_edges"))
-    inner = F.slice("_edges", 2, F.size("_edges") - 2)
-    binned = df.join(F.broadcast(edges) if not by else edges, keys).withColumn("_bin", F.when(F.size("_edges") < 3, 0).otherwise(F.size(F.filter(inner, lambda e: F.col(value) >= e))))
+    edges = edges.withColumn("_inner", F.when(F.size("_edges") < 3, F.array().cast("array<double>")).otherwise(F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0)))))
+    binned = df.join(F.broadcast(edges) if not by else edges, keys).withColumn("_bin", F.size(F.filter("_inner", lambda e: F.col(value) >= e)))
     counts = binned.groupBy(*keys, "_bin").agg(F.count_if(F.col(side) == reference).alias("_a"), F.count_if(F.col(side) == tests).alias("_b"), F.max(F.size("_edges")).alias("_size"))
     total = Window.partitionBy(*keys)
     pa, pb = ratio(F.col("_a"), F.sum("_a").over(total)) + 1e-6, ratio(F.col("_b"), F.sum("_b").over(total)) + 1e-6

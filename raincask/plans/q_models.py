@@ -64,8 +64,8 @@ def a21(spark, d):
 def m02(spark, d):
     """Maps fitted on the training years, applied to the test years of three columns of cells."""
     s = split(spark, d)
-    q = M.quantile_table(s.where("split = 'train'"), ["lead", "iy", "ix"], M.UNIFORM)
-    p = s.where("split = 'test' AND ix < 3").join(q, ["lead", "iy", "ix"]).select("lead", "iy", M.quantile_map(F.col("tp"), "qf", "qo").alias("p"))
+    q = M.with_knots(M.quantile_table(s.where("split = 'train'"), ["lead", "iy", "ix"], M.UNIFORM))
+    p = M.quantile_mapped(s.where("split = 'test' AND ix < 3").join(q, ["lead", "iy", "ix"]), "tp", "p")
     return R6(p.groupBy("lead", "iy").agg(F.count("*").alias("n"), F.avg("p").alias("mean"), F.max("p").alias("most")), 5)
 
 
@@ -85,9 +85,10 @@ def m06(spark, d):
     s = split(spark, d).withColumnRenamed("iy", "regime")
     probs = F.array(*(F.lit(float(q)) for q in M.TAIL))
     g = s.where("split = 'val'").groupingSets([["lead", "regime"], ["lead"]], "lead", "regime").agg(F.percentile("tp", probs).alias("qf"), F.percentile("obs", probs).alias("qo"), F.count("*").alias("n"))
-    maps = g.where("regime IS NULL OR n >= 400")
+    maps = M.with_knots(g.where("regime IS NULL OR n >= 400"))
     rows = s.where("split = 'test' AND ix = 1").select("lead", "regime", "tp")
-    p = fallback_lookup(rows, maps, ["lead", "regime"], ["lead"], ["qf", "qo"]).select("lead", M.quantile_map(F.col("tp"), "qf", "qo").alias("p"))
+    p = fallback_lookup(rows, maps, ["lead", "regime"], ["lead"], ["knots", "top"])
+    p = M.quantile_mapped(p, "tp", "p")
     return R6(p.groupBy("lead").agg(F.count("*").alias("n"), F.avg("p").alias("mean"), F.max("p").alias("most")), 5)
 
 
@@ -151,9 +152,10 @@ def m10(spark, d):
     """Ratio, quantile map, head-free class of each test row: one chain of joins and columns."""
     s = split(spark, d)
     train = s.where("split = 'train'")
-    r, q = M.ratio_table(train, ["lead", "iy", "ix"]), M.quantile_table(train, ["lead", "iy", "ix"], M.UNIFORM)
+    r, q = M.ratio_table(train, ["lead", "iy", "ix"]), M.with_knots(M.quantile_table(train, ["lead", "iy", "ix"], M.UNIFORM))
     p = s.where("split = 'test'").join(r, ["lead", "iy", "ix"], "left").join(q, ["lead", "iy", "ix"], "left")
-    return R6(p.select(*IDS, F.col("tp").alias("L0_raw"), (F.col("tp") * F.coalesce("ratio", F.lit(1.0))).alias("L1_climbias"), M.quantile_map(F.col("tp"), "qf", "qo").alias("L2_qmap")), 5)
+    p = M.quantile_mapped(p, "tp", "L2_qmap")
+    return R6(p.select(*IDS, F.col("tp").alias("L0_raw"), (F.col("tp") * F.coalesce("ratio", F.lit(1.0))).alias("L1_climbias"), F.coalesce("L2_qmap", "tp").alias("L2_qmap")), 5)
 
 
 @query("m11_one_day", sql(f"WITH {RATIO} SELECT lead, iy, ix, tp, round(tp * coalesce(ratio, 1.0), 5) AS corrected, l_orderkey FROM l LEFT JOIN r USING (lead, iy, ix) WHERE time = DATE '2000-07-01'", "ladder"))

@@ -151,7 +151,7 @@ def test_lattice_roles_and_axes():
 
 def test_quantile_map_ties_and_tail(spark):
     df = spark.createDataFrame([(x, [0.0, 0.0, 1.0, 2.0], [0.5, 1.0, 2.0, 6.0]) for x in (-1.0, 0.0, 0.5, 1.5, 2.0, 3.0)], "x double, qf array<double>, qo array<double>")
-    got = [r.y for r in df.select("x", models.quantile_map(F.col("x"), "qf", "qo").alias("y")).orderBy("x").collect()]
+    got = [r.y for r in models.quantile_mapped(models.with_knots(df), "x", "y").orderBy("x").collect()]
     assert got == pytest.approx([0.5, 0.5, 1.25, 4.0, 6.0, 7.0])
 
 
