@@ -5,6 +5,11 @@ resulting templates are hashed and joined between documents and benchmark items.
 fill the slots consistently: wherever the item repeats a value, the document repeats its own value
 there. So a question with other numbers or names is caught, and a look-alike that mixes them is not.
 
+Most documents share nothing with a benchmark, and templates are dear. So each item window names an
+anchor, its longest adjacent pair of literal words (its longest word if it has no pair), and
+templates are made only of documents with an anchor. A document that matches a window has its literal
+words, so this loses nothing.
+
 The benchmark's windows are broadcast if there are BROADCAST_WINDOWS at most, which is counted, and
 joined by a shuffle otherwise. Texts of matching documents alone shuffle for the slot check, picked by
 a filter of fixed size.
@@ -55,6 +60,47 @@ def window_hashes(tokens: str, length: int) -> Column:
     return F.when(F.size(tokens) >= length, F.transform(at, lambda i: F.xxhash64(F.slice(tokens, i, length), F.lit(length))))
 
 
+def letter_runs(text: Column) -> Column:
+    """Maximal runs of letters in lower case: equal literal words give equal runs."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
+
+
+def pair_hashes(runs: str) -> Column:
+    return F.when(F.size(runs) > 1, F.transform(F.sequence(F.lit(1), F.size(runs) - 1), lambda i: F.xxhash64(F.element_at(runs, i), F.element_at(runs, i + 1))))
+
+
+def single_hashes(runs: str) -> Column:
+    return F.transform(runs, lambda w: F.xxhash64(w))
+
+
+def anchors(items: DataFrame) -> DataFrame:
+    """(h, single): one anchor for each item window."""
+    # Slots break the window into stretches of literal words; pairs within a stretch are adjacent in a match.
+    stretches = F.filter(F.split(F.array_join(F.transform("form", lambda w: F.when(w.contains("<"), F.lit("\u0000")).otherwise(w)), " "), "\u0000"), lambda x: x != "")
+    runs = items.withColumn("stretch", F.explode(stretches)).select("h", "size", letter_runs(F.col("stretch")).alias("runs"))
+    # Long words are rare ones; of equally long anchors the least hash is taken, so that neighbouring windows agree.
+    pair = F.transform(pair_hashes("runs"), lambda h, i: F.struct((-F.length(F.element_at("runs", i + 1)) - F.length(F.element_at("runs", i + 2))).alias("rank"), h.alias("h")))
+    single = F.transform("runs", lambda w: F.struct((-F.length(w)).alias("rank"), F.xxhash64(w).alias("h")))
+    each = runs.groupBy("h", "size").agg(F.min(F.array_min(pair)).alias("pair"), F.min(F.array_min(single)).alias("single"))
+    return each.select(F.coalesce("pair.h", "single.h").alias("h"), F.col("pair").isNull().alias("single")).where("h IS NOT NULL").distinct()
+
+
+def suspects(base: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows of base (th, text, ...) that may hold an item window: those with an anchor, and few others."""
+    marks = materialise(anchors(items), "anchors")
+    runs = base.select("th", letter_runs(F.col("text")).alias("runs"))
+    found = None
+    for single in sorted(r["single"] for r in marks.select("single").distinct().collect()):  # two values at most
+        mine = marks.where(F.col("single") == single).select("h")
+        each = runs.select("th", F.explode(single_hashes("runs") if single else pair_hashes("runs")).alias("h"))
+        part = each.join(F.broadcast(mine) if mine.count() <= BROADCAST_WINDOWS else mine, "h", "left_semi").select("th")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return base.limit(0)
+    found = materialise(found.distinct(), "suspects")
+    return may_match(base, found.select(F.col("th").alias("key")), F.col("th"))
+
+
 def item_windows(benchmark: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
     """(item_id, size, raw, form, h): each window of each item; a shorter item is one window of its own size."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), text_or_empty(text_col).alias("t")).select("item_id", words(F.col("t")).alias("raw"), words(template(F.col("t"))).alias("form")).where((F.size("form") >= LEAST_WORDS) & (F.size("form") == F.size("raw")))
@@ -80,7 +126,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 13, id_co
     """One row per input row: doc_id, contaminated, n_windows, n_verbatim, items (sorted ids of the items found).
 
     n_windows counts (window, item window) matches with consistent slots, n_verbatim those of them
-    with the item's own words but for case. Null texts have no words. Items of fewer than LEAST_WORDS
+    with the item's own words but for case. A name counts by its capital within a sentence, so a text all
+    in capitals matches only where the item has no names. Null texts have no words. Items of fewer than LEAST_WORDS
     words never match; those of fewer than `length` match as a whole. Ids may be null or repeat: rows
     with the same id and text get the same answer. Empty tables give no matches or no rows. Other
     columns are ignored.
@@ -90,8 +137,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 13, id_co
     prints = items.select("h", "size").distinct()
     sizes = sorted(r["size"] for r in prints.select("size").distinct().collect())  # `length` values at most
     found = None
+    some = suspects(base, items) if sizes else base
     for size in sizes:
-        windows = base.select("th", words(template(F.col("text"))).alias("form")).select("th", F.posexplode(window_hashes("form", size)).alias("at", "h"))
+        windows = some.select("th", words(template(F.col("text"))).alias("form")).select("th", F.posexplode(window_hashes("form", size)).alias("at", "h"))
         mine = prints.where(F.col("size") == size)
         part = windows.join(F.broadcast(mine) if mine.count() <= BROADCAST_WINDOWS else mine, "h").select("th", (F.col("at") + 1).alias("at"), "h", "size")
         found = part if found is None else found.unionByName(part)
@@ -100,8 +148,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 13, id_co
     found = materialise(found.distinct(), "template-matches")
     broadcast_items = F.broadcast(items) if items.count() <= BROADCAST_WINDOWS // 10 else items
     matches = found.join(broadcast_items, ["h", "size"]).groupBy("th").agg(F.collect_list(F.struct("at", "size", "item_id", "raw", "form")).alias("matches"))
-    suspects = may_match(base, found.select(F.col("th").alias("key")), F.col("th")).dropDuplicates(["th"])
-    tokens = suspects.join(matches, "th").select("th", "matches", words(F.col("text")).alias("raw"), words(template(F.col("text"))).alias("form"))
+    hit = may_match(base, found.select(F.col("th").alias("key")), F.col("th")).dropDuplicates(["th"])
+    tokens = hit.join(matches, "th").select("th", "matches", words(F.col("text")).alias("raw"), words(template(F.col("text"))).alias("form"))
     right = tokens.select("th", F.filter("matches", lambda m: _fits(m, "raw", "form")).alias("matches"), "raw").where(F.size("matches") > 0)
     told = right.select("th", F.size("matches").cast("long").alias("n_windows"), F.size(F.filter("matches", lambda m: _same(m, "raw"))).cast("long").alias("n_verbatim"), F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"]))).alias("items"))
     return base.select("doc_id", "th").join(told, "th", "left").select("doc_id", F.col("n_windows").isNotNull().alias("contaminated"), F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"), F.coalesce("n_verbatim", F.lit(0)).cast("long").alias("n_verbatim"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
