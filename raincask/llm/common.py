@@ -50,9 +50,9 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a frame's bytes; for a file scan that is the files' size, from metadata alone."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """UTF-8 bytes of all texts, counted; estimates of a plan's size can be off by any factor."""
+    return int(docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0)
 
 
 #: A key with more than 1/HOT_KEYS of the rows is hot; there can be at most HOT_KEYS of those.

@@ -19,11 +19,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, size_in_bytes, slices, text_or_empty
+from .common import materialise, mix, text_bytes, slices, text_or_empty
 from .substring_dedup import word_hashes, words_of
 
-#: Bytes of text in a batch; bytes of input for each partition of the count table.
-BATCH_BYTES, PART_BYTES = 8 << 20, 4 << 20
+#: Bytes of text in a batch; bytes of text for each partition of the count table.
+BATCH_BYTES, PART_BYTES = 5 << 20, 8 << 20
 #: Bits of a hash beside its partition's number, which adds its bits: of 10^9 n-grams in 256 partitions, about one in 10^7 shares both with another.
 HASH_BITS, HASH_BYTES = 44, 6
 
@@ -189,7 +189,7 @@ def lm_score(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    parts = int(max(64, size_in_bytes(docs) // PART_BYTES))
+    parts = int(max(64, text_bytes(base) // PART_BYTES))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     batches = materialise(base.mapInArrow(_gather, "batch long, words long, blob binary"), "text-batches")
     corpus = batches.agg(F.sum("words")).first()[0] or 0

@@ -23,12 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Packer, merge_runs, mix, packed_rows, ragged, raw_bytes, runs_by_document, size_in_bytes, slices, sliding_min, text_or_empty, unpack
+from .common import Packer, merge_runs, mix, packed_rows, ragged, raw_bytes, runs_by_document, text_bytes, slices, sliding_min, text_or_empty, unpack
 
 GRAM = 32
 SLICE_BYTES = 4 << 20
-#: Packed bytes gathered before a batch's buckets are sent; bytes of input for each bucket.
-FLUSH_BYTES, BUCKET_BYTES = 24 << 20, 2 << 20
+#: Packed bytes gathered before a batch's buckets are sent; bytes of text for each bucket.
+FLUSH_BYTES, BUCKET_BYTES = 24 << 20, 4 << 20
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -220,6 +220,6 @@ def suffix_array_dedup(docs: DataFrame, least: int = 400, id_col: str = "doc_id"
     if least < 2 * GRAM:
         raise ValueError(f"least must be at least {2 * GRAM}")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("th"), text_or_empty(text_col).alias("text"))
-    buckets = max(64, size_in_bytes(docs) // BUCKET_BYTES)
+    buckets = max(64, text_bytes(base) // BUCKET_BYTES)
     joined = runs_by_document(base, _send(least, buckets), lambda blobs: repeated_strings(blobs, least), buckets)
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
