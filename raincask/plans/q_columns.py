@@ -58,7 +58,7 @@ def p06(spark, d):
     return years.select("year", F.explode(F.sequence(F.make_date("year", F.lit(6), F.lit(1)), F.make_date("year", F.lit(9), F.lit(30)))).alias("day")).select("year", S(F.col("day")).alias("day"))
 
 
-@query("p07_longitude_wrap", "SELECT DISTINCT user_id, round(((user_id * 7.5 + 180) % 360 + 360) % 360 - 180, 6) AS lon FROM events")
+@query("p07_longitude_wrap", "SELECT DISTINCT user_id, round(((user_id * 7.5 + 180) % 360 + 360) % 360 - 180, 6)::DOUBLE AS lon FROM events")
 def p07(spark, d):
     return R6(table(spark, d, "events").select("user_id").distinct().select("user_id", space.wrap_longitude(F.col("user_id") * 7.5).alias("lon")))
 
