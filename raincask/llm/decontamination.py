@@ -150,6 +150,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 13, id_co
     matches = found.join(broadcast_items, ["h", "size"]).groupBy("th").agg(F.collect_list(F.struct("at", "size", "item_id", "raw", "form")).alias("matches"))
     hit = may_match(base, found.select(F.col("th").alias("key")), F.col("th")).dropDuplicates(["th"])
     tokens = hit.join(matches, "th").select("th", "matches", words(F.col("text")).alias("raw"), words(template(F.col("text"))).alias("form"))
+    tokens = materialise(tokens, "matching-words")  # else each use in a lambda would make its template anew
     right = tokens.select("th", F.filter("matches", lambda m: _fits(m, "raw", "form")).alias("matches"), "raw").where(F.size("matches") > 0)
     told = right.select("th", F.size("matches").cast("long").alias("n_windows"), F.size(F.filter("matches", lambda m: _same(m, "raw"))).cast("long").alias("n_verbatim"), F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"]))).alias("items"))
     return base.select("doc_id", "th").join(told, "th", "left").select("doc_id", F.col("n_windows").isNotNull().alias("contaminated"), F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"), F.coalesce("n_verbatim", F.lit(0)).cast("long").alias("n_verbatim"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
