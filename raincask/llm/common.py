@@ -99,6 +99,16 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", bits: int
 
 
 # ---------------------------------------------------------------- Arrow batches
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks and stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece holds at most `most` bytes of `column`, one row at least."""
     a = batch.column(batch.schema.get_field_index(column))
@@ -110,6 +120,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
         end = max(start + 1, int(np.searchsorted(size, size[start] + most, "right")) - 1)
         yield batch.slice(start, end - start)
         start = end
+    give_back()
 
 
 def raw_bytes(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:

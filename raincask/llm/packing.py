@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .common import materialise, ragged, raw_bytes, slices, text_or_empty
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 END_OF_TEXT = "<|endoftext|>"
 #: Bytes that are or may end, or may begin, a white-space character in UTF-8 (fixed values).
 MAY_END_SPACE = [*range(0x09, 0x0E), *range(0x1C, 0x21), *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]

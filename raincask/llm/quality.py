@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import materialise, raw_bytes, slices, text_or_empty
 from .substring_dedup import words_of
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Classes of bytes that are counted: name, members.
 BYTE_CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",

@@ -24,17 +24,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, materialise, mix, slices, text_or_empty
+from .common import give_back, join_counted, materialise, mix, slices, text_or_empty
 from .components import components
 from .substring_dedup import word_hashes, words_of
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Generator polynomial of the binary Golay code of length 23 (fixed value).
 GOLAY = 0b110001110101
 WIDTHS = (22, 21, 21)
 MOST_BITS = 4
 #: Fingerprints a batch; keys a bucket on average.
-BATCH, BUCKET_KEYS = 4096, 1 << 20
+BATCH, BUCKET_KEYS = 2048, 1 << 18
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -169,6 +169,7 @@ def _deal(buckets: int):
                     own, at = np.unique(row[a:b], return_inverse=True)
                     out.append(z.compress(struct.pack("<qq", b - a, len(own)) + np.diff(key[a:b], prepend=np.uint64(0)).tobytes() + fps[own].tobytes() + at.astype(np.uint16).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[head], pa.int32()), pa.array(out, pa.binary())], ["bucket", "blob"])
+            give_back()
 
     return run
 
@@ -269,6 +270,7 @@ def fingerprint_links(distinct: DataFrame, count: int, most: int = MOST_BITS) ->
 
     def match(table: pa.Table) -> pa.Table:
         a, b = linked(table.column("blob").to_pylist(), most)
+        give_back()
         return pa.table([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
 
     return distinct.select("fp").mapInArrow(_deal(tasks), "bucket int, blob binary").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(match, "u long, v long")
