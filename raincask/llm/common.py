@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import struct
 import tempfile
 import uuid
@@ -99,6 +100,19 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", bits: int
 
 
 # ---------------------------------------------------------------- Arrow batches
+@contextlib.contextmanager
+def rows_per_batch(spark: SparkSession, most: int) -> Iterator[None]:
+    """What runs inside hands Python at most `most` rows at a time: a batch of long texts is held whole on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    if not 0 < int(was) <= most:
+        spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers live on between tasks and stages."""
     import ctypes

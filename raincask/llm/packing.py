@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, ragged, raw_bytes, slices, text_or_empty
+from .common import materialise, ragged, raw_bytes, rows_per_batch, slices, text_or_empty
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, BATCH_ROWS = 1 << 19, 1000
 END_OF_TEXT = "<|endoftext|>"
 #: Bytes that are or may end, or may begin, a white-space character in UTF-8 (fixed values).
 MAY_END_SPACE = [*range(0x09, 0x0E), *range(0x1C, 0x21), *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]
@@ -267,7 +267,8 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, w
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    pieces = materialise(base.mapInArrow(_tokenise(vocabulary, capacity, with_ids), schema), "pieces")
+    with rows_per_batch(spark, BATCH_ROWS):
+        pieces = materialise(base.mapInArrow(_tokenise(vocabulary, capacity, with_ids), schema), "pieces")
     plan = make_plan({r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}, capacity)
     # Its rows depend on the capacity, not on the number of documents.
     table = F.broadcast(spark.createDataFrame(plan.segments().astype("int64"), "length long, from_rank long, to_rank long, base long, times long, at long"))
