@@ -184,6 +184,18 @@ def test_near_copies(spark):
     assert gone == {i: r for i, r in root.items() if r != i}
 
 
+@pytest.mark.parametrize("limits", [{"GROUP": 8}, {"GROUP_BYTES": 4000}])
+def test_near_copies_in_rounds(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    words = prose(200).split()
+    rows = [(i, " ".join(w if k != 7 * i % 190 else "edit" for k, w in enumerate(words))) for i in range(40)]
+    pair = prose(150)
+    rows += [(100, pair), (101, pair + " more"), (102, None), (103, "")]
+    gone = {r.doc_id for r in near_dedup.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert gone == {*range(1, 40), 101, 103}
+
+
 def test_decontamination(spark):
     item = "We know that in the year of the flood old Bob had 5 red apples and he ate 2 of them while Bob gave 1 to his friend"
     bench = spark.createDataFrame([(1, item), (2, "Too short"), (3, None)], "item_id long, text string")
