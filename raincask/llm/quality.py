@@ -18,10 +18,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, raw_bytes, slices, text_or_empty
+from .common import materialise, raw_bytes, rows_per_batch, slices, text_or_empty
 from .substring_dedup import words_of
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, BATCH_ROWS = 2 << 20, 1000
 #: Classes of bytes that are counted: name, members.
 BYTE_CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -181,7 +181,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     empty table gives no rows; without labels every score is that of one pooled class, a half. Other
     columns are ignored.
     """
-    described = materialise(describe(docs, id_col, text_col), "statistics")
+    with rows_per_batch(docs.sparkSession, BATCH_ROWS):
+        described = materialise(describe(docs, id_col, text_col), "statistics")
     model = fit(described, labels.where(~held_out()), F.col("quality"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
