@@ -6,14 +6,13 @@ and one of four almost sure). Candidates hang together in components; within one
 similarities of the shingle sets decide. Jaccard distance is a metric, so a text close to a pivot needs
 no other comparison, and texts of clusters with distant pivots need none.
 
-A component of more than GROUP texts or GROUP_BYTES of text is worked off in rounds: random parts of about
-that size, then what stays of them in other parts, until one part holds it all or QUIET rounds in a row
-have found nothing. Other components are never split.
+A component of more than GROUP texts or GROUP_BYTES of text is cut into blocks of half that size, and each
+pair of blocks is decided in a task of its own. So each two texts of a component meet, and the links found
+hang together over all blocks. The work on such a component grows with the square of its blocks.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from .simhash import MOST_BITS, SLICE_BYTES, fingerprint_links, word_fingerprint
 from .substring_dedup import word_hashes, words_of
 
 SEEDS, BATCH_ROWS = 4, 1000
-GROUP, GROUP_BYTES, QUIET = 20_000, 64 << 20, 3
+GROUP, GROUP_BYTES = 20_000, 64 << 20
 
 
 def shingle_sets(text: pa.Array, words: int) -> list[np.ndarray]:
@@ -110,8 +109,7 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, seeds: int
     Groups hang together over links of `least` Jaccard similarity of `words`-word shingles (A-Z in lower
     case) among candidates; the least id stays. Null ids take no part; empty texts are copies of each
     other; an id that repeats counts as one document, with the first of its texts by order. An empty
-    table gives no rows; other columns are ignored. Of a component worked off in rounds, keep_id is the
-    text kept in the round, which a later one may let go.
+    table gives no rows; other columns are ignored.
     """
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     with rows_per_batch(docs.sparkSession, BATCH_ROWS):
@@ -129,20 +127,18 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, seeds: int
     group = materialise(components(links), "candidate-groups").toDF("doc_id", "root")
     texts = may_match(base, group.select(F.xxhash64("doc_id").alias("key")), F.xxhash64("doc_id")).groupBy("doc_id").agg(F.min("text").alias("text"))
     left = materialise(texts.join(group, "doc_id").select("doc_id", "text", "root", F.octet_length("text").cast("long").alias("size")), "candidate-texts")
-    gone, quiet = None, 0
-    for turn in itertools.count():
-        parts = F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("size") / GROUP_BYTES), F.lit(1))
-        sizes = materialise(left.groupBy("root").agg(F.count("*").alias("n"), parts.cast("long").alias("parts")), "group-sizes")
-        whole = sizes.agg(F.max("parts").alias("most"), F.sum("n").alias("n")).first()
-        split = (whole["most"] or 1) > 1
-        dealt = join_counted(left, sizes, "root", "n", whole["n"], F.col("doc_id")) if split else left.withColumn("parts", F.lit(1))
-        part = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.col("parts")).alias("part")
-        done = materialise(dealt.select("doc_id", "text", "root", part).groupBy("root", "part").applyInArrow(_decide(words, least), "doc_id long, keep_id long"), "near-copies")
-        gone = done if gone is None else gone.unionByName(done)
-        quiet = 0 if not split or done.limit(1).count() else quiet + 1
-        if not split or quiet == QUIET:
-            return gone
-        left = materialise(dealt.where("parts > 1").select(*left.columns).join(done, "doc_id", "left_anti"), "candidate-texts")
+    over = F.greatest(F.count("*") / GROUP, F.sum("size") / GROUP_BYTES)
+    blocks = F.when(over > 1, F.ceil(2 * over)).otherwise(1).cast("long")
+    sizes = materialise(left.groupBy("root").agg(F.count("*").alias("n"), blocks.alias("blocks")), "group-sizes")
+    whole = sizes.agg(F.max("blocks").alias("most"), F.sum("n").alias("n")).first()
+    if (whole["most"] or 1) == 1:
+        return materialise(left.groupBy("root").applyInArrow(_decide(words, least), "doc_id long, keep_id long"), "near-copies")
+    mine = join_counted(left, sizes, "root", "n", whole["n"], F.col("doc_id")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    # A block's own pairs are met with those of any other block; a component of one block has only itself.
+    met = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> block OR blocks = 1")
+    pairs = met.select("doc_id", "text", "root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    found = materialise(pairs.groupBy("root", "x", "y").applyInArrow(_decide(words, least), "doc_id long, keep_id long"), "near-copies")
+    return components(found.toDF("u", "v")).where("node <> root").toDF("doc_id", "keep_id")
 
 
 def _decide(words: int, least: float):

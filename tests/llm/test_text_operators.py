@@ -196,6 +196,19 @@ def test_near_copies_in_rounds(spark, monkeypatch, limits):
     assert gone == {*range(1, 40), 101, 103}
 
 
+@pytest.mark.parametrize("limits", [{"GROUP": 6}, {"GROUP_BYTES": 6000}])
+def test_near_copies_of_a_large_component_are_those_of_a_small_one(spark, monkeypatch, limits):
+    words = prose(200).split()
+    # A chain: each text is close to its neighbours alone, so a text lost with its neighbour leaves a link undecided.
+    rows = [(i, " ".join("new" + w if k < 6 * i else w for k, w in enumerate(words))) for i in range(24)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    small = {r.doc_id: r.keep_id for r in near_dedup.near_copies(frame).collect()}
+    assert len(small) > 15
+    for name, value in limits.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    assert {r.doc_id: r.keep_id for r in near_dedup.near_copies(frame).collect()} == small
+
+
 def test_decontamination(spark):
     item = "We know that in the year of the flood old Bob had 5 red apples and he ate 2 of them while Bob gave 1 to his friend"
     bench = spark.createDataFrame([(1, item), (2, "Too short"), (3, None)], "item_id long, text string")
