@@ -1,8 +1,10 @@
-"""Near-dedup of texts: SimHash candidates by Golay keys, verified by the similarity of word shingles.
+"""Near-dedup of texts: candidates by SimHash and MinHash, verified by the similarity of word shingles.
 
-Several independent fingerprints over single words find the candidates (`SEEDS`; texts that share 0.8 of
-their five-word shingles share nearly all words, so one fingerprint of few differing bits is likely,
-and one of four almost sure). Candidates hang together in components; within one, exact Jaccard
+Candidates are texts with a near fingerprint over single words, of several independent ones (`SEEDS`;
+composite Golay keys), and texts that share a band of MinHashes of their shingles (`BANDS` bands of
+`BAND_ROWS`). Fingerprints alone find scattered edits, but few appended, cut or replaced blocks; bands
+depend on the similarity of the shingles alone and miss a pair at 0.8 once in about 8 million, closer
+ones less often still. Candidates hang together in components; within one, exact Jaccard
 similarities of the shingle sets decide. Jaccard distance is a metric, so a text close to a pivot needs
 no other comparison, and texts of clusters with distant pivots need none.
 
@@ -26,6 +28,7 @@ from .simhash import MOST_BITS, SLICE_BYTES, fingerprint_links, word_fingerprint
 from .substring_dedup import word_hashes, words_of
 
 SEEDS, BATCH_ROWS = 4, 1000
+BANDS, BAND_ROWS = 40, 5
 GROUP, GROUP_BYTES = 20_000, 64 << 20
 
 
@@ -44,6 +47,21 @@ def shingle_sets(text: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
+def bands(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """BANDS hashes of each set, each over BAND_ROWS least values under hashing; empty sets have none."""
+    salts = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+    out = []
+    for s in sets:
+        low = np.full(len(salts), np.iinfo(np.uint64).max, np.uint64)
+        for i in range(0, len(s), 1024):
+            np.minimum(low, np.multiply.outer(salts, s[i : i + 1024]).min(axis=1), out=low)
+        key = np.arange(BANDS, dtype=np.uint64)
+        for column in low.reshape(BANDS, BAND_ROWS).T:
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
+        out.append(key if len(s) else key[:0])
+    return out
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) or not len(b):
         return float(len(a) == len(b))
@@ -92,13 +110,18 @@ def similar_groups(sets: list[np.ndarray], least: float) -> np.ndarray:
     return np.array([find(i) for i in range(n)])
 
 
-def _print(seeds: int):
+def _print(seeds: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
+                ids = part.column(0)
                 prints = word_fingerprints(part.column(1), seeds)
                 for k, x in enumerate(prints):
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(x), k, np.int32)), pa.array(x.view(np.int64))], ["doc_id", "seed", "fp"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(x), k, np.int32)), pa.array(x.view(np.int64))], ["doc_id", "seed", "fp"])
+                keys = bands(shingle_sets(part.column(1), words))
+                rows = ids.take(pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys])))
+                flat = np.concatenate(keys)
+                yield pa.RecordBatch.from_arrays([rows, pa.array(np.full(len(flat), seeds, np.int32)), pa.array(flat.view(np.int64))], ["doc_id", "seed", "fp"])
 
     return run
 
@@ -113,8 +136,12 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, seeds: int
     """
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     with rows_per_batch(docs.sparkSession, BATCH_ROWS):
-        printed = materialise(base.mapInArrow(_print(seeds), "doc_id long, seed int, fp long"), "word-fingerprints")
-    links = None
+        printed = materialise(base.mapInArrow(_print(seeds, words), "doc_id long, seed int, fp long"), "word-fingerprints")
+    # Texts of a band hang on the least of them, which keeps them in one component however many they are.
+    banded = printed.where(F.col("seed") == seeds).select("doc_id", "fp")
+    shared = materialise(banded.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "shared-bands")
+    held = materialise(may_match(banded, shared.select(F.col("fp").alias("key")), F.col("fp")), "banded")
+    links = join_counted(held, shared, "fp", "n", held.count(), F.col("doc_id")).where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
     for seed in range(seeds):
         mine = printed.where(F.col("seed") == seed)
         first = materialise(mine.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
@@ -123,7 +150,7 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, seeds: int
         over = near.join(names.toDF("u", "a"), "u").join(names.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
         same = mine.join(names.join(first.where("n > 1").select("fp"), "fp", "left_semi"), "fp").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
         both = over.unionByName(same)
-        links = both if links is None else links.unionByName(both)
+        links = links.unionByName(both)
     group = materialise(components(links), "candidate-groups").toDF("doc_id", "root")
     texts = may_match(base, group.select(F.xxhash64("doc_id").alias("key")), F.xxhash64("doc_id")).groupBy("doc_id").agg(F.min("text").alias("text"))
     left = materialise(texts.join(group, "doc_id").select("doc_id", "text", "root", F.octet_length("text").cast("long").alias("size")), "candidate-texts")

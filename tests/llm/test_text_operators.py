@@ -209,6 +209,19 @@ def test_near_copies_of_a_large_component_are_those_of_a_small_one(spark, monkey
     assert {r.doc_id: r.keep_id for r in near_dedup.near_copies(frame).collect()} == small
 
 
+def test_near_copies_with_blocks_appended_cut_or_replaced(spark):
+    rows = []
+    for k in range(60):
+        words = prose(R.choice((30, 120, 400))).split()
+        n = len(words) * R.choice((5, 10, 15, 20)) // 100
+        other = {0: words + prose(n + 1).split(), 1: words[n:], 2: words[:-n], 3: words[: len(words) // 2] + prose(n // 2 + 1).split() + words[len(words) // 2 + n // 2 + 1 :]}[k % 4]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    near = {2 * k + 1: 2 * k for k in range(60) if len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) >= 0.8}
+    assert len(near) > 30
+    assert {r.doc_id: r.keep_id for r in near_dedup.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == near
+
+
 def test_decontamination(spark):
     item = "We know that in the year of the flood old Bob had 5 red apples and he ate 2 of them while Bob gave 1 to his friend"
     bench = spark.createDataFrame([(1, item), (2, "Too short"), (3, None)], "item_id long, text string")
