@@ -5,10 +5,16 @@ resulting templates are hashed and joined between documents and benchmark items.
 fill the slots consistently: wherever the item repeats a value, the document repeats its own value
 there. So a question with other numbers or names is caught, and a look-alike that mixes them is not.
 
+What precedes a window decides whether its first word is a name or a unit. So item windows come in each
+form that their first word can take; in a form other than the item's own, the document has to have the
+same first word. Beside templates, each window is matched by its plain words (without case and outer
+punctuation).
+
 Most documents share nothing with a benchmark, and templates are dear. So each item window names an
-anchor, its longest adjacent pair of literal words (its longest word if it has no pair), and
-templates are made only of documents with an anchor. A document that matches a window has its literal
-words, so this loses nothing.
+anchor, its longest adjacent pair of literal words (its longest word if it has no pair; of all words if
+literal ones have no letters), and templates are made only of documents with an anchor. A document that
+matches a window has its literal words, so this loses nothing. If a window has no letters at all,
+templates are made of all documents.
 
 The benchmark's windows are broadcast if there are BROADCAST_WINDOWS at most, which is counted, and
 joined by a shuffle otherwise. Texts of matching documents alone shuffle for the slot check, picked by
@@ -24,7 +30,7 @@ from .common import materialise, may_match, text_or_empty
 
 WORDS = r"[\x20\x09-\x0D]+"
 BROADCAST_WINDOWS = 2_000_000
-#: Windows with fewer literal words than this share of their length are no evidence. Items of fewer words never match.
+#: Windows with fewer literal words than this share of their length, and items of fewer words, match by their plain words only.
 LITERAL_SHARE, LEAST_WORDS = 0.5, 5
 #: Units of measure that follow a number (fixed values, singular; a plural s may follow).
 UNITS = (
@@ -55,9 +61,15 @@ def template(text: Column) -> Column:
     return F.regexp_replace(unit, _OUTER, "")
 
 
-def window_hashes(tokens: str, length: int) -> Column:
-    at = F.sequence(F.lit(1), F.size(tokens) - length + 1)
-    return F.when(F.size(tokens) >= length, F.transform(at, lambda i: F.xxhash64(F.slice(tokens, i, length), F.lit(length))))
+def plain(text: Column) -> Column:
+    """The text in lower case and without outer punctuation; it has the same words in number as the text."""
+    return F.regexp_replace(F.lower(F.regexp_replace(text, "[<>]", "^")), _OUTER, "")
+
+
+def window_hashes(tokens: str, sign: int) -> Column:
+    """Hashes of the windows of `size` (a column) words, times `sign`: 1 for templates and -1 for plain words."""
+    at = F.sequence(F.lit(1), F.size(tokens) - F.col("size") + 1)
+    return F.when(F.size(tokens) >= F.col("size"), F.transform(at, lambda i: F.xxhash64(F.slice(F.col(tokens), i, F.col("size")), F.col("size") * sign)))
 
 
 def letter_runs(text: Column) -> Column:
@@ -74,20 +86,24 @@ def single_hashes(runs: str) -> Column:
 
 
 def anchors(items: DataFrame) -> DataFrame:
-    """(h, single): one anchor for each item window."""
+    """(h, single): one anchor for each item window; h is null for windows without letters."""
     # Slots break the window into stretches of literal words; pairs within a stretch are adjacent in a match.
-    stretches = F.filter(F.split(F.array_join(F.transform("form", lambda w: F.when(w.contains("<"), F.lit("\u0000")).otherwise(w)), " "), "\u0000"), lambda x: x != "")
-    runs = items.withColumn("stretch", F.explode(stretches)).select("h", "size", letter_runs(F.col("stretch")).alias("runs"))
+    stretches = F.filter(F.split(F.array_join(F.transform("own", lambda w: F.when(w.contains("<"), F.lit("\u0000")).otherwise(w)), " "), "\u0000"), lambda x: x.rlike(r"\p{L}"))
+    each = items.select("key", "own", "plain").distinct().withColumn("stretches", stretches)
+    each = each.select("key", F.explode(F.when(F.size("stretches") > 0, F.col("stretches")).otherwise(F.array(F.array_join("plain", " ")))).alias("stretch"))
+    runs = each.select("key", letter_runs(F.col("stretch")).alias("runs"))
     # Long words are rare ones; of equally long anchors the least hash is taken, so that neighbouring windows agree.
     pair = F.transform(pair_hashes("runs"), lambda h, i: F.struct((-F.length(F.element_at("runs", i + 1)) - F.length(F.element_at("runs", i + 2))).alias("rank"), h.alias("h")))
     single = F.transform("runs", lambda w: F.struct((-F.length(w)).alias("rank"), F.xxhash64(w).alias("h")))
-    each = runs.groupBy("h", "size").agg(F.min(F.array_min(pair)).alias("pair"), F.min(F.array_min(single)).alias("single"))
-    return each.select(F.coalesce("pair.h", "single.h").alias("h"), F.col("pair").isNull().alias("single")).where("h IS NOT NULL").distinct()
+    best = runs.groupBy("key").agg(F.min(F.array_min(pair)).alias("pair"), F.min(F.array_min(single)).alias("single"))
+    return best.select(F.coalesce("pair.h", "single.h").alias("h"), F.col("pair").isNull().alias("single")).distinct()
 
 
 def suspects(base: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows of base (th, text, ...) that may hold an item window: those with an anchor, and few others."""
+    """Rows of base (th, text, ...) that may hold an item window: those with an anchor and few others, or all."""
     marks = materialise(anchors(items), "anchors")
+    if marks.where("h IS NULL").limit(1).count():
+        return base
     runs = base.select("th", letter_runs(F.col("text")).alias("runs"))
     found = None
     for single in sorted(r["single"] for r in marks.select("single").distinct().collect()):  # two values at most
@@ -102,20 +118,35 @@ def suspects(base: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def item_windows(benchmark: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, size, raw, form, h): each window of each item; a shorter item is one window of its own size."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), text_or_empty(text_col).alias("t")).select("item_id", words(F.col("t")).alias("raw"), words(template(F.col("t"))).alias("form")).where((F.size("form") >= LEAST_WORDS) & (F.size("form") == F.size("raw")))
-    sized = items.withColumn("size", F.least(F.size("form"), F.lit(length)))
-    each = sized.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("form") - F.col("size") + 1))).select("item_id", "size", F.slice("raw", F.col("at"), F.col("size")).alias("raw"), F.slice("form", F.col("at"), F.col("size")).alias("form"))
+    """(item_id, size, raw, plain, own, key, how, form, h): each window of each item in each of its forms.
+
+    A shorter item is one window of its own size. `own` is the window's template within the item and `key`
+    its hash. `how` is 0 for that template, 1 for one with its first word as other contexts have it and
+    2 for plain words.
+    """
+    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), text_or_empty(text_col).alias("t")).select("item_id", words(F.col("t")).alias("raw"), words(plain(F.col("t"))).alias("plain"), words(template(F.col("t"))).alias("own"))
+    sized = items.where(F.size("raw") > 0).withColumn("size", F.least(F.size("raw"), F.lit(length)))
+    each = sized.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("raw") - F.col("size") + 1)))
+    each = each.select("item_id", "size", *(F.slice(c, F.col("at"), F.col("size")).alias(c) for c in ("raw", "plain", "own"))).withColumn("key", F.xxhash64("raw", "own"))
+    word, rest = F.element_at("raw", 1), F.slice("own", F.lit(2), F.col("size"))
+    # The first word at the start of a sentence, within one, and after a number.
+    firsts = F.array(*(F.element_at(words(template(F.concat(F.lit(before), word))), -1) for before in ("", "x ", "1 ")))
+    others = F.transform(F.filter(F.array_distinct(firsts), lambda w: w != F.element_at("own", 1)), lambda w: F.struct(F.lit(1).alias("how"), F.concat(F.array(w), rest).alias("form")))
+    own, bare = F.struct(F.lit(0).alias("how"), F.col("own").alias("form")), F.struct(F.lit(2).alias("how"), F.col("plain").alias("form"))
+    formed = each.withColumn("one", F.explode(F.concat(F.array(own, bare), others))).select(*each.columns, "one.how", "one.form")
     literal = F.size(F.filter("form", lambda w: ~w.contains("<")))
-    return each.where(literal >= F.col("size") * LITERAL_SHARE).withColumn("h", F.xxhash64("form", "size")).distinct()
+    kept = formed.where((F.col("size") >= LEAST_WORDS) & (literal >= F.col("size") * LITERAL_SHARE))
+    return kept.withColumn("h", F.xxhash64("form", F.when(F.col("how") == 2, -F.col("size")).otherwise(F.col("size")))).distinct()
 
 
-def _fits(match: Column, raw: str, form: str) -> Column:
-    """Whether the window has the item's template, slots filled by a function of the item's values."""
-    mine, theirs = F.slice(form, match["at"], match["size"]), match["form"]
+def _fits(match: Column, raw: str, form: str, bare: str) -> Column:
+    """Whether the window has the item's form, slots filled by a function of the item's values."""
+    theirs = match["form"]
+    mine = F.when(match["how"] == 2, F.slice(bare, match["at"], match["size"])).otherwise(F.slice(form, match["at"], match["size"]))
     slots = F.filter(F.arrays_zip(theirs.alias("form"), match["raw"].alias("item"), F.slice(raw, match["at"], match["size"]).alias("doc")), lambda z: z["form"].contains("<"))
     pairs = F.array_distinct(F.transform(slots, lambda z: F.struct(F.lower(z["item"]).alias("item"), F.lower(z["doc"]).alias("doc"))))
-    return (mine == theirs) & (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda z: z["item"]))))
+    first = (match["how"] != 1) | (F.element_at(F.slice(bare, match["at"], 1), 1) == match["first"])
+    return (mine == theirs) & first & (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda z: z["item"]))))
 
 
 def _same(match: Column, raw: str) -> Column:
@@ -127,8 +158,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 13, id_co
 
     n_windows counts (window, item window) matches with consistent slots, n_verbatim those of them
     with the item's own words but for case. A name counts by its capital within a sentence, so a text all
-    in capitals matches only where the item has no names. Null texts have no words. Items of fewer than LEAST_WORDS
-    words never match; those of fewer than `length` match as a whole. Ids may be null or repeat: rows
+    in capitals matches only by its plain words. Null texts have no words. Items of fewer than `length`
+    words match as a whole, those of fewer than LEAST_WORDS by their plain words only; items without words never. Ids may be null or repeat: rows
     with the same id and text get the same answer. Empty tables give no matches or no rows. Other
     columns are ignored.
     """
@@ -138,19 +169,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 13, id_co
     sizes = sorted(r["size"] for r in prints.select("size").distinct().collect())  # `length` values at most
     found = None
     some = suspects(base, items) if sizes else base
-    for size in sizes:
-        windows = some.select("th", words(template(F.col("text"))).alias("form")).select("th", F.posexplode(window_hashes("form", size)).alias("at", "h"))
-        mine = prints.where(F.col("size") == size)
-        part = windows.join(F.broadcast(mine) if mine.count() <= BROADCAST_WINDOWS else mine, "h").select("th", (F.col("at") + 1).alias("at"), "h", "size")
+    for tokens, sign in (("form", 1), ("plain", -1)) if sizes else ():
+        made = template(F.col("text")) if sign > 0 else plain(F.col("text"))
+        windows = some.select("th", words(made).alias(tokens)).select("th", tokens, F.explode(F.array(*map(F.lit, sizes))).alias("size"))
+        windows = windows.select("th", "size", F.posexplode(window_hashes(tokens, sign)).alias("at", "h"))
+        part = windows.join(F.broadcast(prints) if prints.count() <= BROADCAST_WINDOWS else prints, ["h", "size"]).select("th", (F.col("at") + 1).alias("at"), "h", "size")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return base.select("doc_id", F.lit(False).alias("contaminated"), F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("n_verbatim"), F.array().cast("array<long>").alias("items"))
     found = materialise(found.distinct(), "template-matches")
     broadcast_items = F.broadcast(items) if items.count() <= BROADCAST_WINDOWS // 10 else items
-    matches = found.join(broadcast_items, ["h", "size"]).groupBy("th").agg(F.collect_list(F.struct("at", "size", "item_id", "raw", "form")).alias("matches"))
+    matches = found.join(broadcast_items, ["h", "size"]).groupBy("th").agg(F.collect_list(F.struct("at", "size", "item_id", "raw", "key", "how", "form", F.element_at("plain", 1).alias("first"))).alias("matches"))
     hit = may_match(base, found.select(F.col("th").alias("key")), F.col("th")).dropDuplicates(["th"])
-    tokens = hit.join(matches, "th").select("th", "matches", words(F.col("text")).alias("raw"), words(template(F.col("text"))).alias("form"))
+    tokens = hit.join(matches, "th").select("th", "matches", words(F.col("text")).alias("raw"), words(template(F.col("text"))).alias("form"), words(plain(F.col("text"))).alias("plain"))
     tokens = materialise(tokens, "matching-words")  # else each use in a lambda would make its template anew
-    right = tokens.select("th", F.filter("matches", lambda m: _fits(m, "raw", "form")).alias("matches"), "raw").where(F.size("matches") > 0)
+    fit = F.filter("matches", lambda m: _fits(m, "raw", "form", "plain"))
+    # A window that fits in several forms counts once.
+    once = F.array_distinct(F.transform(fit, lambda m: F.struct(*(m[c].alias(c) for c in ("at", "size", "item_id", "raw", "key")))))
+    right = tokens.select("th", once.alias("matches"), "raw").where(F.size("matches") > 0)
     told = right.select("th", F.size("matches").cast("long").alias("n_windows"), F.size(F.filter("matches", lambda m: _same(m, "raw"))).cast("long").alias("n_verbatim"), F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"]))).alias("items"))
     return base.select("doc_id", "th").join(told, "th", "left").select("doc_id", F.col("n_windows").isNotNull().alias("contaminated"), F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"), F.coalesce("n_verbatim", F.lit(0)).cast("long").alias("n_verbatim"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))

@@ -236,6 +236,19 @@ def test_decontamination(spark):
     assert none.where("contaminated").count() == 0 and none.count() == len(rows)
 
 
+def found_items(spark, texts, items):
+    out = decontamination.decontaminate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    return {r.doc_id: list(r["items"]) for r in out.collect()}
+
+
+def test_items_are_found_after_any_text(spark):
+    items = ["What is the capital of France?", "Name the five longest rivers of old Europe in order of their length", "Second place went to nobody else"]
+    before = ("", "1) ", "A heading\n", "they asked us ", "it took 5 ")
+    texts = [b + i + a for i in items for b in before for a in ("", " Then more.")] + ["1) What is the capital of Spain?", "they said Paris is the capital of France?", "WHAT IS THE CAPITAL OF FRANCE"]
+    n = len(before) * 2
+    assert found_items(spark, texts, items) == {**{k: [k // n] for k in range(3 * n)}, 3 * n: [0], 3 * n + 1: [], 3 * n + 2: [0]}
+
+
 def test_slots_have_to_be_consistent(spark):
     item = "then it was Bob who had five and it was then Bob who ate"
     same, mixed = item.replace("Bob", "Eve"), item.replace("Bob", "Eve", 1).replace("Bob", "Ann")
