@@ -8,7 +8,7 @@ there. So a question with other numbers or names is caught, and a look-alike tha
 What precedes a window decides whether its first word is a name or a unit. So item windows come in each
 form that their first word can take; in a form other than the item's own, the document has to have the
 same first word. Beside templates, each window is matched by its plain words (without case and outer
-punctuation).
+punctuation), the only way for short items and for windows of mostly slots.
 
 Most documents share nothing with a benchmark, and templates are dear. So each item window names an
 anchor, its longest adjacent pair of literal words (its longest word if it has no pair; of all words if
@@ -135,7 +135,7 @@ def item_windows(benchmark: DataFrame, length: int, id_col: str, text_col: str)
     own, bare = F.struct(F.lit(0).alias("how"), F.col("own").alias("form")), F.struct(F.lit(2).alias("how"), F.col("plain").alias("form"))
     formed = each.withColumn("one", F.explode(F.concat(F.array(own, bare), others))).select(*each.columns, "one.how", "one.form")
     literal = F.size(F.filter("form", lambda w: ~w.contains("<")))
-    kept = formed.where((F.col("size") >= LEAST_WORDS) & (literal >= F.col("size") * LITERAL_SHARE))
+    kept = formed.where((F.col("how") == 2) | ((F.col("size") >= LEAST_WORDS) & (literal >= F.col("size") * LITERAL_SHARE)))
     return kept.withColumn("h", F.xxhash64("form", F.when(F.col("how") == 2, -F.col("size")).otherwise(F.col("size")))).distinct()
 
 

@@ -249,6 +249,16 @@ def test_items_are_found_after_any_text(spark):
     assert found_items(spark, texts, items) == {**{k: [k // n] for k in range(3 * n)}, 3 * n: [0], 3 * n + 1: [], 3 * n + 2: [0]}
 
 
+@pytest.mark.parametrize("item", ["12 + 7 = ?", "1 2 3 5 8 13 21 34", "Ann Bob Carl Dora Eve Fred Gina", "Who wrote Hamlet?", "! ?"])
+def test_items_of_few_words_or_letters_are_found_word_for_word(spark, item):
+    assert found_items(spark, [item, "so 3) " + item + " End", prose(40)], [item]) == {0: [0], 1: [0], 2: []}
+
+
+def test_short_items_beside_others(spark):
+    items = ["12 + 7 = ?", "The river runs from the lake to the sea"]
+    assert found_items(spark, ["see 12 + 7 = ?", "see 13 + 7 = ?", "and the river runs from the lake to the sea", "nothing"], items) == {0: [0], 1: [0], 2: [1], 3: []}
+
+
 def test_slots_have_to_be_consistent(spark):
     item = "then it was Bob who had five and it was then Bob who ate"
     same, mixed = item.replace("Bob", "Eve"), item.replace("Bob", "Eve", 1).replace("Bob", "Ann")
