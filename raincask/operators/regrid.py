@@ -99,3 +99,24 @@ def bridge_rows(districts: list[tuple[str, list[tuple[float, float]]]], cells: l
         total = sum(a for *_, a in rows)
         out += [(name, iy, ix, a / total, fallback) for iy, ix, a in rows]
     return out
+
+
+def bridge(cells: DataFrame, districts: list[tuple[str, list[tuple[float, float]]]], step: float) -> DataFrame:
+    """`bridge_rows` over a table of valid cells (iy, ix, lat, lon); of equally near cells the least (iy, ix) is taken."""
+
+    def meet(frames):
+        import pandas as pd
+
+        for f in frames:
+            rows = [(name, c.iy, c.ix, area(clip_to_box(polygon, c.lon - step / 2, c.lat - step / 2, c.lon + step / 2, c.lat + step / 2))) for c in f.itertuples() for name, polygon in districts]
+            yield pd.DataFrame([r for r in rows if r[3] > 0], columns=["district", "iy", "ix", "a"]).astype({"district": "object", "iy": "int32", "ix": "int32", "a": "float64"})
+
+    met = cells.select("iy", "ix", "lat", "lon").mapInPandas(meet, "district string, iy int, ix int, a double")
+    total = met.groupBy("district").agg(F.sum("a").alias("total"))
+    own = met.join(F.broadcast(total), "district").select("district", "iy", "ix", (F.col("a") / F.col("total")).alias("w"), F.lit(False).alias("fallback"))
+    spark = cells.sparkSession
+    middles = spark.createDataFrame([(name, *(sum(p[k] for p in polygon) / len(polygon) for k in (0, 1))) for name, polygon in districts], "district string, cx double, cy double")
+    lone = F.broadcast(middles.join(total, "district", "left_anti"))
+    away = F.pow(F.col("lat") - F.col("cy"), 2) + F.pow(F.col("lon") - F.col("cx"), 2)
+    near = cells.crossJoin(lone).groupBy("district").agg(F.min(F.struct(away.alias("away"), "iy", "ix")).alias("c"))
+    return own.unionByName(near.select("district", "c.iy", "c.ix", F.lit(1.0).alias("w"), F.lit(True).alias("fallback")))

@@ -96,9 +96,8 @@ TILES = [("A", [(69.0, 8.0), (75.0, 8.0), (75.0, 14.0), (69.0, 14.0)]), ("B", [(
 
 @query("j08_district_bridge")
 def j08(spark, d):
-    """Polygon and cell overlaps; cells of a grid are few, days are many, so the table is made once and broadcast."""
-    own = [(r.iy, r.ix, r.lat, r.lon) for r in cells(spark, d).where("land AND iy < 10").select("iy", "ix", "lat", "lon").limit(20_000).collect()]
-    return R6(spark.createDataFrame(G.bridge_rows(TILES, own, 1.5), "district string, iy int, ix int, w double, fallback boolean"))
+    """Polygon and cell overlaps, over all land cells of the grid."""
+    return R6(G.bridge(cells(spark, d).where("land"), TILES, 1.5))
 
 
 INFLUENCE = """SELECT label, cell, code, km, ord FROM (SELECT label, c.cell, s.code, s.ord, round(sqrt(pow((c.lat - s.lat) * 111, 2) + pow((c.lon - s.lon) * 111 * cos(radians(s.lat)), 2)), 4) AS km,

@@ -201,3 +201,14 @@ def test_streaming_day_equals_batch(spark, tmp_path):
     q = daily_sums(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("days").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r.granules, r.rain) for r in spark.table("days").collect()) == [(47, None), (48, 24.0)]
+
+
+def test_district_bridge_takes_the_whole_grid(spark, tmp_path):
+    from raincask.plans import q_joins, registry, views
+
+    spark.range(400).selectExpr("id AS user_id").write.parquet(str(tmp_path / "events.parquet"))
+    land = views.cells(spark, str(tmp_path)).where("land").orderBy("iy", "ix").collect()
+    brute = regrid.bridge_rows(q_joins.TILES, [(r.iy, r.ix, r.lat, r.lon) for r in land], 1.5)
+    got = registry.QUERIES["j08_district_bridge"](spark, str(tmp_path)).collect()
+    assert {(r.district, r.iy, r.ix): (round(r.w, 6), r.fallback) for r in got} == {(n, y, x): (round(w, 6), f) for n, y, x, w, f in brute}
+    assert len(got) == len(brute) and max(r.iy for r in got) >= 10
