@@ -101,20 +101,33 @@ def bridge_rows(districts: list[tuple[str, list[tuple[float, float]]]], cells: l
     return out
 
 
-def bridge(cells: DataFrame, districts: list[tuple[str, list[tuple[float, float]]]], step: float) -> DataFrame:
-    """`bridge_rows` over a table of valid cells (iy, ix, lat, lon); of equally near cells the least (iy, ix) is taken."""
+def _clipped(points: str, axis: str, bound: Column, keep_above: bool) -> Column:
+    """`clip_to_box` for one side, over an array column of points (x, y)."""
+    inside = lambda p: p[axis] >= bound if keep_above else p[axis] <= bound
+    none = F.slice(F.col(points), 1, 0)
 
-    def meet(frames):
-        import pandas as pd
+    def edge(a: Column, i: Column) -> Column:
+        b = F.element_at(F.col(points), (i + 1) % F.size(points) + 1)
+        t = (bound - a[axis]) / (b[axis] - a[axis])
+        met = F.struct(*((a[c] + t * (b[c] - a[c])).alias(c) for c in ("x", "y")))
+        return F.concat(F.when(inside(a), F.array(a)).otherwise(none), F.when(inside(a) != inside(b), F.array(met)).otherwise(none))
 
-        for f in frames:
-            rows = [(name, c.iy, c.ix, area(clip_to_box(polygon, c.lon - step / 2, c.lat - step / 2, c.lon + step / 2, c.lat + step / 2))) for c in f.itertuples() for name, polygon in districts]
-            yield pd.DataFrame([r for r in rows if r[3] > 0], columns=["district", "iy", "ix", "a"]).astype({"district": "object", "iy": "int32", "ix": "int32", "a": "float64"})
+    return F.flatten(F.transform(points, edge))
 
-    met = cells.select("iy", "ix", "lat", "lon").mapInPandas(meet, "district string, iy int, ix int, a double")
+
+def bridge(cells: DataFrame, districts: list[tuple[str, list[tuple[float, float]]]], step: float) -> DataFrame:
+    """`bridge_rows` over a table of valid cells (iy, ix, lat, lon); of equally near cells the least (iy, ix) is taken."""
+    spark = cells.sparkSession
+    outlines = F.broadcast(spark.createDataFrame(districts, "district string, points array<struct<x: double, y: double>>"))
+    met = cells.select("iy", "ix", "lat", "lon").crossJoin(outlines)
+    for axis, at in (("x", "lon"), ("y", "lat")):
+        for side, above in ((-step / 2, True), (step / 2, False)):
+            # explode keeps each step's points from being written out in full wherever the next uses them.
+            met = met.withColumn("points", F.explode(F.array(_clipped("points", axis, F.col(at) + side, above))))
+    turn = F.transform("points", lambda a, i: a["x"] * F.element_at("points", (i + 1) % F.size("points") + 1)["y"] - F.element_at("points", (i + 1) % F.size("points") + 1)["x"] * a["y"])
+    met = met.select("district", "iy", "ix", (F.abs(F.aggregate(turn, F.lit(0.0), lambda n, v: n + v)) / 2).alias("a")).where("a > 0")
     total = met.groupBy("district").agg(F.sum("a").alias("total"))
     own = met.join(F.broadcast(total), "district").select("district", "iy", "ix", (F.col("a") / F.col("total")).alias("w"), F.lit(False).alias("fallback"))
-    spark = cells.sparkSession
     middles = spark.createDataFrame([(name, *(sum(p[k] for p in polygon) / len(polygon) for k in (0, 1))) for name, polygon in districts], "district string, cx double, cy double")
     lone = F.broadcast(middles.join(total, "district", "left_anti"))
     away = F.pow(F.col("lat") - F.col("cy"), 2) + F.pow(F.col("lon") - F.col("cx"), 2)
