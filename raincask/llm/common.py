@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import struct
 import tempfile
 import uuid
@@ -16,9 +17,11 @@ from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- shared storage
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="raincask-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -91,12 +94,22 @@ def may_match(rows: DataFrame, keys: DataFrame, hashed: Column, bits: int = 1 <<
     return probed.where(hit).select(*rows.columns)
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", bits: int = 1 << 24) -> DataFrame:
-    """Rows of docs whose id is not in `gone`. Only rows that a filter of fixed size can't clear take part in a join."""
-    hashed = F.coalesce(F.xxhash64(id_col), F.lit(0))
-    keys = gone.select(F.xxhash64(F.col(id_col).cast(docs.schema[id_col].dataType)).alias("key"))
-    probed, hit = _probed(docs, keys, hashed, bits)
-    return probed.where(~hit).select(*docs.columns).unionByName(probed.where(hit).select(*docs.columns).join(gone.select(id_col).distinct(), id_col, "left_anti").select(*docs.columns))
+def text_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A hash that tells one (id, text) from another; null ids and null texts are values like any other."""
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(id_col).isNull(), text_or_empty(text_col))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 1 << 24) -> DataFrame:
+    """Rows of docs whose (id, text) is not in `gone`, which has them as the long column `key` (`text_key`).
+
+    So null ids go like others, and of an id with several texts only the texts meant go. Columns of docs
+    travel as one struct, so that no name of theirs can clash. Only rows that a filter of fixed size
+    can't clear take part in a join.
+    """
+    rows = docs.select(F.struct("*").alias("row"), text_key(id_col, text_col).alias("key"))
+    probed, hit = _probed(rows, gone, F.col("key"), bits)
+    left = probed.where(hit).select("row", "key").join(gone.select("key").distinct(), "key", "left_anti")
+    return probed.where(~hit).select("row").unionByName(left.select("row")).select("row.*")
 
 
 # ---------------------------------------------------------------- Arrow batches
@@ -168,6 +181,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each number, all first bytes first: packs better."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def from_planes(raw: bytes, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w consecutive values, by the two-scan block method."""
     n = len(x)

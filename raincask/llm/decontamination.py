@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, may_match, text_or_empty
+from .common import materialise, may_match, text_key, text_or_empty
 
 WORDS = r"[\x20\x09-\x0D]+"
 BROADCAST_WINDOWS = 2_000_000
@@ -153,7 +153,7 @@ def _same(match: Column, raw: str) -> Column:
     return F.lower(F.array_join(F.slice(raw, match["at"], match["size"]), " ")) == F.lower(F.array_join(match["raw"], " "))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", with_key: bool = False) -> DataFrame:
     """One row per input row: doc_id, contaminated, n_windows, n_verbatim, items (sorted ids of the items found).
 
     n_windows counts (window, item window) matches with consistent slots, n_verbatim those of them
@@ -161,9 +161,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 13, id_co
     in capitals matches only by its plain words. Null texts have no words. Items of fewer than `length`
     words match as a whole, those of fewer than LEAST_WORDS by their plain words only; items without words never. Ids may be null or repeat: rows
     with the same id and text get the same answer. Empty tables give no matches or no rows. Other
-    columns are ignored.
+    columns are ignored. With `with_key`, the `text_key` of each row follows.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("th", F.xxhash64("doc_id", "text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("th", text_key("doc_id", "text"))
+    more = [F.col("th").alias("key")] if with_key else []
     items = materialise(item_windows(benchmark, length, item_col, "text"), "item-windows")
     prints = items.select("h", "size").distinct()
     sizes = sorted(r["size"] for r in prints.select("size").distinct().collect())  # `length` values at most
@@ -176,7 +177,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 13, id_co
         part = windows.join(F.broadcast(prints) if prints.count() <= BROADCAST_WINDOWS else prints, ["h", "size"]).select("th", (F.col("at") + 1).alias("at"), "h", "size")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return base.select("doc_id", F.lit(False).alias("contaminated"), F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("n_verbatim"), F.array().cast("array<long>").alias("items"))
+        return base.select("doc_id", F.lit(False).alias("contaminated"), F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("n_verbatim"), F.array().cast("array<long>").alias("items"), *more)
     found = materialise(found.distinct(), "template-matches")
     broadcast_items = F.broadcast(items) if items.count() <= BROADCAST_WINDOWS // 10 else items
     matches = found.join(broadcast_items, ["h", "size"]).groupBy("th").agg(F.collect_list(F.struct("at", "size", "item_id", "raw", "key", "how", "form", F.element_at("plain", 1).alias("first"))).alias("matches"))
@@ -188,4 +189,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 13, id_co
     once = F.array_distinct(F.transform(fit, lambda m: F.struct(*(m[c].alias(c) for c in ("at", "size", "item_id", "raw", "key")))))
     right = tokens.select("th", once.alias("matches"), "raw").where(F.size("matches") > 0)
     told = right.select("th", F.size("matches").cast("long").alias("n_windows"), F.size(F.filter("matches", lambda m: _same(m, "raw"))).cast("long").alias("n_verbatim"), F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"]))).alias("items"))
-    return base.select("doc_id", "th").join(told, "th", "left").select("doc_id", F.col("n_windows").isNotNull().alias("contaminated"), F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"), F.coalesce("n_verbatim", F.lit(0)).cast("long").alias("n_verbatim"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
+    return base.select("doc_id", "th").join(told, "th", "left").select("doc_id", F.col("n_windows").isNotNull().alias("contaminated"), F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"), F.coalesce("n_verbatim", F.lit(0)).cast("long").alias("n_verbatim"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), *more)

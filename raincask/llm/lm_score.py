@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, text_bytes, slices, text_or_empty
+from .common import from_planes, materialise, mix, planes, slices, text_bytes, text_or_empty
 from .substring_dedup import word_hashes, words_of
 
 #: Bytes of text in a batch; bytes of text for each partition of the count table.
@@ -64,17 +64,6 @@ class Batch:
         return np.searchsorted(self.key, np.arange(self.parts + 1).astype(np.uint64) << np.uint64(HASH_BITS))
 
 
-def _planes(x: np.ndarray, width: int) -> bytes:
-    """The low `width` bytes of each number, all first bytes first: packs better."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def _from_planes(raw: bytes, n: int, width: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
-    return out.view("<u8").ravel()
-
-
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of documents: (batch, words, blob), the blob with ids and texts."""
     import uuid
@@ -126,7 +115,7 @@ def _explode(order: int, parts: int):
                 for p in range(parts):
                     k, n = b.key[cut[p] : cut[p + 1]] & np.uint64((1 << HASH_BITS) - 1), b.seen[cut[p] : cut[p + 1]]
                     if len(k):
-                        out.append((p, batch, z.compress(struct.pack("<q", len(k)) + _planes(np.diff(k, prepend=np.uint64(0)), HASH_BYTES) + _planes(n, 4))))
+                        out.append((p, batch, z.compress(struct.pack("<q", len(k)) + planes(np.diff(k, prepend=np.uint64(0)), HASH_BYTES) + planes(n, 4))))
                 if out:
                     cols = list(zip(*out))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["part", "batch", "blob"])
@@ -143,12 +132,12 @@ def _count(table: pa.Table) -> pa.Table:
     for blob in table.column("blob").to_pylist():
         raw = d.decompress(blob)
         n = struct.unpack_from("<q", raw)[0]
-        keys.append(np.cumsum(_from_planes(raw[8 : 8 + n * HASH_BYTES], n, HASH_BYTES)))
-        seen.append(_from_planes(raw[8 + n * HASH_BYTES :], n, 4))
+        keys.append(np.cumsum(from_planes(raw[8 : 8 + n * HASH_BYTES], n, HASH_BYTES)))
+        seen.append(from_planes(raw[8 + n * HASH_BYTES :], n, 4))
     key, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(seen)).astype(np.uint64)[at]
     ends = np.cumsum([len(k) for k in keys])
-    answers = [z.compress(_planes(t, 5)) for t in np.split(total, ends[:-1])]
+    answers = [z.compress(planes(t, 5)) for t in np.split(total, ends[:-1])]
     return pa.table([table.column("batch").combine_chunks(), table.column("part").combine_chunks(), pa.array(answers, pa.binary())], ["batch", "part", "counts"])
 
 
@@ -204,7 +193,7 @@ def lm_score(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str
         total, cut, d = np.zeros(len(b.key)), b.split(), zstandard.ZstdDecompressor()
         for p, blob in zip(right.column("part").to_pylist(), right.column("counts").to_pylist()):
             n = cut[p + 1] - cut[p]
-            total[cut[p] : cut[p + 1]] = _from_planes(d.decompress(blob), int(n), 5)
+            total[cut[p] : cut[p + 1]] = from_planes(d.decompress(blob), int(n), 5)
         sums, low = log_scores(b, total, corpus, backoff)
         return pa.table([_one(table.column("doc_id")), pa.array(b.count.astype(np.int64)), pa.array(sums), pa.array(low)], ["doc_id", "n_words", "log_score", "n_backed_off"])
 

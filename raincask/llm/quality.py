@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, raw_bytes, rows_per_batch, slices, text_or_empty
+from .common import materialise, raw_bytes, rows_per_batch, slices, text_key, text_or_empty
 from .substring_dedup import words_of
 
 SLICE_BYTES, BATCH_ROWS = 2 << 20, 1000
@@ -84,16 +84,19 @@ def statistics(text: pa.Array) -> np.ndarray:
 
 @dataclass
 class Discriminant:
-    """Per class: log prior, mean, Cholesky factor of the covariance, its log determinant."""
+    """Per class: log prior, mean, Cholesky factor of the covariance, and that factor's inverse, made once."""
 
     prior: list[float]
     mean: list[np.ndarray]
     factor: list[np.ndarray]
 
+    def __post_init__(self):
+        self.whiten = [np.linalg.inv(c) for c in self.factor]
+
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         density = []
-        for p, m, c in zip(self.prior, self.mean, self.factor):
-            z = np.linalg.solve(c, (x - m).T)
+        for p, m, c, w in zip(self.prior, self.mean, self.factor, self.whiten):
+            z = w @ (x - m).T
             density.append(np.log(p) - np.log(np.diag(c)).sum() - 0.5 * (z * z).sum(axis=0))
         return density[1] - density[0]
 
@@ -129,12 +132,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text", SLICE_BYTES):
             x = statistics(part.column(1))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), flat], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), flat], ["doc_id", "key", "x"])
 
 
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, x): the statistics of every whole text; null counts as empty."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(_describe, "doc_id long, x array<double>")
+    """(doc_id, key, x): the statistics of every whole text, and its `text_key`; null counts as empty."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), text_key(id_col, text_col).alias("key")).mapInArrow(_describe, "doc_id long, key long, x array<double>")
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +177,7 @@ def held_out(id_column: str = "doc_id") -> Column:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, held_out, score (0 to 1, higher: quality likelier), predicted (score >= 0.5).
+    """One row per input row: doc_id, key (`text_key`), held_out, score (0 to 1, higher: quality likelier), predicted (score >= 0.5).
 
     `labels` has doc_id and quality. Scores depend on the text alone, so repeated rows and equal texts
     score alike. Null and empty texts get the score of an empty text, null ids are never labelled, an
@@ -188,8 +191,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
+                x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.score(x))], ["doc_id", "key", "score"])
 
-    scored = described.mapInArrow(score, "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    scored = described.mapInArrow(score, "doc_id long, key long, score double")
+    return scored.select("doc_id", "key", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

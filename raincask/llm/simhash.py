@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, join_counted, materialise, mix, slices, text_or_empty
+from .common import from_planes, give_back, join_counted, materialise, mix, planes, slices, text_or_empty
 from .components import components
 from .substring_dedup import word_hashes, words_of
 
@@ -156,7 +156,7 @@ def _deal(buckets: int):
 
         table, z = error_table(), zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            every = batch.column(0).to_numpy().view(np.uint64)
+            every = np.sort(batch.column(0).to_numpy().view(np.uint64))
             for i in range(0, len(every), BATCH):
                 fps = every[i : i + BATCH]
                 row, key = composite_keys(fps, table)
@@ -167,7 +167,8 @@ def _deal(buckets: int):
                 out = []
                 for a, b in zip(head.tolist(), np.r_[head[1:], len(bucket)].tolist()):
                     own, at = np.unique(row[a:b], return_inverse=True)
-                    out.append(z.compress(struct.pack("<qq", b - a, len(own)) + np.diff(key[a:b], prepend=np.uint64(0)).tobytes() + fps[own].tobytes() + at.astype(np.uint16).tobytes()))
+                    deltas = (np.diff(key[a:b], prepend=np.uint64(0)), np.diff(fps[own], prepend=np.uint64(0)), at)  # keys and fingerprints ascend
+                    out.append(z.compress(struct.pack("<qq", b - a, len(own)) + b"".join(planes(d, n) for d, n in zip(deltas, (6, 8, 2)))))
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[head], pa.int32()), pa.array(out, pa.binary())], ["bucket", "blob"])
             give_back()
 
@@ -179,9 +180,9 @@ def _dealt(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, m = struct.unpack_from("<qq", raw)
-    key = np.cumsum(np.frombuffer(raw, np.uint64, n, 16))
-    fps = np.frombuffer(raw, np.uint64, m, 16 + 8 * n)
-    return key, fps[np.frombuffer(raw, np.uint16, n, 16 + 8 * n + 8 * m)]
+    at = 16 + 6 * n
+    key, fps = np.cumsum(from_planes(raw[16:at], n, 6)), np.cumsum(from_planes(raw[at : at + 8 * m], m, 8))
+    return key, fps[from_planes(raw[at + 8 * m :], n, 2).astype(np.int64)]
 
 
 # ---------------------------------------------------------------- links
