@@ -1,12 +1,14 @@
 """Near-dedup of texts: candidates by SimHash and MinHash, verified by the similarity of word shingles.
 
-Candidates are texts with a near fingerprint over single words, of several independent ones (`SEEDS`;
-composite Golay keys), and texts that share a band of MinHashes of their shingles (`BANDS` bands of
-`BAND_ROWS`). Fingerprints alone find scattered edits, but few appended, cut or replaced blocks; bands
-depend on the similarity of the shingles alone and miss a pair at 0.8 once in about 8 million, closer
-ones less often still. Candidates hang together in components; within one, exact Jaccard
-similarities of the shingle sets decide. Jaccard distance is a metric, so a text close to a pivot needs
-no other comparison, and texts of clusters with distant pivots need none.
+Candidates are texts with a near fingerprint over single words (composite Golay keys), and texts that
+share a band of MinHashes of their shingles (`BANDS` bands of `BAND_ROWS`). Fingerprints find scattered
+edits, but few appended, cut or replaced blocks; bands depend on the similarity of the shingles alone
+and miss a pair at 0.8 once in about 8 million, closer ones less often still. Fingerprints hang together
+in components before documents are named, so copies of one passage cost one link each, whatever keys
+they share. Candidates hang together in components, too; within one, exact Jaccard similarities of the
+shingle sets decide. Jaccard distance is a metric, so a text close to a pivot needs no other
+comparison, and texts of clusters with distant pivots need none; of the other pairs, those go first
+whose shingles, counted by hash, can't meet often enough.
 
 A component of more than GROUP texts or GROUP_BYTES of text is cut into blocks of half that size, and each
 pair of blocks is decided in a task of its own. So each two texts of a component meet, and the links found
@@ -22,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, materialise, may_match, mix, rows_per_batch, slices, text_or_empty
+from .common import discard, join_counted, materialise, may_match, mix, rows_per_batch, slices, text_key, text_or_empty
 from .components import components
 from .simhash import MOST_BITS, SLICE_BYTES, fingerprint_links, word_fingerprints
 from .substring_dedup import word_hashes, words_of
 
-SEEDS, BATCH_ROWS = 4, 1000
+BATCH_ROWS = 1000
 BANDS, BAND_ROWS = 40, 5
 GROUP, GROUP_BYTES = 20_000, 64 << 20
 
@@ -69,10 +71,19 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return met / (len(a) + len(b) - met)
 
 
+def hash_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Shingles of each set by the low bits of their hash: the sum of two rows' minima is at least what they share."""
+    width = 1 << min(12, max(8, int(np.median([len(s) for s in sets])).bit_length())) if sets else 1
+    out = np.zeros((len(sets), width), np.int32 if max(map(len, sets), default=0) > 30_000 else np.int16)
+    for i, s in enumerate(sets):
+        out[i] = np.bincount((s % np.uint64(width)).astype(np.int64), minlength=width)
+    return out
+
+
 def similar_groups(sets: list[np.ndarray], least: float) -> np.ndarray:
     """Least position that each set hangs together with over links of `least` similarity or more."""
     n, far, slack = len(sets), 1 - least, 1e-9
-    root = np.arange(n)
+    root, size, counts = np.arange(n), np.array([len(s) for s in sets]), hash_counts(sets)
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -84,97 +95,105 @@ def similar_groups(sets: list[np.ndarray], least: float) -> np.ndarray:
         a, b = find(i), find(j)
         root[max(a, b)] = min(a, b)
 
-    left, pivots, members = list(range(n)), [], []
-    while left:
-        p = left[0]
-        away = [1 - similarity(sets[p], sets[i]) for i in left]
-        members.append([(i, d) for i, d in zip(left, away) if d <= far + slack])
-        pivots.append(p)
-        for i, _ in members[-1]:
+    def near(i: int, others: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Those of `others` that are `floor` or more similar to i, and how similar they are."""
+        met = np.concatenate([np.minimum(counts[i], counts[others[k : k + 2048]]).sum(axis=1, dtype=np.int64) for k in range(0, len(others), 2048)]) if len(others) else size[:0]
+        others = others[met >= floor * (size[i] + size[others] - met) - slack]
+        exact = np.array([similarity(sets[i], sets[j]) for j in others.tolist()])
+        return others[exact >= floor - slack], exact[exact >= floor - slack]
+
+    left, pivots, members, away = np.arange(n), [], [], []
+    while len(left):
+        p = int(left[0])
+        close, how = near(p, left, least)
+        for i in close.tolist():
             join(p, i)
-        left = [i for i, d in zip(left, away) if d > far + slack]
-    for x in range(len(pivots)):
-        for y in range(x + 1, len(pivots)):
-            if find(pivots[x]) == find(pivots[y]) or (gap := 1 - similarity(sets[pivots[x]], sets[pivots[y]])) > 3 * far + slack:
+        pivots.append(p)
+        members.append(close)
+        away.append(1 - how)
+        left = np.setdiff1d(left, close, assume_unique=True)
+    every = np.array(pivots, np.int64)
+    for x, p in enumerate(pivots):
+        others, how = near(p, every[x + 1 :], max(0.0, 1 - 3 * far))
+        for q, alike in zip(others.tolist(), how.tolist()):
+            y = int(np.searchsorted(every, q))  # pivots ascend
+            if find(p) == find(q):
                 continue
-            ends = [i for i, d in members[y] if d >= gap - 2 * far - slack]
-            found = False
-            for i, d in members[x]:
-                if found or d < gap - 2 * far - slack:
-                    continue
-                for j in ends:
-                    if similarity(sets[i], sets[j]) >= least - slack:
-                        join(i, j)
-                        found = True
-                        break
+            gap = 1 - alike - 2 * far - slack
+            ends = members[y][away[y] >= gap]
+            for i in members[x][away[x] >= gap].tolist():
+                met, _ = near(i, ends, least)
+                if len(met):
+                    join(i, int(met[0]))
+                    break
     return np.array([find(i) for i in range(n)])
 
 
-def _print(seeds: int, words: int):
+def _print(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                ids = part.column(0)
-                prints = word_fingerprints(part.column(1), seeds)
-                for k, x in enumerate(prints):
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(x), k, np.int32)), pa.array(x.view(np.int64))], ["doc_id", "seed", "fp"])
-                keys = bands(shingle_sets(part.column(1), words))
-                rows = ids.take(pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys])))
-                flat = np.concatenate(keys)
-                yield pa.RecordBatch.from_arrays([rows, pa.array(np.full(len(flat), seeds, np.int32)), pa.array(flat.view(np.int64))], ["doc_id", "seed", "fp"])
+                keys = bands(shingle_sets(part.column(2), words))
+                ends = np.cumsum([0] + [len(k) for k in keys])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(word_fingerprints(part.column(2), 1)[0].view(np.int64)), lists], ["doc_id", "key", "fp", "bands"])
 
     return run
 
 
-def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, seeds: int = SEEDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keep_id) of each document that goes because a group that it is in keeps another.
+def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key, keep_id) of each document that goes because a group that it is in keeps another.
 
     Groups hang together over links of `least` Jaccard similarity of `words`-word shingles (A-Z in lower
-    case) among candidates; the least id stays. Null ids take no part; empty texts are copies of each
-    other; an id that repeats counts as one document, with the first of its texts by order. An empty
-    table gives no rows; other columns are ignored.
+    case) among candidates; the least id stays. `key` is the `text_key` of what goes. Null ids take no
+    part; empty texts are copies of each other; rows that repeat an id and its text are one document, and
+    of an id with several texts the first by order takes part. An empty table gives no rows; other
+    columns are ignored, whatever their names.
     """
-    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_key(id_col, text_col).alias("key"), text_or_empty(text_col).alias("text"))
     with rows_per_batch(docs.sparkSession, BATCH_ROWS):
-        printed = materialise(base.mapInArrow(_print(seeds, words), "doc_id long, seed int, fp long"), "word-fingerprints")
-    # Texts of a band hang on the least of them, which keeps them in one component however many they are.
-    banded = printed.where(F.col("seed") == seeds).select("doc_id", "fp")
+        printed = materialise(base.mapInArrow(_print(words), "doc_id long, key long, fp long, bands array<long>"), "word-fingerprints")
+    total = printed.count()
+    # Fingerprints: near ones hang together first; then each names the least document that has it.
+    first = materialise(printed.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
+    near = materialise(components(fingerprint_links(first, first.count(), MOST_BITS)).where("node <> root"), "fingerprint-groups")
+    names = first.select("fp", "first")
+    over = near.join(names.toDF("node", "u"), "node").join(names.toDF("root", "v"), "root").select("u", "v")
+    same = join_counted(printed.select("doc_id", "fp"), first.where("n > 1"), "fp", "n", total, F.col("doc_id")).where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    # Bands: texts hang on the least of those that share one, however many they are.
+    banded = printed.select("doc_id", F.explode("bands").alias("fp"))
     shared = materialise(banded.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "shared-bands")
     held = materialise(may_match(banded, shared.select(F.col("fp").alias("key")), F.col("fp")), "banded")
-    links = join_counted(held, shared, "fp", "n", held.count(), F.col("doc_id")).where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    for seed in range(seeds):
-        mine = printed.where(F.col("seed") == seed)
-        first = materialise(mine.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
-        near = fingerprint_links(first, first.count(), MOST_BITS)
-        names = first.select("fp", "first")
-        over = near.join(names.toDF("u", "a"), "u").join(names.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        same = mine.join(names.join(first.where("n > 1").select("fp"), "fp", "left_semi"), "fp").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-        both = over.unionByName(same)
-        links = links.unionByName(both)
-    group = materialise(components(links), "candidate-groups").toDF("doc_id", "root")
-    texts = may_match(base, group.select(F.xxhash64("doc_id").alias("key")), F.xxhash64("doc_id")).groupBy("doc_id").agg(F.min("text").alias("text"))
-    left = materialise(texts.join(group, "doc_id").select("doc_id", "text", "root", F.octet_length("text").cast("long").alias("size")), "candidate-texts")
+    met = join_counted(held, shared, "fp", "n", held.count(), F.col("doc_id")).where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    group = materialise(components(over.unionByName(same).unionByName(met)), "candidate-groups").toDF("doc_id", "root")
+    for table in (printed, first, near, shared, held):
+        discard(table)
+    texts = may_match(base, group.select(F.xxhash64("doc_id").alias("key")), F.xxhash64("doc_id")).groupBy("doc_id").agg(F.min(F.struct("text", "key")).alias("one"))
+    left = materialise(texts.join(group, "doc_id").select("doc_id", "one.key", "one.text", "root", F.octet_length("one.text").cast("long").alias("size")), "candidate-texts")
     over = F.greatest(F.count("*") / GROUP, F.sum("size") / GROUP_BYTES)
     blocks = F.when(over > 1, F.ceil(2 * over)).otherwise(1).cast("long")
     sizes = materialise(left.groupBy("root").agg(F.count("*").alias("n"), blocks.alias("blocks")), "group-sizes")
     whole = sizes.agg(F.max("blocks").alias("most"), F.sum("n").alias("n")).first()
     if (whole["most"] or 1) == 1:
-        return materialise(left.groupBy("root").applyInArrow(_decide(words, least), "doc_id long, keep_id long"), "near-copies")
+        gone = materialise(left.groupBy("root").applyInArrow(_decide(words, least), "doc_id long, key long, keep_id long"), "near-copies")
+        discard(left)
+        return gone
     mine = join_counted(left, sizes, "root", "n", whole["n"], F.col("doc_id")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     # A block's own pairs are met with those of any other block; a component of one block has only itself.
     met = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> block OR blocks = 1")
-    pairs = met.select("doc_id", "text", "root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    found = materialise(pairs.groupBy("root", "x", "y").applyInArrow(_decide(words, least), "doc_id long, keep_id long"), "near-copies")
-    return components(found.toDF("u", "v")).where("node <> root").toDF("doc_id", "keep_id")
+    pairs = met.select("doc_id", "key", "text", "root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    found = materialise(pairs.groupBy("root", "x", "y").applyInArrow(_decide(words, least), "doc_id long, key long, keep_id long"), "near-copies")
+    kept = components(found.select(F.col("doc_id").alias("u"), F.col("keep_id").alias("v"))).where("node <> root").toDF("doc_id", "keep_id")
+    return kept.join(left.select("doc_id", "key"), "doc_id").select("doc_id", "key", "keep_id")
 
 
 def _decide(words: int, least: float):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id").combine_chunks()
-        ids = table.column("doc_id").to_numpy()
-        text = table.column("text")
-        root = similar_groups(shingle_sets(text.chunk(0) if text.num_chunks == 1 else pa.concat_arrays(text.chunks), words), least)
+        table = table.select(["doc_id", "key", "text"]).sort_by("doc_id").combine_chunks()
+        sets = [s for batch in table.to_batches() for part in slices(batch, "text", SLICE_BYTES) for s in shingle_sets(part.column(2), words)]
+        root = similar_groups(sets, least)
         gone = root != np.arange(len(root))
-        return pa.table([pa.array(ids[gone]), pa.array(ids[root[gone]])], ["doc_id", "keep_id"])
+        ids = table.column("doc_id").to_numpy()
+        return pa.table([pa.array(ids[gone]), pa.array(table.column("key").to_numpy()[gone]), pa.array(ids[root[gone]])], ["doc_id", "key", "keep_id"])
 
     return run

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("raincask.llm")
-from raincask.llm import components, decontamination, exact_dedup, lm_score, near_dedup, packing, pii, quality, sharding, simhash, substring_dedup, suffix_dedup  # noqa: E402
+from raincask.llm import common, components, decontamination, exact_dedup, lm_score, near_dedup, packing, pii, quality, sharding, simhash, substring_dedup, suffix_dedup  # noqa: E402
 
 R = random.Random(7)
 VOCABULARY = ["".join(R.choice("abcdefgé") for _ in range(R.randint(1, 7))) for _ in range(400)]
@@ -57,7 +57,7 @@ def test_exact_dedup(docs, empty, spark):
         assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (max(g), len(g), r.doc_id == max(g), hashlib.sha256(text[r.doc_id].encode()).hexdigest())
     assert exact_dedup.exact_dedup(empty).count() == 0
     odd = spark.createDataFrame([(None, "a"), (1, "a"), (2, "a"), (2, "a"), (None, "b")], "doc_id long, text string")
-    assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in exact_dedup.exact_dedup(odd).collect()) == [(0, 0, 1, True), (0, 2, 4, False), (1, 2, 4, False), (2, 2, 4, True), (2, 2, 4, True)]
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in exact_dedup.exact_dedup(odd).collect()) == [(0, 0, 1, True), (0, 2, 4, False), (1, 2, 4, False), (2, 2, 4, False), (2, 2, 4, True)]
 
 
 def test_exact_dedup_of_a_hot_group_and_a_full_filter(spark):
@@ -388,6 +388,63 @@ def test_sharding(spark, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_hash_counts_bound_what_sets_share():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 4000, rng.integers(0, 900)).astype(np.uint64)) for _ in range(40)]
+    counts = near_dedup.hash_counts(sets)
+    for a in range(40):
+        for b in range(40):
+            assert np.minimum(counts[a], counts[b]).sum() >= len(np.intersect1d(sets[a], sets[b]))
+
+
+@pytest.mark.parametrize("least", [0.8, 0.5])
+def test_similar_groups_are_those_of_all_pairs(least):
+    rng = np.random.default_rng(8)
+    base = [np.unique(rng.integers(0, 2**60, 120).astype(np.uint64)) for _ in range(4)]
+    sets = [np.unique(np.concatenate([rng.choice(b, len(b) - k, replace=False), rng.integers(0, 2**60, k // 2).astype(np.uint64)])) for b in base for k in rng.integers(0, 30, 25).tolist()] + [np.zeros(0, np.uint64)] * 2
+    pairs = np.array([(i, j) for i in range(len(sets)) for j in range(i) if near_dedup.similarity(sets[i], sets[j]) >= least])
+    assert (near_dedup.similar_groups(sets, least) == simhash.forest(pairs[:, 0], pairs[:, 1], len(sets))).all()
+
+
+ODD = "doc_id long, text string, row string, key long, _mask int, _pos int, th int, fp string"
+
+
+def odd_rows(spark, rows):
+    """Rows whose extra columns have the names that operators and stages use inside."""
+    return spark.createDataFrame([(i, t, "r", 1, 2, 3, 4, "f") for i, t in rows], ODD)
+
+
+def test_removal_of_null_and_repeated_ids_among_clashing_columns(spark):
+    rows = [(None, "a"), (None, "b"), (1, "a"), (1, "b"), (2, None), (2, "")]
+    gone = odd_rows(spark, [(None, "a"), (1, "b"), (2, "")]).select(common.text_key().alias("key"))
+    left = common.without(odd_rows(spark, rows), gone)
+    assert left.columns == odd_rows(spark, rows).columns
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "b"), (1, "a")]  # a null text is the empty one
+    assert common.without(odd_rows(spark, rows).limit(0), gone).count() == 0
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(20)), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    same = prose(60)
+    rows = [(None, same), (7, same), (7, same), (7, "other " + prose(30)), (8, None), (9, ""), (None, "z" * 300_000), (None, None), (3, prose(40)), (4, "word " * 40_000)]
+    docs = odd_rows(spark, rows)
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        out = stage(spark, docs, str(tmp_path))
+        left[name] = Counter((r.doc_id, r["text"]) if "text" in out.columns else r.doc_id for r in out.collect())
+        assert out.columns == docs.columns or name == "best-fit packing"
+    every = Counter(rows)
+    assert left["quality classifier"] == every  # without labels all score a half, which stays
+    assert left["exact dedup"] == every - Counter([(None, same), (7, same), (8, None), (None, None)])
+    assert left["SimHash near-dedup"] == every - Counter([(9, "")])  # null ids stay, rows that repeat stay together
+    assert left["benchmark decontamination"] == every
+    assert set(left["best-fit packing"]) == {i for i, _ in rows}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
