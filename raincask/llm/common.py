@@ -257,37 +257,42 @@ def unpack_runs(blob: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64).reshape(4, -1)
 
 
-PACKED, RUNS = "bucket int, known boolean, blob binary", "doc_id long, th long, start long, stop long"
+#: Kinds of packed rows: segments for their bucket, runs that need no bucket, marks for theirs.
+SEGMENTS, KNOWN, MARKS = 0, 1, 2
+PACKED, RUNS = "bucket int, kind int, blob binary", "doc_id long, th long, start long, stop long"
 #: Runs in one blob of known ones.
 KNOWN_RUNS = 20_000
 
 
+def packed_row(bucket: int, kind: int, blob: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "kind", "blob"])
+
+
 def packed_rows(packer: Packer, known: list[tuple[int, int, int, int]]) -> Iterator[pa.RecordBatch]:
     """Empty both into rows of PACKED: segments for their buckets, and runs that need no bucket, spread over all."""
     for bucket, blob in packer.flush():
-        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([False]), pa.array([blob], pa.binary())], ["bucket", "known", "blob"])
+        yield packed_row(bucket, SEGMENTS, blob)
     for i in range(0, len(known), KNOWN_RUNS):
-        bucket = abs(known[i][1]) % packer.buckets
-        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([True]), pa.array([pack_runs(known[i : i + KNOWN_RUNS])], pa.binary())], ["bucket", "known", "blob"])
+        yield packed_row(abs(known[i][1]) % packer.buckets, KNOWN, pack_runs(known[i : i + KNOWN_RUNS]))
     known.clear()
 
 
-def resolve(table: pa.Table, find) -> pa.Table:
-    """Runs of one bucket: the known ones as they are, and those that `find` makes of the packed segments."""
-    known, blobs = table.column("known").to_pylist(), table.column("blob").to_pylist()
-    found = [unpack_runs(b) for k, b in zip(known, blobs) if k]
-    packed = [b for k, b in zip(known, blobs) if not k]
-    del blobs
-    if packed:
-        found.append(np.array(find(packed), np.int64).reshape(4, -1))
+def resolve(table: pa.Table, finders: dict) -> pa.Table:
+    """Runs of one bucket: the known ones as they are, and those that the finder of each other kind makes of its blobs."""
+    kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
+    found = [unpack_runs(b) for k, b in zip(kinds, blobs) if k == KNOWN]
+    for kind, find in finders.items():
+        mine = [b for k, b in zip(kinds, blobs) if k == kind]
+        if mine:
+            found.append(np.array(find(mine), np.int64).reshape(4, -1))
     cols = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
     return pa.table([pa.array(np.ascontiguousarray(c)) for c in cols], ["doc_id", "th", "start", "stop"])
 
 
-def runs_by_document(base: DataFrame, send, find, buckets: int) -> DataFrame:
+def runs_by_document(base: DataFrame, send, finders: dict, buckets: int) -> DataFrame:
     """base (doc_id, th, text) with `runs`: one shuffle of packed segments, one of runs and one of texts."""
     tasks = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 16)
-    runs = base.mapInArrow(send, PACKED).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(lambda t: resolve(t, find), RUNS)
+    runs = base.mapInArrow(send, PACKED).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(lambda t: resolve(t, finders), RUNS)
     runs = runs.groupBy(F.col("doc_id").alias("key"), "th").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     keyed = base.withColumn("key", F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max)))
     return keyed.join(runs.hint("shuffle_hash"), ["key", "th"], "left").select("doc_id", "text", "runs")

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Packer, merge_runs, mix, packed_rows, runs_by_document, text_bytes, slices, sliding_min, text_or_empty, unpack
+from .common import SEGMENTS, Packer, merge_runs, mix, packed_rows, runs_by_document, text_bytes, slices, sliding_min, text_or_empty, unpack
 
 SLICE_BYTES = 4 << 20
 #: Packed bytes gathered before a batch's buckets are sent; bytes of text for each bucket.
@@ -188,5 +188,5 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 3, id_col: st
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("th"), text_or_empty(text_col).alias("text"))
     buckets = max(64, text_bytes(base) // BUCKET_BYTES)
-    joined = runs_by_document(base, _send(window, gram, buckets), lambda blobs: repeated_windows(blobs, window), buckets)
+    joined = runs_by_document(base, _send(window, gram, buckets), {SEGMENTS: lambda blobs: repeated_windows(blobs, window)}, buckets)
     return joined.mapInArrow(_cut, "doc_id long, n_words long, spans array<struct<start: long, stop: long>>, kept_text string")

@@ -26,6 +26,14 @@ PASSAGE = prose(120)
 TEXTS = [prose(R.randint(5, 160)) for _ in range(40)]
 TEXTS += [prose(20) + " " + PASSAGE + " " + prose(20), PASSAGE, prose(9) + "\n\t" + PASSAGE, "A" + prose(30) + PASSAGE[100:700]]
 TEXTS += [TEXTS[0], TEXTS[0], TEXTS[1], None, None, "", " \n ", "x", "ab " * 500, "z" * 1500, prose(6000)]
+ODD = "doc_id long, text string, row string, key long, _mask int, _pos int, th int, fp string"
+
+
+def odd_rows(spark, rows):
+    """Rows whose extra columns have the names that operators and stages use inside."""
+    return spark.createDataFrame([(i, t, "r", 1, 2, 3, 4, "f") for i, t in rows], ODD)
+
+
 ROWS = [(i * 3 + 1, t, "a", 7) for i, t in enumerate(TEXTS)]
 #: Extra columns have names that the operators use inside.
 SCHEMA = "doc_id long, text string, spans string, th int"
@@ -85,18 +93,40 @@ def test_suffix_array_dedup(docs, empty):
         suffix_dedup.suffix_array_dedup(docs, least=10)
 
 
-def test_suffix_family_keeps_logarithmic_levels():
+def test_suffix_family_keeps_logarithmic_levels_in_byte_order():
     family, rng, seen, matched = suffix_dedup.SuffixFamily(), np.random.default_rng(1), [], set()
     for n in range(13):
-        batch = rng.integers(0, 400, 50).astype(np.uint64)
+        batch = np.array([bytes(x) for x in rng.integers(97, 105, (50, 3)).astype(np.uint8)], "S32")
         seen += batch.tolist()
         matched |= set(family.add(batch).tolist())
         assert len(family.levels) == bin(n + 1).count("1")
-        assert all((k[1:] >= k[:-1]).all() for k, _ in family.levels.values())
+        assert all(k.tolist() == sorted(k.tolist()) == [seen[e] for e in at] for k, at in family.levels.values())
     counts = Counter(seen)
     assert matched == {i for i, v in enumerate(seen) if counts[v] > 1}
 
 
+@pytest.mark.parametrize("least", [64, 72, 100, 400])
+def test_prefix_ranks_order_by_bytes(least):
+    data = np.random.default_rng(least).integers(97, 100, 2500).astype(np.uint8)
+    data[1000:1600], data[2000:2090] = data[:600], data[50:140]
+    text = data.tobytes() + b"\0" * least
+    prefix = [text[k : k + least] for k in range(len(data))]
+    rank = suffix_dedup.prefix_ranks(data, least).tolist()
+    place = {}
+    for k, p in enumerate(sorted(prefix)):
+        place.setdefault(p, k)
+    assert rank == [place[p] for p in prefix]
+
+
+def test_marks_show_every_repeat_of_the_reported_length(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "FLUSH_BYTES", 3000)
+    passages = [prose(60).encode()[:n].decode(errors="ignore") for n in (256, 270, 300, 390)]
+    rows = [(2 * i + k, prose(30) + p + prose(30)) for i, p in enumerate(passages) for k in (0, 1)] + [(100 + i, "%030d" % i + "".join(R.choice("xyzw") for _ in range(900))) for i in range(30)]
+    out = {r.doc_id: r for r in suffix_dedup.suffix_array_dedup(odd_rows(spark, rows)).collect()}
+    assert all(out[i].n_shared > 0 and not out[i].spans for i in range(2, 8)) and all(out[i].n_shared == 0 for i in out if i >= 100)
+    assert all(r.n_shared == 0 for r in suffix_dedup.suffix_array_dedup(odd_rows(spark, rows), report=0).collect())
+
+
 def test_substring_dedup(docs, empty):
     w, n = {i: words(t) for i, t, *_ in ROWS}, 13
     first = {}
@@ -406,14 +436,6 @@ def test_similar_groups_are_those_of_all_pairs(least):
     assert (near_dedup.similar_groups(sets, least) == simhash.forest(pairs[:, 0], pairs[:, 1], len(sets))).all()
 
 
-ODD = "doc_id long, text string, row string, key long, _mask int, _pos int, th int, fp string"
-
-
-def odd_rows(spark, rows):
-    """Rows whose extra columns have the names that operators and stages use inside."""
-    return spark.createDataFrame([(i, t, "r", 1, 2, 3, 4, "f") for i, t in rows], ODD)
-
-
 def test_removal_of_null_and_repeated_ids_among_clashing_columns(spark):
     rows = [(None, "a"), (None, "b"), (1, "a"), (1, "b"), (2, None), (2, "")]
     gone = odd_rows(spark, [(None, "a"), (1, "b"), (2, "")]).select(common.text_key().alias("key"))
