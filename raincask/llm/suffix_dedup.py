@@ -14,7 +14,7 @@ of `least` bytes are the repeated strings. Ranks compare bytes, so no hash decid
 Copies within one map batch meet before the shuffle: only one of several equal segments travels.
 
 Repeats too short for removal are counted by marks: of each `report` bytes, the MARK-byte string of the
-least hash. A mark that lies elsewhere too shows a shared passage, and none of `report` bytes lacks one.
+least hash. A mark that another row has too shows a shared passage, and none of `report` bytes lacks one.
 """
 
 from __future__ import annotations
@@ -72,11 +72,15 @@ def segments(offsets: np.ndarray, prints: np.ndarray, least: int) -> tuple[np.nd
 
 
 def marks(offsets: np.ndarray, prints: np.ndarray, report: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash of the MARK bytes) of each mark: one at least in every `report` bytes of a text."""
+    """(text number, hash of the MARK bytes) of each distinct mark: one at least in every `report` bytes of a text."""
     text, _, _, at = segments(offsets, prints[: len(prints) - MARK + GRAM], report - MARK + GRAM) if report else (np.zeros(0, np.int64),) * 4
     ok = at + MARK <= offsets[text + 1] if len(text) else np.zeros(0, bool)
-    at, first = np.unique(at[ok], return_index=True)
-    return text[ok][first], mix(prints[at] * np.uint64(0x9E3779B97F4A7C15) + prints[at + MARK - GRAM])
+    at, text = at[ok], text[ok]
+    hashed = mix(prints[at] * np.uint64(0x9E3779B97F4A7C15) + prints[at + MARK - GRAM])
+    order = np.lexsort((hashed, text))
+    hashed, text = hashed[order], text[order]
+    new = np.r_[True, (hashed[1:] != hashed[:-1]) | (text[1:] != text[:-1])] if len(text) else np.zeros(0, bool)
+    return text[new], hashed[new]
 
 
 class SuffixFamily:
@@ -300,8 +304,8 @@ def suffix_array_dedup(docs: DataFrame, least: int = 400, report: int = 256, id_
 
     A byte goes if a string of `least` bytes over it also starts anywhere else, in the same document too;
     strings are judged on the input and never cross documents. Kept bytes need not be valid UTF-8.
-    n_shared counts the marks that lie elsewhere too: strings of MARK bytes, one at least in every `report`
-    bytes; so it is over 0 wherever `report` bytes repeat, and tells of passages too short to be removed.
+    n_shared counts the distinct marks that another row has too: strings of MARK bytes, one at least in every
+    `report` bytes; so it is over 0 wherever rows share `report` bytes, and tells of passages too short to go.
     With `report` 0 nothing is marked. A null text counts as empty; a null id is an id like any other;
     repeated rows are copies of each other, so their long strings go from all of them. An empty table
     gives no rows; other columns are ignored.
