@@ -1,7 +1,7 @@
 """Personal data by weak supervision; DataFrame functions only.
 
-Candidates are the base spans of four kinds, and looser ones that a base pattern misses. Labelers of
-three sorts vote on each candidate for, against, or not at all: patterns (checksum, octets, digits),
+Candidates are the base spans of four kinds, looser ones that a base pattern misses or drops, and secrets:
+long runs of letters and digits such as keys and tokens. Labelers of three sorts vote on each candidate for, against, or not at all: patterns (checksum, octets, digits),
 gazetteers (domain endings, dialling codes, card issuers) and context words. Votes are counted by
 pattern of votes; there are few patterns, however many spans. Expectation-maximisation on that table
 estimates how often each labeler is right, and the posteriors train the final span classifier, a
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, text_or_empty
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
+SECRET_KIND = len(BASE_KINDS)
 SPANS = "array<struct<kind: int, start: long, stop: long, base: boolean, v1: int, v2: int, v3: int, v4: int>>"
 
 # Patterns that give the leftmost matches without overlap, each begun where no earlier one could begin.
@@ -30,14 +32,17 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 LOOSE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+[\x20]?(?:\(at\)|\[at\]|\{at\})[\x20]?[A-Za-z0-9-]{1,64}(?:[\x20]?(?:\.|\(dot\)|\[dot\]|\{dot\})[\x20]?[A-Za-z0-9-]{1,64}){1,5}"
 LOOSE_PHONE = r"(?<![0-9+(.-])(?<![0-9+][\x20(])(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9]|[.-][0-9])"
 LOOSE_CARD = r"(?<![0-9.])[0-9]{4}[.][0-9]{4}[.][0-9]{4}[.][0-9]{4}(?![0-9]|[.][0-9])"
-# Gazetteers (fixed values): endings of domains, first digits of card issuers, words near each kind.
+SECRET = r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{20,}+={0,2}(?![A-Za-z0-9_+/=-])"
+# Gazetteers (fixed values): endings of domains, first digits of card issuers, beginnings and lengths of keys, words near each kind.
 ENDINGS = "com org net edu gov mil int info biz io ai dev app me co us uk de fr es it nl be ch at ie pt pl se no dk fi cz gr hu ro ru jp cn in kr br mx ar ca au nz za".split()
 ISSUERS = "^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35|36|38)"
+KEYS = "^(?:sk-|pk_|rk_|gh[pousr]_|AKIA|ASIA|AIza|xox[abpr]-|eyJ|glpat-)"
 CONTEXT = {
     0: "mail|e-mail|email|contact|write|reach|correo|courriel|address",
     1: "ip|host|server|address|login|connect|ping|client|adresse|direcci",
     2: "card|visa|mastercard|amex|credit|debit|payment|karte|tarjeta|carte",
     3: "phone|tel|call|mobile|cell|fax|whatsapp|sms|telefon|llame|appel|contact",
+    4: "token|key|secret|passw|auth|bearer|credential|clave|schl.ssel",
 }
 
 
@@ -75,8 +80,8 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def _candidates(found: Column, kind: int, base: bool, keep) -> Column:
-    """Candidates of one kind with the votes of its four labelers: shape, gazetteer, context, surroundings."""
+def _candidates(found: Column, kind: int, base) -> Column:
+    """Candidates of one kind with the votes of its four labelers: shape, gazetteer, context, surroundings; `base` tells which are base spans."""
     def candidate(m: Column) -> Column:
         value, number = m["value"], digits(m["value"])
         if kind == 0:
@@ -89,27 +94,33 @@ def _candidates(found: Column, kind: int, base: bool, keep) -> Column:
         elif kind == 2:
             shape = _vote(luhn(number), ~luhn(number))
             gazetteer = _vote(number.rlike(ISSUERS), number.rlike("^0"))
-        else:
+        elif kind == 3:
             shape = _vote(F.length(number).between(9, 15), ~F.length(number).between(9, 15))
             gazetteer = _vote(number.rlike("^(?:1?[2-9][0-9]{2}[2-9]|[2-9][0-9]{8,14}$)"), number.rlike("^0{3}|^1?[01]"))
-        context = _vote(F.lower(m["before"]).rlike(rf"(?:{CONTEXT[kind]})[^\n]{{0,16}}$"), F.lower(m["before"]).rlike(r"(?:version|v\.|section|isbn|issn|order|invoice|id|no\.?|figure|table|page)[\x20:#]*$"))
-        around = _vote(m["before"].rlike(r"(?:^|[\s(,;:<])$"), m["before"].rlike(r"[A-Za-z0-9_/\\=-]$"))
-        return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), F.lit(base).alias("base"), shape.alias("v1"), gazetteer.alias("v2"), context.alias("v3"), around.alias("v4"))
+        else:
+            mixed = value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[0-9].*[0-9]")
+            shape = _vote(value.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$") | mixed, value.rlike("^[0-9_+/=-]+$|^[A-Za-z]+(?:[-_/+][A-Za-z0-9]{1,12}){2,}$"))
+            gazetteer = _vote(value.rlike(KEYS) | F.length(value).isin(32, 40, 64), value.rlike("/.*/"))
+        against = r"(?:commit|sha[0-9]*|md5|checksum|digest|revision)[\x20:#=\x22']*$" if kind == SECRET_KIND else r"(?:version|v\.|section|isbn|issn|order|invoice|id|no\.?|figure|table|page)[\x20:#]*$"
+        context = _vote(F.lower(m["before"]).rlike(rf"(?:{CONTEXT[kind]})[^\n]{{0,16}}$"), F.lower(m["before"]).rlike(against))
+        around = _vote(m["before"].rlike(r"[=:]\s*[\x22']?$|[\x22'`]$" if kind == SECRET_KIND else r"(?:^|[\s(,;:<])$"), m["before"].rlike(r"[A-Za-z0-9_/\\=-]$"))
+        return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), base(m).alias("base"), shape.alias("v1"), gazetteer.alias("v2"), context.alias("v3"), around.alias("v4"))
 
-    return F.coalesce(F.transform(F.filter(found, keep), candidate), F.expr(f"cast(array() as {SPANS})"))
+    return F.coalesce(F.transform(found, candidate), F.expr(f"cast(array() as {SPANS})"))
 
 
 def candidates(text: Column) -> Column:
-    """All candidate spans of a text, base ones first of each kind."""
-    only = F.when
+    """All candidate spans of a text. What a base pattern finds and its rule drops is a loose candidate."""
+    only, yes, no = F.when, lambda m: F.lit(True), lambda m: F.lit(False)
     parts = [
-        _candidates(only(text.contains("@"), matches(text, EMAIL)), 0, True, lambda m: F.lit(True)),
-        _candidates(only(text.rlike(r"[0-9]\.[0-9]"), matches(text, IP)), 1, True, lambda m: octets(m["value"])),
-        _candidates(only(text.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]"), matches(text, CARD)), 2, True, lambda m: luhn(digits(m["value"]))),
-        _candidates(only(text.contains("+"), matches(text, PHONE)), 3, True, lambda m: F.length(digits(m["value"])).between(9, 15)),
-        _candidates(only(text.rlike(r"[\(\[\{]at[\)\]\}]"), matches(text, LOOSE_EMAIL)), 0, False, lambda m: F.lit(True)),
-        _candidates(only(text.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"), matches(text, LOOSE_PHONE)), 3, False, lambda m: F.lit(True)),
-        _candidates(only(text.rlike(r"[0-9]{4}\.[0-9]{4}\."), matches(text, LOOSE_CARD)), 2, False, lambda m: F.lit(True)),
+        _candidates(only(text.contains("@"), matches(text, EMAIL)), 0, yes),
+        _candidates(only(text.rlike(r"[0-9]\.[0-9]"), matches(text, IP)), 1, lambda m: octets(m["value"])),
+        _candidates(only(text.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]"), matches(text, CARD)), 2, lambda m: luhn(digits(m["value"]))),
+        _candidates(only(text.contains("+"), matches(text, PHONE)), 3, lambda m: F.length(digits(m["value"])).between(9, 15)),
+        _candidates(only(text.rlike(r"[\(\[\{]at[\)\]\}]"), matches(text, LOOSE_EMAIL)), 0, no),
+        _candidates(only(text.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"), matches(text, LOOSE_PHONE)), 3, no),
+        _candidates(only(text.rlike(r"[0-9]{4}\.[0-9]{4}\."), matches(text, LOOSE_CARD)), 2, no),
+        _candidates(only(text.rlike(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/-]{20}"), matches(text, SECRET)), SECRET_KIND, no),
     ]
     return F.concat(*parts)
 
@@ -180,9 +191,9 @@ def accepted(patterns: list[tuple[int, tuple[int, ...], float]], rounds: int = 5
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, base and spans, both arrays of (kind, start, stop) by start and kind.
 
-    Kinds are 0 email, 1 ip, 2 card, 3 phone; positions are code points, the stop is exclusive. `base`
-    has all base spans; `spans` also has the loose candidates that the classifier takes and that
-    overlap no base span. A null text counts as empty; ids may be null or repeat; an empty table
+    Kinds are 0 email, 1 ip, 2 card, 3 phone, 4 secret; positions are code points, the stop is exclusive.
+    `base` has all base spans, none of them a secret; `spans` also has the loose candidates that the
+    classifier takes: secrets, and others that overlap no base span. A null text counts as empty; ids may be null or repeat; an empty table
     gives no rows. Other columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("t"))
@@ -199,7 +210,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.array_sort(F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))))
 
     own = F.filter("c", lambda s: s["base"])
-    loose = F.filter("c", lambda s: ~s["base"] & take(s) & ~F.exists(own, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+    loose = F.filter("c", lambda s: ~s["base"] & take(s) & ((s["kind"] == SECRET_KIND) | ~F.exists(own, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))))
     return spans.select("doc_id", plain(own).alias("base"), plain(F.when(F.exists("c", lambda s: ~s["base"]), F.concat(own, loose)).otherwise(own)).alias("spans"))
 
 

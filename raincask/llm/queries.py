@@ -12,7 +12,7 @@ from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .lm_score import lm_score
 from .packing import pack
-from .pii import KINDS, find_pii, written
+from .pii import BASE_KINDS, find_pii, written
 from .quality import score_quality
 from .sharding import shard
 from .simhash import simhash_components
@@ -59,9 +59,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_pii(documents(spark, sf_dir))
 
     def count(kind: int):
-        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{BASE_KINDS[kind]}")
 
-    counts = [count(k) for k in range(len(KINDS))]
+    counts = [count(k) for k in range(len(BASE_KINDS))]
     return out.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 

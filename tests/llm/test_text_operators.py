@@ -380,6 +380,24 @@ def test_pii_base_spans(spark, empty):
     assert pii.find_pii(empty).count() == 0
 
 
+def test_pii_classifier_decides_on_secrets_and_loose_numbers(spark):
+    hexes = lambda n: "".join(R.choice("0123456789abcdef") for _ in range(n))
+    good = [f'token = "{hexes(40)}"' for _ in range(40)] + [f"api_key: sk-{hexes(30)}" for _ in range(20)] + [f"call (743) 555-{k:04d} now" for k in range(2000, 2030)]
+    bad = [f"the file path/to/some/{w}1/of/these" for w in VOCABULARY[:30] if w.isascii()] + [f"commit {hexes(12)}-{hexes(4)}-{hexes(4)}x now" for _ in range(10)] + [f"order 0{R.randrange(10**14):014d}" for _ in range(40)]
+    rows = [(i, prose(10) + " " + t + " " + prose(10)) for i, t in enumerate(good + bad)]
+    out = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    added = {i: len(set(map(tuple, r.spans)) - set(map(tuple, r.base))) for i, r in out.items()}
+    recall = np.mean([added[i] == 1 for i in range(len(good))])
+    wrong = [i for i in range(len(good), len(rows)) if added[i]]
+    assert recall > 0.95 and len(wrong) < 0.1 * len(bad)
+
+
+def test_pii_on_odd_rows(spark):
+    rows = [(None, "a@b.c"), (1, None), (1, "a@b.c"), (1, "a@b.c"), (2, "x" * 200_000 + " 1.2.3.4"), (3, "9" * 100_000)]
+    out = pii.find_pii(odd_rows(spark, rows)).collect()
+    assert Counter((r.doc_id, len(r.base)) for r in out) == Counter([(None, 1), (1, 0), (1, 1), (1, 1), (2, 1), (3, 0)])
+
+
 def test_expectation_maximisation_tells_good_labelers():
     rng = random.Random(4)
     rows = Counter()
