@@ -72,3 +72,9 @@ def atlas(long: DataFrame, fc: str, obs: str, day: str, thresholds: Sequence[flo
     filled = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "n_days", "events")})
     note = F.concat_ws("; ", F.when(F.col("n_days") < 30, "few days"), F.when(F.col("n") < 1000, "few cells"), F.when(F.col("events") < 20, "few events"))
     return filled.withColumn("low_sample", note)
+
+
+def atlas_maps(df: DataFrame, fc: str, obs: str, regime: str, threshold: float, cell: Sequence[str] = ("iy", "ix")) -> DataFrame:
+    """Per cell and regime: days, mean error, and the hits, misses and false alarms at >= threshold."""
+    f, o = F.col(fc) >= threshold, F.col(obs) >= threshold
+    return df.groupBy(*cell, regime).agg(F.count("*").alias("days"), F.avg(F.col(fc) - F.col(obs)).alias("bias"), F.count_if(f & o).alias("hits"), F.count_if(~f & o).alias("misses"), F.count_if(f & ~o).alias("false_alarms"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.rain import clip, ratio
 
@@ -139,6 +141,50 @@ def out_of_year(df: DataFrame, features: Sequence[str], label: str, classes: Seq
     return out
 
 
+def cross_fitted(train: DataFrame, others: DataFrame, features: Sequence[str], label: str, classes: Sequence[int], years: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+    """Class probabilities of the training rows, each year's from the other years, and of other rows, from all training years."""
+    return out_of_year(train, features, label, classes, years), regime_classifier(train, features, label, classes, trees=5)(others)
+
+
+@dataclass
+class Experts:
+    """A general model, and one for each class with enough rows; `rows` has all classes' numbers of training rows."""
+
+    general: object
+    experts: dict[int, object]
+    rows: dict[int, int]
+
+
+def fit_experts(train: DataFrame, features: Sequence[str], label: str, classes: Sequence[int], general=None, least_rows: int = 5_000, **options) -> Experts:
+    """One boosted model a class, fitted on the rows of that class; a class with fewer than `least_rows` gets none."""
+    general = general or boosted_regressor(train, features, **options)
+    rows = {int(r[label]): r["n"] for r in train.where(F.col(label).isin(list(classes))).groupBy(label).agg(F.count("*").alias("n")).collect()}  # a row a class
+    experts = {c: boosted_regressor(train.where(F.col(label) == c), features, **options) for c in classes if rows.get(c, 0) >= least_rows}
+    return Experts(general, experts, {c: rows.get(c, 0) for c in classes})
+
+
+def predict_mixture(model: Experts, df: DataFrame, name: str, k: float = 20_000.0, probability: str = "p_{}") -> DataFrame:
+    """Experts weighted by the class probabilities, each shrunk to the general model by n / (n + k); a class without one counts as general."""
+    out = predict_rain(model.general, df, "_general")
+    for c, expert in model.experts.items():
+        out = predict_rain(expert, out, f"_expert_{c}")
+    parts = [(F.col(f"_expert_{c}") if c in model.experts else F.col("_general"), F.col(probability.format(c)), float(n) if c in model.experts else 0.0) for c, n in model.rows.items()]
+    return out.withColumn(name, gate_experts(F.col("_general"), parts, k)).drop("_general", *(f"_expert_{c}" for c in model.experts))
+
+
+def importance(model, features: Sequence[str]) -> list[tuple[str, float]]:
+    """Shares of the gain of a fitted boosted model by feature, the largest first."""
+    gain = model.stages[-1].featureImportances.toArray()
+    return sorted(((f, round(float(g), 4)) for f, g in zip(features, gain)), key=lambda x: (-x[1], x[0]))
+
+
+def top_drivers(contributions: DataFrame, by: Sequence[str], top: int = 5) -> DataFrame:
+    """The `top` drivers of each row by the size of their contribution; of equal ones the first by name. contributions: (by, driver, value)."""
+    w = Window.partitionBy(*by).orderBy(F.abs("value").desc(), "driver")
+    ranked = contributions.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return ranked.select(*by, "rank", "driver", F.round("value", 3).alias("contribution_log"), F.when(F.col("value") > 0, "increases").otherwise("decreases").alias("direction"))
+
+
 def linear_contributions(df: DataFrame, weights: dict[str, float]) -> Column:
     """array<struct<feature, value>>: contributions of a linear model in log space, in place of tree-based ones."""
     return F.array(*(F.struct(F.lit(f).alias("feature"), (F.col(f) * w).alias("value")) for f, w in weights.items()))

@@ -40,6 +40,16 @@ def conservative(field: DataFrame, value: str, wy: DataFrame, wx: DataFrame, by:
     return out.select(*by, F.col("ty").alias("iy"), F.col("tx").alias("ix"), F.when(share >= coverage - 1e-9, F.col("_v") / F.col("_w")).alias(value), share.alias("covered"))
 
 
+def daily_then_regrid(granules: DataFrame, rate: str, hours: float, expected: int, wy: DataFrame, wx: DataFrame, by: list[str], coverage: float = 1.0) -> DataFrame:
+    """Sums of `expected` granules of `hours` each, and then the area-weighted mean of the sums on the target grid.
+
+    granules: (by, iy, ix, rate), one row a granule. A cell short of a granule, or with a null, has no sum and adds no area.
+    """
+    whole = (F.count("*") == expected) & (F.count(rate) == expected)
+    days = granules.groupBy(*by, "iy", "ix").agg(F.when(whole, F.sum(rate) * hours).alias("rain"))
+    return conservative(days, "rain", wy, wx, by, coverage)
+
+
 def lattice_index(x: Column, origin: float, step: float, tolerance: float = 1e-4) -> Column:
     """Whole cell number of a coordinate that lies on the lattice, else null; never the nearest cell."""
     k = F.round((x - origin) / step)

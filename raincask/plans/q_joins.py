@@ -13,7 +13,7 @@ from ..operators.lookup import fallback_lookup, lookup, nearest
 from ..operators.scores import rounded as R6
 from .book import query
 from .q_columns import WARNING
-from .views import cells, dense, ladder, paired, pairs, sql, table, windowed
+from .views import cells, dense, ladder, paired, pairs, sql, table, tiled, windowed
 
 S = lambda c: c.cast("string")
 
@@ -61,26 +61,35 @@ def _weights():
 
 
 WY, WX = (", ".join(f"({t}, {s}, {w!r})" for t, s, w in rows) for rows in _weights())
-REGRID = f"""wy AS (SELECT * FROM (VALUES {WY}) v(ty, sy, wy)), wx AS (SELECT * FROM (VALUES {WX}) v(tx, sx, wx)), src AS (SELECT label, iy, ix, CASE WHEN valid THEN obs END AS obs FROM dense WHERE iy < 10),
-    g AS (SELECT label, ty, tx, sum(wy * wx * obs) AS v, sum(CASE WHEN obs IS NOT NULL THEN wy * wx END) AS w FROM src JOIN wy ON iy = sy JOIN wx ON ix = sx GROUP BY 1, 2, 3),
+REGRID = f"""wy AS (SELECT * FROM (VALUES {WY}) v(ty, sy, wy)), wx AS (SELECT * FROM (VALUES {WX}) v(tx, sx, wx)), src AS (SELECT label, member, iy, ix, CASE WHEN valid THEN obs END AS obs FROM tiled),
+    g AS (SELECT label, member, ty, tx, sum(wy * wx * obs) AS v, sum(CASE WHEN obs IS NOT NULL THEN wy * wx END) AS w FROM src JOIN wy ON iy = sy JOIN wx ON ix = sx GROUP BY 1, 2, 3, 4),
     t AS (SELECT ty, tx, a * b AS full_area FROM (SELECT ty, sum(wy) AS a FROM wy GROUP BY 1), (SELECT tx, sum(wx) AS b FROM wx GROUP BY 1))
-    SELECT CAST(label AS VARCHAR) AS label, CAST(ty AS INT) AS iy, CAST(tx AS INT) AS ix, round(CASE WHEN w / full_area >= 0.5 - 1e-9 THEN v / w END, 5) AS obs, round(w / full_area, 5) AS covered FROM g JOIN t USING (ty, tx) WHERE w IS NOT NULL"""
+    SELECT CAST(label AS VARCHAR) AS label, member, CAST(ty AS INT) AS iy, CAST(tx AS INT) AS ix, round(CASE WHEN w / full_area >= 0.5 - 1e-9 THEN v / w END, 5) AS obs, round(w / full_area, 5) AS covered FROM g JOIN t USING (ty, tx) WHERE w IS NOT NULL"""
 
 
-@query("j05_conservative_regrid", sql("WITH " + REGRID, "dense"))
+@query("j05_conservative_regrid", sql("WITH " + REGRID, "tiled"))
 def j05(spark, d):
     wy, wx = _weights()
-    src = dense(spark, d).where("iy < 10").select("label", "iy", "ix", F.when(F.col("valid"), F.col("obs")).alias("obs"))
-    out = G.conservative(src, "obs", G.weight_table(spark, wy, "y"), G.weight_table(spark, wx, "x"), ["label"], 0.5)
+    src = tiled(spark, d).select("label", "member", "iy", "ix", F.when(F.col("valid"), F.col("obs")).alias("obs"))
+    out = G.conservative(src, "obs", G.weight_table(spark, wy, "y"), G.weight_table(spark, wx, "x"), ["label", "member"], 0.5)
     return R6(out.withColumn("label", S(F.col("label"))), 5)
 
 
-@query("j06_sparse_regrid", sql("WITH " + REGRID.replace("CASE WHEN valid THEN obs END AS obs", "elev AS obs").replace(">= 0.5", ">= 1.0"), "dense"))
+@query("j06_sparse_regrid", sql("WITH " + REGRID.replace("CASE WHEN valid THEN obs END AS obs", "elev AS obs").replace(">= 0.5", ">= 1.0"), "tiled"))
 def j06(spark, d):
     """The same with full coverage asked for, as for terrain."""
     wy, wx = _weights()
-    src = dense(spark, d).where("iy < 10").select("label", "iy", "ix", F.col("elev").alias("obs"))
-    return R6(G.conservative(src, "obs", G.weight_table(spark, wy, "y"), G.weight_table(spark, wx, "x"), ["label"], 1.0).withColumn("label", S(F.col("label"))), 5)
+    src = tiled(spark, d).select("label", "member", "iy", "ix", F.col("elev").alias("obs"))
+    return R6(G.conservative(src, "obs", G.weight_table(spark, wy, "y"), G.weight_table(spark, wx, "x"), ["label", "member"], 1.0).withColumn("label", S(F.col("label"))), 5)
+
+
+@query("a17b_daily_regrid", sql("WITH " + REGRID.replace("CASE WHEN valid THEN obs END AS obs", "CASE WHEN valid THEN (fc + obs) * 12.0 END AS obs").replace("AS obs, round(w / full_area", "AS rain, round(w / full_area"), "tiled"))
+def a17b(spark, d):
+    """Two half days stand for the granules of a day: their sum where both are there, and then the regridding."""
+    wy, wx = _weights()
+    both = tiled(spark, d).where("valid").select("label", "member", "iy", "ix", F.explode(F.array("fc", "obs")).alias("rate"))
+    out = G.daily_then_regrid(both, "rate", 12.0, 2, G.weight_table(spark, wy, "y"), G.weight_table(spark, wx, "x"), ["label", "member"], 0.5)
+    return R6(out.withColumn("label", S(F.col("label"))), 5)
 
 
 @query("j07_bilinear", sql("""WITH t AS (SELECT * FROM (VALUES (0, 2, 3, 0.25, 0.5), (1, 4, 6, 0.75, 0.125)) v(target, y, x, fy, fx)), c AS (SELECT target, y + dy AS iy, x + dx AS ix, abs(1 - dy - fy) * abs(1 - dx - fx) AS w FROM t, (VALUES (0), (1)) a(dy), (VALUES (0), (1)) b(dx))

@@ -60,12 +60,12 @@ def a21(spark, d):
 
 
 @query("m02_quantile_mapping", sql(f"""WITH l AS ({L}), q AS (SELECT lead, iy, ix, quantile_cont(tp, {LEVELS}) AS qf, quantile_cont(obs, {LEVELS}) AS qo FROM l WHERE split = 'train' GROUP BY 1, 2, 3),
-    k AS (SELECT l.lead, l.iy, l.tp AS x, qf, qo, {_map_sql('l.tp')} FROM l JOIN q USING (lead, iy, ix) WHERE split = 'test' AND l.ix < 3) SELECT lead, iy, count(*) AS n, round(avg({MAPPED}), 5) AS mean, round(max({MAPPED}), 5) AS most FROM k GROUP BY 1, 2""", "ladder"))
+    k AS (SELECT l.lead, l.iy, l.tp AS x, qf, qo, {_map_sql('l.tp')} FROM l JOIN q USING (lead, iy, ix) WHERE split = 'test') SELECT lead, iy, count(*) AS n, round(avg({MAPPED}), 5) AS mean, round(max({MAPPED}), 5) AS most FROM k GROUP BY 1, 2""", "ladder"))
 def m02(spark, d):
-    """Maps fitted on the training years, applied to the test years of three columns of cells."""
+    """Maps fitted on the training years, applied to the test years."""
     s = split(spark, d)
     q = M.with_knots(M.quantile_table(s.where("split = 'train'"), ["lead", "iy", "ix"], M.UNIFORM))
-    p = M.quantile_mapped(s.where("split = 'test' AND ix < 3").join(q, ["lead", "iy", "ix"]), "tp", "p")
+    p = M.quantile_mapped(s.where("split = 'test'").join(q, ["lead", "iy", "ix"]), "tp", "p")
     return R6(p.groupBy("lead", "iy").agg(F.count("*").alias("n"), F.avg("p").alias("mean"), F.max("p").alias("most")), 5)
 
 
@@ -78,7 +78,7 @@ def a22(spark, d):
 
 
 @query("m06_regime_restore", sql(f"""WITH l AS ({L}), q AS (SELECT lead, iy AS regime, quantile_cont(tp, {TAILS}) AS qf, quantile_cont(obs, {TAILS}) AS qo FROM l WHERE split = 'val' GROUP BY GROUPING SETS ((lead, iy), (lead)) HAVING iy IS NULL OR count(*) >= 400),
-    j AS (SELECT l.lead, l.tp AS x, coalesce(a.qf, b.qf) AS qf, coalesce(a.qo, b.qo) AS qo FROM l LEFT JOIN q a ON a.lead = l.lead AND a.regime = l.iy LEFT JOIN q b ON b.lead = l.lead AND b.regime IS NULL WHERE split = 'test' AND l.ix = 1),
+    j AS (SELECT l.lead, l.tp AS x, coalesce(a.qf, b.qf) AS qf, coalesce(a.qo, b.qo) AS qo FROM l LEFT JOIN q a ON a.lead = l.lead AND a.regime = l.iy LEFT JOIN q b ON b.lead = l.lead AND b.regime IS NULL WHERE split = 'test'),
     k AS (SELECT *, {_map_sql('x')} FROM j) SELECT lead, count(*) AS n, round(avg({MAPPED}), 5) AS mean, round(max({MAPPED}), 5) AS most FROM k GROUP BY 1""", "ladder"))
 def m06(spark, d):
     """Quantiles restored by regime, with the lead's own map where a regime has too few rows."""
@@ -86,7 +86,7 @@ def m06(spark, d):
     probs = F.array(*(F.lit(float(q)) for q in M.TAIL))
     g = s.where("split = 'val'").groupingSets([["lead", "regime"], ["lead"]], "lead", "regime").agg(F.percentile("tp", probs).alias("qf"), F.percentile("obs", probs).alias("qo"), F.count("*").alias("n"))
     maps = M.with_knots(g.where("regime IS NULL OR n >= 400"))
-    rows = s.where("split = 'test' AND ix = 1").select("lead", "regime", "tp")
+    rows = s.where("split = 'test'").select("lead", "regime", "tp")
     p = fallback_lookup(rows, maps, ["lead", "regime"], ["lead"], ["knots", "top"])
     p = M.quantile_mapped(p, "tp", "p")
     return R6(p.groupBy("lead").agg(F.count("*").alias("n"), F.avg("p").alias("mean"), F.max("p").alias("most")), 5)
@@ -118,13 +118,63 @@ def m03(spark, d):
     return R6(p.groupBy("lead").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.min("L3_gbm").alias("least")), 4)
 
 
-@query("m05_experts", sql("SELECT lead, count(*) AS n, round(avg(0.5 * (0.2 * obs + 0.8 * tp) + 0.5 * (0.5 * tp / 2 + 0.5 * tp)), 4) AS mean FROM ladder GROUP BY 1", "ladder"))
+YEARS, CLASSES = [1996, 1997, 1998], [0, 1, 2]
+
+
+def regime_features(spark, d):
+    """Training rows with the class probabilities that other years give, and test rows with those of all of them."""
+    f = features(spark, d)
+    return M.cross_fitted(f.where(F.col("year").isin(YEARS)), f.where("split = 'test'"), FEATURES, "label", CLASSES, YEARS)
+
+
+AWARE = [*FEATURES, *(f"p_{c}" for c in CLASSES)]
+
+
+@query("m04_regime_boosted")
+def m04(spark, d):
+    """Boosted trees that know the class probabilities, cross-fitted by year."""
+    train, test = regime_features(spark, d)
+    p = M.predict_rain(M.boosted_regressor(train, AWARE, trees=5), test, "L4_gbm_regime")
+    e = F.col("L4_gbm_regime") - F.col("obs")
+    return R6(p.groupBy("lead").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.min("L4_gbm_regime").alias("least")), 4)
+
+
+@query("m05_experts")
 def m05(spark, d):
-    """The gate of the mixture: experts shrunk by their training rows, weighted by class probabilities."""
-    gated = M.gate_experts(F.col("tp"), [(F.col("obs"), F.lit(0.5), 5_000.0), (F.col("tp") / 2, F.lit(0.5), 20_000.0)])
+    """A boosted model for each class with enough rows, mixed by the class probabilities and shrunk to the general one."""
+    train, test = regime_features(spark, d)
+    p = M.predict_mixture(M.fit_experts(train, AWARE, "label", CLASSES, least_rows=500, trees=3), test, "L5_moe")
+    e = F.col("L5_moe") - F.col("obs")
+    return R6(p.groupBy("lead").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.min("L5_moe").alias("least")), 4)
+
+
+@query("m05_gate", sql("SELECT lead, count(*) AS n, round(avg(0.25 * (0.2 * (tp + 1) + 0.8 * tp) + 0.75 * (0.5 * tp / 2 + 0.5 * tp)), 4) AS mean FROM ladder GROUP BY 1", "ladder"))
+def m05_gate(spark, d):
+    """The gate of the mixture by itself, on two predictions by formula: shrunk by their training rows, weighted by class probabilities."""
+    gated = M.gate_experts(F.col("tp"), [(F.col("tp") + 1, F.lit(0.25), 5_000.0), (F.col("tp") / 2, F.lit(0.75), 20_000.0)])
     return R6(ladder(spark, d).groupBy("lead").agg(F.count("*").alias("n"), F.avg(gated).alias("mean")), 4)
 
 
+@query("m12_importance")
+def m12_importance(spark, d):
+    """Shares of the gain in a fitted boosted model."""
+    f = features(spark, d).where("split = 'train'")
+    return spark.createDataFrame(M.importance(M.boosted_regressor(f, FEATURES, trees=5), FEATURES), "feature string, share double")
+
+
+DRIVERS = {"rain": ("tp", 0.02), "north": ("iy", -0.1), "east": ("ix", 0.05), "lead": ("lead", -0.3), "season": ("year", -0.0007), "supply": ("l_suppkey", 0.001)}
+
+
+@query("t03_top_drivers", sql("WITH c AS (" + " UNION ALL ".join(f"SELECT l_orderkey, l_partkey, l_suppkey, lead, time, tp, '{k}' AS driver, {c} * ({w}::DOUBLE) AS value FROM ladder" for k, (c, w) in DRIVERS.items()) + """), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, lead, time, tp ORDER BY abs(value) DESC, driver) AS rank FROM c)
+    SELECT driver, CAST(rank AS INT) AS rank, CASE WHEN value > 0 THEN 'increases' ELSE 'decreases' END AS direction, count(*) AS n, round(sum(round(value, 3)), 3) AS total FROM r WHERE rank <= 5 GROUP BY 1, 2, 3""", "ladder"))
+def t03(spark, d):
+    """The five strongest of six drivers of each row, counted by place."""
+    by = ["l_orderkey", "l_partkey", "l_suppkey", "lead", "time", "tp"]
+    c = ladder(spark, d).select(*by, F.inline(F.array(*(F.struct(F.lit(k).alias("driver"), (F.col(c) * w).alias("value")) for k, (c, w) in DRIVERS.items()))))
+    top = M.top_drivers(c, by)
+    return top.groupBy("driver", "rank", "direction").agg(F.count("*").alias("n"), F.round(F.sum("contribution_log"), 3).alias("total"))
+
+
 @query("m07_exceedance_head")
 def m07(spark, d):
     f = features(spark, d)

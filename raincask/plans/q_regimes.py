@@ -14,7 +14,7 @@ from .book import query
 from .q_grid import GRID, grid
 from .q_joins import CENTRES, INFLUENCE, centres
 from .q_scores import CONT
-from .views import cells, dense, paired, sql, table
+from .views import cells, paired, sql, table, tiled
 
 S = lambda c: c.cast("string")
 
@@ -72,12 +72,12 @@ def a13(spark, d):
     return R6(out, 5)
 
 
-@query("a15_daily_rollup", "SELECT user_id AS cell, CAST(CAST(ts - INTERVAL 3 HOUR AS DATE) AS VARCHAR) AS label, CAST(max(event_id % 3) AS BIGINT) AS synoptic, round(min(value), 5) AS distance, round(avg(value / 500) + 3e-7, 5) AS score FROM events GROUP BY 1, 2")
+@query("a15_daily_rollup", "SELECT user_id AS cell, CAST(CAST(ts - INTERVAL 3 HOUR AS DATE) AS VARCHAR) AS label, CAST(max(event_id % 3) AS BIGINT) AS synoptic, round(min(value), 5) AS distance, round(avg(value / 500), 8) AS score FROM events GROUP BY 1, 2")
 def a15(spark, d):
     from ..functions.windows import label_of
 
     g = table(spark, d, "events").groupBy(F.col("user_id").alias("cell"), S(label_of(F.col("ts"))).alias("label"))
-    return R6(g.agg(F.max(F.col("event_id") % 3).alias("synoptic"), F.min("value").alias("distance"), (F.avg(F.col("value") / 500) + 3e-7).alias("score")), 5)
+    return g.agg(F.max(F.col("event_id") % 3).alias("synoptic"), F.round(F.min("value"), 5).alias("distance"), F.round(F.avg(F.col("value") / 500), 8).alias("score"))
 
 
 SYN = "CASE WHEN cell % 10 = 0 THEN 2 WHEN cell % 10 <= 2 THEN 1 ELSE 0 END"
@@ -170,22 +170,22 @@ def a29(spark, d):
 
 def candidates(spark, d):
     """Made-up candidates of centres: local minima of the residual from a smooth background."""
-    g = W.gaussian(grid(spark, d), "fc", 2.0, ["label"], "background", 10, 15).withColumn("residual", F.col("background") - F.col("fc"))
-    return W.focal_extreme(g, "residual", 7, ["label"], "low", False).where("residual = low AND residual < -20")
+    g = W.gaussian(grid(spark, d), "fc", 2.0, ["label", "member"], "background", 10, 15).withColumn("residual", F.col("background") - F.col("fc"))
+    return W.focal_extreme(g, "residual", 7, ["label", "member"], "low", False).where("residual = low AND residual < -20")
 
 
 @query("r01_systems")
 def r01(spark, d):
     """Candidates, greedily separated by four degrees, a dozen a day at most, with their class."""
-    c = candidates(spark, d).select(F.col("label").alias("time"), "iy", "ix", "lat", "lon", "residual", F.col("obs").alias("depth"))
-    kept = c.groupBy("time").applyInPandas(R.separated(), c.schema)
-    return R6(kept.select(S(F.col("time")).alias("time"), "iy", "ix", "lat", "lon", "residual", rain.system_class(F.col("depth") / 20, F.lit(2.0), F.lit(9.0)).alias("class")), 5)
+    c = candidates(spark, d).select(F.col("label").alias("time"), "member", "iy", "ix", "lat", "lon", "residual", F.col("obs").alias("depth"))
+    kept = c.groupBy("time", "member").applyInPandas(R.separated(), c.schema)
+    return R6(kept.select(S(F.col("time")).alias("time"), "member", "iy", "ix", "lat", "lon", "residual", rain.system_class(F.col("depth") / 20, F.lit(2.0), F.lit(9.0)).alias("class")), 5)
 
 
-@query("r03_detection_audit", sql(f"WITH {GRID} SELECT CAST(label AS VARCHAR) AS label, CAST(count(*) FILTER (fc >= 60) AS BIGINT) AS minima, CAST(count(*) FILTER (fc >= 60 AND obs >= 30) AS BIGINT) AS with_vorticity, CAST(count(*) FILTER (fc >= 60 AND obs >= 60) AS BIGINT) AS with_ring, max(fc) AS strongest FROM g GROUP BY 1", "dense"))
+@query("r03_detection_audit", sql(f"WITH {GRID} SELECT CAST(label AS VARCHAR) AS label, CAST(count(*) FILTER (fc >= 60) AS BIGINT) AS minima, CAST(count(*) FILTER (fc >= 60 AND obs >= 30) AS BIGINT) AS with_vorticity, CAST(count(*) FILTER (fc >= 60 AND obs >= 60) AS BIGINT) AS with_ring, max(fc) AS strongest FROM g GROUP BY 1", "tiled"))
 def r03(spark, d):
     """How many cells survive each gate in turn."""
-    g = dense(spark, d).where("iy < 10")
+    g = tiled(spark, d)
     a, b, c = F.col("fc") >= 60, F.col("obs") >= 30, F.col("obs") >= 60
     return g.groupBy(S(F.col("label")).alias("label")).agg(F.count_if(a).alias("minima"), F.count_if(a & b).alias("with_vorticity"), F.count_if(a & c).alias("with_ring"), F.max("fc").alias("strongest"))
 
@@ -201,35 +201,43 @@ def r06(spark, d):
 def system_centres(spark, d):
     e = table(spark, d, "events").where("event_type = 'error' AND value >= 100")
     six = F.date_trunc("hour", F.col("ts")) - F.make_dt_interval(F.lit(0), F.hour("ts") % 6)
-    return e.join(cells(spark, d).select("cell", "lat", "lon"), e["user_id"] == F.col("cell")).select(F.lit(2024).alias("season"), six.cast("timestamp_ntz").alias("time"), "lat", "lon", F.when(F.col("value") >= 150, 2).otherwise(1).alias("code"), "event_id")
+    return e.join(cells(spark, d).select("cell", "lat", "lon"), e["user_id"] == F.col("cell")).select(F.year("ts").alias("season"), six.cast("timestamp_ntz").alias("time"), "lat", "lon", F.when(F.col("value") >= 150, 2).otherwise(1).alias("code"), "event_id")
 
 
 def tracked(spark, d):
-    c = system_centres(spark, d)
-    return c.groupBy("season").applyInPandas(R.track(), "season int, time timestamp_ntz, lat double, lon double, code int, event_id long, system_id long")
+    c = R.stretches(system_centres(spark, d), 12.0)
+    return c.groupBy("season", "stretch").applyInPandas(R.track(), "season int, stretch long, time timestamp_ntz, lat double, lon double, code int, event_id long, system_id long")
 
 
 @query("r07_tracker")
 def r07(spark, d):
-    """Deterministic nearest-neighbour tracks; inherently sequential within a season, seasons side by side."""
-    return tracked(spark, d).select(S(F.col("time")).alias("time"), "lat", "lon", "code", "event_id", "system_id")
+    """Deterministic nearest-neighbour tracks; sequential within a stretch of a season, stretches side by side."""
+    return tracked(spark, d).select(S(F.col("time")).alias("time"), "lat", "lon", "code", "event_id", "season", "stretch", "system_id")
 
 
 @query("r08_event_summary")
 def r08(spark, d):
-    out = R.event_summary(tracked(spark, d), ["season"])
+    out = R.event_summary(tracked(spark, d), ["season", "stretch"])
     return out.withColumns({c: S(F.col(c)) for c in ("first_time", "last_time")})
 
 
 @query("a30_event_counts")
 def a30(spark, d):
     t = tracked(spark, d)
-    by = t.groupBy("code").agg(F.countDistinct("system_id").alias("systems"), F.countDistinct(F.to_date("time")).alias("days"), F.count("*").alias("snapshots"))
-    primary = R.event_summary(t, ["season"]).groupBy(F.col("primary_code").alias("code")).agg(F.count("*").alias("primary_systems"))
+    by = t.groupBy("code").agg(F.countDistinct("season", "stretch", "system_id").alias("systems"), F.countDistinct(F.to_date("time")).alias("days"), F.count("*").alias("snapshots"))
+    primary = R.event_summary(t, ["season", "stretch"]).groupBy(F.col("primary_code").alias("code")).agg(F.count("*").alias("primary_systems"))
     return by.join(primary, "code", "left").na.fill(0, ["primary_systems"])
 
 
 @query("t01_greedy_top")
 def t01(spark, d):
-    c = candidates(spark, d).select(F.col("label").alias("time"), "iy", "ix", "lat", "lon", "residual")
-    return c.groupBy("time").applyInPandas(R.separated(most=3), c.schema).groupBy(S(F.col("time")).alias("time")).agg(F.count("*").alias("kept"))
+    c = candidates(spark, d).select(F.col("label").alias("time"), "member", "iy", "ix", "lat", "lon", "residual")
+    return c.groupBy("time", "member").applyInPandas(R.separated(most=3), c.schema).groupBy(S(F.col("time")).alias("time")).agg(F.count("*").alias("kept"))
+
+
+@query("k07_atlas_maps", sql("SELECT iy, ix, CAST(cell % 3 AS INT) AS regime, count(*) AS days, round(avg(fc - obs), 6) AS bias, count(*) FILTER (fc >= 64.5 AND obs >= 64.5) AS hits, count(*) FILTER (fc < 64.5 AND obs >= 64.5) AS misses, count(*) FILTER (fc >= 64.5 AND obs < 64.5) AS false_alarms FROM paired GROUP BY 1, 2, 3", "paired"))
+def k07(spark, d):
+    """Maps of the error atlas, as a table of cells and regimes."""
+    from ..operators.evidence import atlas_maps
+
+    return R6(atlas_maps(paired(spark, d).withColumn("regime", (F.col("cell") % 3).cast("int")), "fc", "obs", "regime", 64.5), 6)

@@ -10,7 +10,7 @@ from ..operators.scores import rounded as R6
 from ..sources import daily, profile, synthetic
 from .book import query
 from .q_grid import grid
-from .views import cells, dense, granules, paired, pairs, sql, table
+from .views import cells, granules, paired, pairs, sql, table, tiled
 
 S = lambda c: c.cast("string")
 
@@ -69,11 +69,15 @@ def s06(spark, d):
     return out.select("key", F.round("tp", 5).alias("tp"), F.round("mslp", 3).alias("mslp"))
 
 
-@query("s27_daily_state", "WITH s AS (SELECT o_custkey AS key, o_orderkey % 4 AS hour, avg(o_totalprice) AS u FROM orders GROUP BY 1, 2) SELECT key, round(CASE WHEN count(*) = 4 THEN avg(u) END + 0.0003, 1) AS u, round(CASE WHEN count(*) = 4 THEN sqrt(avg(u) * avg(u) + 144) END + 0.0003, 1) AS wind FROM s GROUP BY 1")
+@query("s27_daily_state", """WITH s AS (SELECT o_custkey AS key, o_orderkey % 4 AS hour, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS u FROM orders GROUP BY 1, 2),
+    m AS (SELECT key, (max(u) FILTER (hour = 0) + max(u) FILTER (hour = 1) + max(u) FILTER (hour = 2) + max(u) FILTER (hour = 3)) / 4 AS u FROM s GROUP BY 1) SELECT key, u, sqrt(u * u + 144) AS wind FROM m""")
 def s27(spark, d):
-    s = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("key"), (F.col("o_orderkey") % 4).alias("hour")).agg(F.avg("o_totalprice").alias("u"))
-    m = s.groupBy("key").agg(F.when(F.count("*") == 4, F.avg("u")).alias("u"))
-    return m.select("key", F.round(F.col("u") + 0.0003, 1).alias("u"), F.round(F.hypot(F.col("u"), F.lit(12.0)) + 0.0003, 1).alias("wind"))
+    """Mean state of four hours, and the wind with a constant other part; an hour short means no state. Sums are of decimals, so no order of adding matters."""
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("key"), (F.col("o_orderkey") % 4).alias("hour"))
+    s = o.agg((F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / F.count("*")).alias("u"))
+    hours = [F.max(F.when(F.col("hour") == h, F.col("u"))) for h in range(4)]
+    m = s.groupBy("key").agg(((hours[0] + hours[1] + hours[2] + hours[3]) / 4).alias("u"))
+    return m.select("key", "u", F.sqrt(F.col("u") * F.col("u") + 144).alias("wind"))
 
 
 @query("s12_s13_daily_files", sql("SELECT CAST(label AS VARCHAR) AS time, cell, obs AS rain FROM pairs WHERE obs IS NOT NULL AND day(label) <= 10", "pairs"))
@@ -121,14 +125,14 @@ def s22(spark, d):
     return spark.range(1, 32).select(F.col("id").cast("int").alias("days"), (F.col("id") * 48).cast("int").alias("granules"))
 
 
-@query("f01_feature_table", sql("""WITH g AS (SELECT * FROM dense WHERE iy < 10), w AS (SELECT label, avg(fc) FILTER (lat BETWEEN 18 AND 28 AND lon BETWEEN 65 AND 88) AS zone FROM g GROUP BY 1),
-    o AS (SELECT unnest(range(-1, 2)) AS o), e AS (SELECT label, cell, least(greatest(iy + a.o, 0), (SELECT max(iy) FROM g)) AS y, least(greatest(ix + b.o, 0), (SELECT max(ix) FROM g)) AS x FROM g, o a, o b),
-    n AS (SELECT e.label, e.cell, avg(g.fc) AS n3 FROM e JOIN g ON g.label = e.label AND g.iy = e.y AND g.ix = e.x GROUP BY 1, 2)
-    SELECT CAST(g.label AS VARCHAR) AS label, g.cell, g.fc AS tp, round(ln(1 + g.fc), 5) AS tp_log, round(n3 + 3e-7, 5) AS tp_n3_mean, round(zone + 3e-7, 5) AS zone_tp, round(sin(2 * pi() * dayofyear(g.label) / 365.25), 5) AS doy_sin, g.obs FROM g JOIN w ON w.label = g.label JOIN n ON n.label = g.label AND n.cell = g.cell WHERE land AND valid""", "dense"))
+@query("f01_feature_table", sql("""WITH g AS (SELECT * FROM tiled), w AS (SELECT label, avg(fc) FILTER (lat BETWEEN 18 AND 28 AND lon BETWEEN 65 AND 88) AS zone FROM g GROUP BY 1),
+    o AS (SELECT unnest(range(-1, 2)) AS o), e AS (SELECT label, member, cell, least(greatest(iy + a.o, 0), (SELECT max(iy) FROM g)) AS y, least(greatest(ix + b.o, 0), (SELECT max(ix) FROM g)) AS x FROM g, o a, o b),
+    n AS (SELECT e.label, e.cell, avg(g.fc) AS n3 FROM e JOIN g ON g.label = e.label AND g.member = e.member AND g.iy = e.y AND g.ix = e.x GROUP BY 1, 2)
+    SELECT CAST(g.label AS VARCHAR) AS label, g.cell, g.fc AS tp, round(ln(1 + g.fc), 5) AS tp_log, round(n3 + 3e-7, 5) AS tp_n3_mean, round(zone + 3e-7, 5) AS zone_tp, round(sin(2 * pi() * dayofyear(g.label) / 365.25), 5) AS doy_sin, g.obs FROM g JOIN w ON w.label = g.label JOIN n ON n.label = g.label AND n.cell = g.cell WHERE land AND valid""", "tiled"))
 def f01(spark, d):
     """Land rows with both sides: rain, its log, its neighbourhood, the zone's plain mean, the season."""
-    g = W.focal_mean(grid(spark, d), "fc", 3, ["label"], "n3", 10, 15)
-    zone = dense(spark, d).where("iy < 10 AND lat BETWEEN 18 AND 28 AND lon BETWEEN 65 AND 88").groupBy("label").agg(F.avg("fc").alias("zone"))
+    g = W.focal_mean(grid(spark, d), "fc", 3, ["label", "member"], "n3", 10, 15)
+    zone = tiled(spark, d).where("lat BETWEEN 18 AND 28 AND lon BETWEEN 65 AND 88").groupBy("label").agg(F.avg("fc").alias("zone"))
     s, _ = rain.season_phase(F.col("label"))
     out = g.where("land AND valid").join(F.broadcast(zone), "label")
     return R6(out.select(S(F.col("label")).alias("label"), "cell", F.col("fc").alias("tp"), F.log1p("fc").alias("tp_log"), (F.col("n3") + 3e-7).alias("tp_n3_mean"), (F.col("zone") + 3e-7).alias("zone_tp"), s.alias("doy_sin"), "obs"), 5)

@@ -42,6 +42,11 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.join(p, ["cell", "label"], "left").select("cell", "iy", "ix", "lat", "lon", "land", "elev", "label", F.coalesce("fc", F.lit(0.0)).alias("fc"), F.coalesce("obs", F.lit(0.0)).alias("obs"), (F.col("fc").isNotNull() & F.col("obs").isNotNull()).alias("valid"))
 
 
+def tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`dense` as members of one grid of ten rows of fifteen cells: 150 cells after one another are a member."""
+    return dense(spark, sf_dir).withColumn("member", F.floor(F.col("iy") / 10).cast("int")).withColumn("iy", (F.col("iy") % 10).cast("int"))
+
+
 def granules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(slot, rate): half-hourly sums; slot counts half hours from the epoch."""
     return table(spark, sf_dir, "events").groupBy(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 1800).cast("long").alias("slot")).agg(F.round(F.sum("value"), 4).alias("rate"))
@@ -72,11 +77,12 @@ SQL = {
     "paired": f"SELECT p.*, iy, ix, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, land, elev, {region_sql()} AS region FROM pairs p JOIN cells USING (cell) WHERE fc IS NOT NULL AND obs IS NOT NULL",
     "dense": """SELECT c.cell, iy, ix, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, land, elev, d.label, coalesce(fc, 0.0) AS fc, coalesce(obs, 0.0) AS obs,
         fc IS NOT NULL AND obs IS NOT NULL AS valid FROM cells c CROSS JOIN (SELECT DISTINCT label FROM pairs) d LEFT JOIN pairs p ON p.cell = c.cell AND p.label = d.label""",
+    "tiled": "SELECT * REPLACE (CAST(iy % 10 AS INT) AS iy), CAST(iy // 10 AS INT) AS member FROM dense",
     "granules": "SELECT CAST(floor(epoch(ts) / 1800) AS BIGINT) AS slot, round(sum(value), 4) AS rate FROM events GROUP BY 1",
     "ladder": """SELECT CAST(1 + 2 * (l_linenumber % 2) AS INT) AS lead, CAST(l_suppkey % 10 AS INT) AS iy, CAST(l_partkey % 10 AS INT) AS ix, CAST(year(l_shipdate) AS INT) AS year,
         CAST(l_shipdate AS DATE) AS time, l_quantity AS tp, round(l_extendedprice * (1 - l_discount) / 1000, 4) AS obs, l_orderkey, l_partkey, l_suppkey FROM lineitem""",
 }
-NEEDS = {"paired": ["pairs", "cells"], "dense": ["pairs", "cells"]}
+NEEDS = {"paired": ["pairs", "cells"], "dense": ["pairs", "cells"], "tiled": ["pairs", "cells", "dense"]}
 
 
 def sql(body: str, *names: str) -> str:

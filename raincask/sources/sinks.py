@@ -10,7 +10,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = 1
 
@@ -38,6 +38,24 @@ def markdown(df: DataFrame, most: int = 200) -> str:
     return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
 
 
+def save_models(spark: SparkSession, path: str, models: dict[str, object], card: dict[str, object]) -> None:
+    """Fitted pipelines by name and a JSON card beside them, in a folder that Spark writes; never over another."""
+    if not models or any("/" in n or n.startswith(("_", ".")) for n in models):
+        raise BundleError("model names are plain names, and there is at least one")
+    told = json.dumps({**card, "models": sorted(models)}, sort_keys=True)
+    spark.createDataFrame([(told,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/card")
+    for name, model in models.items():
+        model.write().save(f"{path}/{name}")
+
+
+def load_models(spark: SparkSession, path: str) -> tuple[dict[str, object], dict[str, object]]:
+    """The pipelines that the card names, and the card."""
+    from pyspark.ml import PipelineModel
+
+    card = json.loads(spark.read.text(f"{path}/card").first()["value"])
+    return {name: PipelineModel.load(f"{path}/{name}") for name in card["models"]}, card
+
+
 def write_bundle(path: str, payloads: dict[str, object]) -> dict:
     """Gzipped JSON payloads and a manifest of sizes and SHA-256, put in place by one rename; never over another."""
     target = Path(path)
