@@ -54,9 +54,14 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def measured(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
+    """Rows, and UTF-8 bytes of all texts, counted; estimates of a plan's size can be off by any factor."""
+    got = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length(text_col)).alias("n")).first()
+    return int(got["rows"]), int(got["n"] or 0)
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
-    """UTF-8 bytes of all texts, counted; estimates of a plan's size can be off by any factor."""
-    return int(docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0)
+    return measured(docs, text_col)[1]
 
 
 #: A key with more than 1/HOT_KEYS of the rows is hot; there can be at most HOT_KEYS of those.
@@ -181,6 +186,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Rows sampled for what is common, slots that grams are counted in, share of the rows from which a gram is common.
+SAMPLE_ROWS, COMMON_SLOTS, COMMON_SHARE, LEAST_COMMON = 4096, 1 << 22, 0.005, 20
+
+
+def common_grams(base: DataFrame, rows: int, grams) -> np.ndarray:
+    """Which slots (hash modulo COMMON_SLOTS) hold a gram that a share of the rows has, as a field of bits.
+
+    base has th and text; grams(text) gives the row and the hash of each gram. Counted on SAMPLE_ROWS rows
+    or so, picked by hash. What is common decides by which gram equal strings meet, never which strings are
+    equal, so neither the sample nor a slot that two grams share can change a result.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                owner, hashed = grams(part.column(0))
+                pairs = np.unique(owner.astype(np.int64) * COMMON_SLOTS + (hashed % np.uint64(COMMON_SLOTS)).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array((pairs % COMMON_SLOTS).astype(np.int32))], ["slot"])
+
+    every = max(1, rows // SAMPLE_ROWS)
+    counts = materialise(base.where(F.pmod("th", F.lit(every)) == 0).select("text").mapInArrow(run, "slot int").groupBy("slot").agg(F.count("*").alias("n")), "gram-counts")
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / COMMON_SLOTS
+    often = counts.where(F.col("n") >= max(LEAST_COMMON, COMMON_SHARE * rows / every, 3 * mean)).select("slot").collect()
+    discard(counts)
+    field = np.zeros(COMMON_SLOTS, bool)
+    field[[r.slot for r in often]] = True
+    return np.packbits(field)
+
+
+def rare_first(hashed: np.ndarray, field: np.ndarray | None) -> np.ndarray:
+    """Numbers that order grams by their hash, common ones after all others."""
+    if field is None:
+        return hashed
+    slot = (hashed % np.uint64(COMMON_SLOTS)).astype(np.int64)
+    common = field[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1
+    return (hashed >> np.uint64(1)) | (common.astype(np.uint64) << np.uint64(63))
+
+
 def planes(x: np.ndarray, width: int) -> bytes:
     """The low `width` bytes of each number, all first bytes first: packs better."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()

@@ -1,7 +1,7 @@
 """Substring dedup over word windows by super-k-mer partitioning.
 
 A window is `window` consecutive words of one document. Its minimiser is the least hash among the
-`gram`-word grams inside it. Consecutive windows that share a minimiser travel together, as one packed
+`gram`-word grams inside it, of common grams only if it has no others. Consecutive windows that share a minimiser travel together, as one packed
 string, to the bucket of that minimiser; equal windows have equal minimisers, so all copies of a window
 meet in one bucket. There, sorting the windows finds the copies, and word codes decide exactly.
 
@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEGMENTS, Packer, merge_runs, mix, packed_rows, runs_by_document, text_bytes, slices, sliding_min, text_or_empty, unpack
+from .common import SEGMENTS, Packer, common_grams, measured, merge_runs, mix, packed_rows, ragged, rare_first, runs_by_document, slices, sliding_min, text_or_empty, unpack
 
 SLICE_BYTES = 4 << 20
 #: Packed bytes gathered before a batch's buckets are sent; bytes of text for each bucket.
@@ -46,7 +46,25 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return each[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
 
 
-def super_kmers(hashes: np.ndarray, counts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+def word_grams(hashes: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the `gram` words from each word on."""
+    n = max(0, len(hashes) - gram + 1)
+    g = hashes[:n].copy()
+    for k in range(1, gram):
+        g = g * np.uint64(0x9E3779B97F4A7C15) + hashes[k : n + k]
+    return mix(g)
+
+
+def all_word_grams(gram: int):
+    def run(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words, counts = words_of(text)
+        n = np.maximum(counts - gram + 1, 0)
+        return np.repeat(np.arange(len(counts)), n), word_grams(word_hashes(words), gram)[ragged(np.cumsum(counts) - counts, n)]
+
+    return run
+
+
+def super_kmers(hashes: np.ndarray, counts: np.ndarray, window: int, gram: int, field: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(text number, first word, number of windows, minimiser) of each run of windows with one minimiser.
 
     First words count from the start of all words. No window crosses from one text into the next.
@@ -54,10 +72,7 @@ def super_kmers(hashes: np.ndarray, counts: np.ndarray, window: int, gram: int)
     n = len(hashes)
     if n < window:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    g = hashes[: n - gram + 1].copy()
-    for k in range(1, gram):
-        g = g * np.uint64(0x9E3779B97F4A7C15) + hashes[k : n - gram + 1 + k]
-    least = sliding_min(mix(g), window - gram + 1)
+    least = sliding_min(rare_first(word_grams(hashes, gram), field), window - gram + 1)
     text = np.repeat(np.arange(len(counts)), counts)
     inside = text[: n - window + 1] == text[window - 1 :]
     new = np.r_[True, least[1:] != least[:-1]] | np.r_[True, ~inside[:-1]]
@@ -114,7 +129,7 @@ def repeated_windows(blobs: list[bytes], window: int) -> tuple:
     return doc[s], th[s], first[s] + pos[head], first[s] + pos[last] + window
 
 
-def _send(window: int, gram: int, buckets: int):
+def _send(window: int, gram: int, buckets: int, field: np.ndarray | None = None):
     top = np.iinfo(np.int64).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +141,7 @@ def _send(window: int, gram: int, buckets: int):
                 order = pc.sort_indices(ids)
                 ids, th, text = ids.take(order).to_numpy(), part.column(1).take(order).to_numpy(), part.column(2).take(order)
                 words, counts = words_of(text)
-                doc, start, n, least = super_kmers(word_hashes(words), counts, window, gram)
+                doc, start, n, least = super_kmers(word_hashes(words), counts, window, gram, field)
                 if not len(doc):
                     continue
                 first = np.cumsum(counts) - counts
@@ -187,6 +202,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 3, id_col: st
     stay as they are, an empty table gives no rows, and other columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("th"), text_or_empty(text_col).alias("text"))
-    buckets = max(64, text_bytes(base) // BUCKET_BYTES)
-    joined = runs_by_document(base, _send(window, gram, buckets), {SEGMENTS: lambda blobs: repeated_windows(blobs, window)}, buckets)
+    rows, size = measured(base)
+    buckets, field = max(64, size // BUCKET_BYTES), common_grams(base, rows, all_word_grams(gram))
+    joined = runs_by_document(base, _send(window, gram, buckets, field), {SEGMENTS: lambda blobs: repeated_windows(blobs, window)}, buckets)
     return joined.mapInArrow(_cut, "doc_id long, n_words long, spans array<struct<start: long, stop: long>>, kept_text string")

@@ -1,6 +1,7 @@
 """Removal of long repeated byte strings by logarithmic families of suffix arrays.
 
-Every string of `least` bytes holds an anchor: the position of the least hash among its GRAM-byte grams.
+Every string of `least` bytes holds an anchor: the position of the least hash among its GRAM-byte grams,
+of common ones only if it has no others (a line that a third of the texts share is no place to meet).
 Equal strings have equal anchors, so they meet where strings are dealt out by the bytes at their anchor.
 Runs of strings with one anchor travel as one packed segment to the bucket of that anchor, batch by batch.
 
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MARKS, SEGMENTS, Packer, merge_runs, mix, packed_row, packed_rows, planes, from_planes, ragged, raw_bytes, runs_by_document, slices, sliding_min, text_bytes, text_or_empty, unpack
+from .common import MARKS, SEGMENTS, Packer, common_grams, from_planes, measured, merge_runs, mix, packed_row, packed_rows, planes, ragged, rare_first, raw_bytes, runs_by_document, slices, sliding_min, text_or_empty, unpack
 
 GRAM, MARK = 32, 64
 SLICE_BYTES = 4 << 20
@@ -52,8 +53,15 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
+def all_grams(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of each GRAM-byte string of each text."""
+    offsets, data = raw_bytes(text)
+    counts = np.maximum(np.diff(offsets) - GRAM + 1, 0)
+    return np.repeat(np.arange(len(counts)), counts), gram_hashes(data)[ragged(offsets[:-1], counts)]
+
+
 def segments(offsets: np.ndarray, prints: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """(text number, first byte, number of strings, anchor's byte) of each run of strings with one anchor."""
+    """(text number, first byte, number of strings, anchor's byte) of each run of strings with one anchor, the least of `prints`."""
     width = least - GRAM + 1
     if len(prints) < width:
         return (np.zeros(0, np.int64),) * 4
@@ -230,7 +238,7 @@ def counted(doc: np.ndarray, th: np.ndarray) -> tuple:
     return doc[head], th[head], np.full(len(head), -1), np.diff(np.r_[head, len(doc)])
 
 
-def _send(least: int, report: int, buckets: int):
+def _send(least: int, report: int, buckets: int, field: np.ndarray | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, seen, local, noted = Packer(buckets), {}, [], []
 
@@ -250,7 +258,7 @@ def _send(least: int, report: int, buckets: int):
                 ids, hashed = pc.fill_null(part.column(0), np.iinfo(np.int64).max).to_numpy(), part.column(1).to_numpy()
                 offsets, data = raw_bytes(part.column(2))
                 prints = gram_hashes(data)
-                text, head, strings, anchor = segments(offsets, prints, least)
+                text, head, strings, anchor = segments(offsets, rare_first(prints, field), least)
                 owner, marked = marks(offsets, prints, report)
                 if len(owner):
                     noted.append((marked, ids[owner], hashed[owner]))
@@ -313,6 +321,7 @@ def suffix_array_dedup(docs: DataFrame, least: int = 400, report: int = 256, id_
     if least < 2 * GRAM or report and report < 2 * MARK:
         raise ValueError(f"least must be at least {2 * GRAM}, and report 0 or at least {2 * MARK}")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("th"), text_or_empty(text_col).alias("text"))
-    buckets = max(64, text_bytes(base) // BUCKET_BYTES)
-    joined = runs_by_document(base, _send(least, report, buckets), {SEGMENTS: lambda blobs: repeated_strings(blobs, least), MARKS: shared_marks}, buckets)
+    rows, size = measured(base)
+    buckets, field = max(64, size // BUCKET_BYTES), common_grams(base, rows, all_grams)
+    joined = runs_by_document(base, _send(least, report, buckets, field), {SEGMENTS: lambda blobs: repeated_strings(blobs, least), MARKS: shared_marks}, buckets)
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary, n_shared long")

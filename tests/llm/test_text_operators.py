@@ -141,6 +141,39 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def anchors_of(text, field):
+    offsets, data = common.raw_bytes(text)
+    order = common.rare_first(suffix_dedup.gram_hashes(data), field)
+    return order[suffix_dedup.segments(offsets, order, 400)[3]]
+
+
+def minimisers_of(text, field):
+    words, counts = substring_dedup.words_of(text)
+    return substring_dedup.super_kmers(substring_dedup.word_hashes(words), counts, 13, 3, field)[3]
+
+
+@pytest.mark.parametrize(("grams", "meets"), [(substring_dedup.all_word_grams(3), minimisers_of), (suffix_dedup.all_grams, anchors_of)])
+def test_strings_around_a_common_line_do_not_meet_in_one_bucket(spark, grams, meets):
+    import pyarrow as pa
+
+    line = prose(40)
+    rows = [(i, prose(90) + " " + line + " " + prose(90)) for i in range(300)]
+    field = common.common_grams(spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.xxhash64("text")), len(rows), grams)
+    text = pa.array([t for _, t in rows])
+    assert Counter(meets(text, None).tolist()).most_common(1)[0][1] > 60
+    # Strings with a rare gram meet at that one; those within the line, equal ones, still meet at a common one.
+    assert all(n < 20 for h, n in Counter(meets(text, field).tolist()).items() if not h >> 63)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.02])
+def test_results_do_not_depend_on_what_is_common(docs, monkeypatch, share):
+    plain = {r.doc_id: r for r in suffix_dedup.suffix_array_dedup(docs, least=100).collect()}, {r.doc_id: r for r in substring_dedup.substring_dedup(docs).collect()}
+    monkeypatch.setattr(common, "COMMON_SHARE", share)
+    monkeypatch.setattr(common, "LEAST_COMMON", 2)
+    assert {r.doc_id: r for r in suffix_dedup.suffix_array_dedup(docs, least=100).collect()} == plain[0]
+    assert {r.doc_id: r for r in substring_dedup.substring_dedup(docs).collect()} == plain[1]
+
+
 def test_golay_keys_find_all_near_fingerprints():
     rng, table = np.random.default_rng(3), simhash.error_table()
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
