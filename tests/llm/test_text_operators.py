@@ -467,6 +467,35 @@ def test_sharding(spark, empty):
     assert set(size) == set(range(8)) and max(size.values()) < 1.05 * min(size.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sharding.shard(empty).count() == 0
+    # Sizes and checksums by brute force.
+    expected = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == expected
+
+
+def test_sharding_of_odd_rows_and_a_hot_group(spark):
+    hot = prose(40)
+    rows = [(i, hot) for i in range(1000)] + [(2000 + i, prose(40)) for i in range(2000)] + [(None, None), (None, None), (5, hot), (5, hot), (6, ""), (7, "z" * 2_000)]
+    out = sharding.shard(odd_rows(spark, rows), shards=8).collect()
+    size, slots = defaultdict(int), defaultdict(list)
+    for r in out:
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    # A third of the rows is one text; no shard is off by more than two hundredths and the longest text.
+    share = sum(size.values()) / 8
+    assert len(out) == len(rows) and all(abs(v - share) <= 0.02 * share + 2_001 for v in size.values())
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_quality_on_odd_rows(spark):
+    labels = spark.createDataFrame([(i, i % 2, "x") for i in range(40)], "doc_id long, quality int, key string")
+    rows = [(i, (prose(40) + ".") if i % 2 else prose(40).upper()) for i in range(40)] + [(None, None), (1, ""), (1, ""), (50, "w " * 60_000)]
+    out = quality.score_quality(odd_rows(spark, rows), labels).collect()
+    assert Counter(r.doc_id for r in out) == Counter(i for i, _ in rows) and all(0 <= r.score <= 1 for r in out)
+    scores = defaultdict(list)
+    for r in out:
+        scores[r.key].append(r.score)
+    # Rows with equal id and text score alike; both times one such pair is there.
+    assert sorted(map(len, scores.values()))[-1] == 2 and all(len(set(v)) == 1 for v in scores.values())
 
 
 def test_hash_counts_bound_what_sets_share():
