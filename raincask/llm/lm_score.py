@@ -3,7 +3,8 @@
 The n-gram count table is partitioned by hash. Documents' n-grams are exploded, dealt to the partition
 of their hash, joined there to the counts, and the logarithms are summed per document. So that the
 rows stay few, n-grams travel packed: one row holds the sorted hashes of all distinct n-grams that one
-batch of documents has in one partition, and the counts come back in the same order.
+batch of documents has in one partition, and the counts come back in the same order. A batch has rows
+only for partitions it has n-grams in, so the rows are never more than the distinct n-grams of batches.
 
 A document is scored against the rest of the corpus: its own n-grams are taken from the counts.
 """
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import from_planes, materialise, mix, planes, slices, text_bytes, text_or_empty
 from .substring_dedup import word_hashes, words_of
 
-#: Bytes of text in a batch; bytes of text for each partition of the count table.
-BATCH_BYTES, PART_BYTES = 5 << 20, 8 << 20
+#: Bytes of text in a batch; bytes of text for each partition of the count table; batches in a task that scores.
+BATCH_BYTES, PART_BYTES, TASK_BATCHES = 5 << 20, 8 << 20, 4
 #: Bits of a hash beside its partition's number, which adds its bits: of 10^9 n-grams in 256 partitions, about one in 10^7 shares both with another.
 HASH_BITS, HASH_BYTES = 44, 6
 
@@ -54,14 +55,16 @@ class Batch:
         self.part = lambda h: h % np.uint64(parts)
         self.short = lambda h: h // np.uint64(parts) % np.uint64(1 << HASH_BITS)
         key, self.seen = np.unique(self.keyed(full), return_counts=True)
-        self.key, self.parts = key, parts
+        self.key = key
 
     def keyed(self, h: np.ndarray) -> np.ndarray:
         """(partition, short hash) as one number that sorts by both."""
         return (self.part(h) << np.uint64(HASH_BITS)) | self.short(h)
 
-    def split(self) -> np.ndarray:
-        return np.searchsorted(self.key, np.arange(self.parts + 1).astype(np.uint64) << np.uint64(HASH_BITS))
+    def split(self) -> tuple[np.ndarray, np.ndarray]:
+        """The partitions in which the batch has n-grams, in order, and where each begins, with the end of the last."""
+        part, first = np.unique(self.key >> np.uint64(HASH_BITS), return_index=True)
+        return part.astype(np.int64), np.r_[first, len(self.key)]
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,11 +114,10 @@ def _explode(order: int, parts: int):
         for rows in batches:
             for batch, blob in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
                 b = Batch(_one(_texts(blob).column("text")), order, parts)
-                cut, out = b.split(), []
-                for p in range(parts):
-                    k, n = b.key[cut[p] : cut[p + 1]] & np.uint64((1 << HASH_BITS) - 1), b.seen[cut[p] : cut[p + 1]]
-                    if len(k):
-                        out.append((p, batch, z.compress(struct.pack("<q", len(k)) + planes(np.diff(k, prepend=np.uint64(0)), HASH_BYTES) + planes(n, 4))))
+                (part, cut), out = b.split(), []
+                for i, p in enumerate(part.tolist()):
+                    k, n = b.key[cut[i] : cut[i + 1]] & np.uint64((1 << HASH_BITS) - 1), b.seen[cut[i] : cut[i + 1]]
+                    out.append((p, batch, z.compress(struct.pack("<q", len(k)) + planes(np.diff(k, prepend=np.uint64(0)), HASH_BYTES) + planes(n, 4))))
                 if out:
                     cols = list(zip(*out))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["part", "batch", "blob"])
@@ -181,7 +183,8 @@ def lm_score(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str
     parts = int(max(64, text_bytes(base) // PART_BYTES))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     batches = materialise(base.mapInArrow(_gather, "batch long, words long, blob binary"), "text-batches")
-    corpus = batches.agg(F.sum("words")).first()[0] or 0
+    corpus, n_batches = batches.agg(F.coalesce(F.sum("words"), F.lit(0)), F.count("*")).first()
+    scorers = max(tasks, n_batches // TASK_BATCHES)
     grams = batches.select("batch", "blob").mapInArrow(_explode(order, parts), "part int, batch long, blob binary")
     counts = grams.repartition(max(tasks, parts // 4), "part").groupBy("part").applyInArrow(_count, "batch long, part int, counts binary")
 
@@ -190,12 +193,14 @@ def lm_score(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str
 
         table = _texts(left.column("blob")[0].as_py())
         b = Batch(_one(table.column("text")), order, parts)
-        total, cut, d = np.zeros(len(b.key)), b.split(), zstandard.ZstdDecompressor()
-        for p, blob in zip(right.column("part").to_pylist(), right.column("counts").to_pylist()):
-            n = cut[p + 1] - cut[p]
-            total[cut[p] : cut[p + 1]] = from_planes(d.decompress(blob), int(n), 5)
+        total, (part, cut), d = np.zeros(len(b.key)), b.split(), zstandard.ZstdDecompressor()
+        at = np.searchsorted(part, right.column("part").to_numpy())
+        for i, blob in zip(at.tolist(), right.column("counts").to_pylist()):
+            total[cut[i] : cut[i + 1]] = from_planes(d.decompress(blob), int(cut[i + 1] - cut[i]), 5)
         sums, low = log_scores(b, total, corpus, backoff)
         return pa.table([_one(table.column("doc_id")), pa.array(b.count.astype(np.int64)), pa.array(sums), pa.array(low)], ["doc_id", "n_words", "log_score", "n_backed_off"])
 
-    out = batches.select("batch", "blob").groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(score, "doc_id long, n_words long, log_score double, n_backed_off long")
+    # As many tasks as batches need, so that none grows with the input.
+    left, right = (t.repartition(scorers, "batch").groupBy("batch") for t in (batches.select("batch", "blob"), counts))
+    out = left.cogroup(right).applyInArrow(score, "doc_id long, n_words long, log_score double, n_backed_off long")
     return out.select("doc_id", "n_words", "log_score", F.expr("log_score / nullif(n_words, 0)").alias("mean_log_score"), "n_backed_off")
