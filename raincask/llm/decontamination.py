@@ -139,18 +139,17 @@ def item_windows(benchmark: DataFrame, length: int, id_col: str, text_col: str)
     return kept.withColumn("h", F.xxhash64("form", F.when(F.col("how") == 2, -F.col("size")).otherwise(F.col("size")))).distinct()
 
 
-def _fits(match: Column, raw: str, form: str, bare: str) -> Column:
-    """Whether the window has the item's form, slots filled by a function of the item's values."""
-    theirs = match["form"]
-    mine = F.when(match["how"] == 2, F.slice(bare, match["at"], match["size"])).otherwise(F.slice(form, match["at"], match["size"]))
-    slots = F.filter(F.arrays_zip(theirs.alias("form"), match["raw"].alias("item"), F.slice(raw, match["at"], match["size"]).alias("doc")), lambda z: z["form"].contains("<"))
+def _fits() -> Column:
+    """Whether a window (doc_raw, doc_form, doc_plain) has the item window's form, slots filled by a function of the item's values."""
+    mine = F.when(F.col("how") == 2, F.col("doc_plain")).otherwise(F.col("doc_form"))
+    slots = F.filter(F.arrays_zip("form", F.col("raw").alias("item"), F.col("doc_raw").alias("doc")), lambda z: z["form"].contains("<"))
     pairs = F.array_distinct(F.transform(slots, lambda z: F.struct(F.lower(z["item"]).alias("item"), F.lower(z["doc"]).alias("doc"))))
-    first = (match["how"] != 1) | (F.element_at(F.slice(bare, match["at"], 1), 1) == match["first"])
-    return (mine == theirs) & first & (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda z: z["item"]))))
+    first = (F.col("how") != 1) | (F.element_at("doc_plain", 1) == F.element_at("plain", 1))
+    return (mine == F.col("form")) & first & (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda z: z["item"]))))
 
 
-def _same(match: Column, raw: str) -> Column:
-    return F.lower(F.array_join(F.slice(raw, match["at"], match["size"]), " ")) == F.lower(F.array_join(match["raw"], " "))
+def _same() -> Column:
+    return F.lower(F.array_join("doc_raw", " ")) == F.lower(F.array_join("raw", " "))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", with_key: bool = False) -> DataFrame:
@@ -180,13 +179,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 13, id_co
         return base.select("doc_id", F.lit(False).alias("contaminated"), F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("n_verbatim"), F.array().cast("array<long>").alias("items"), *more)
     found = materialise(found.distinct(), "template-matches")
     broadcast_items = F.broadcast(items) if items.count() <= BROADCAST_WINDOWS // 10 else items
-    matches = found.join(broadcast_items, ["h", "size"]).groupBy("th").agg(F.collect_list(F.struct("at", "size", "item_id", "raw", "key", "how", "form", F.element_at("plain", 1).alias("first"))).alias("matches"))
+    # A document's places are never more than its windows; item windows join them a row each.
+    places = found.groupBy("th").agg(F.collect_list(F.struct("at", "size", "h")).alias("places"))
     hit = may_match(base, found.select(F.col("th").alias("key")), F.col("th")).dropDuplicates(["th"])
-    tokens = hit.join(matches, "th").select("th", "matches", words(F.col("text")).alias("raw"), words(template(F.col("text"))).alias("form"), words(plain(F.col("text"))).alias("plain"))
+    tokens = hit.join(places, "th").select("th", "places", words(F.col("text")).alias("raw"), words(template(F.col("text"))).alias("form"), words(plain(F.col("text"))).alias("plain"))
     tokens = materialise(tokens, "matching-words")  # else each use in a lambda would make its template anew
-    fit = F.filter("matches", lambda m: _fits(m, "raw", "form", "plain"))
-    # A window that fits in several forms counts once.
-    once = F.array_distinct(F.transform(fit, lambda m: F.struct(*(m[c].alias(c) for c in ("at", "size", "item_id", "raw", "key")))))
-    right = tokens.select("th", once.alias("matches"), "raw").where(F.size("matches") > 0)
-    told = right.select("th", F.size("matches").cast("long").alias("n_windows"), F.size(F.filter("matches", lambda m: _same(m, "raw"))).cast("long").alias("n_verbatim"), F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"]))).alias("items"))
+    cut = F.transform("places", lambda p: F.struct(p["at"].alias("at"), p["size"].alias("size"), p["h"].alias("h"), *(F.slice(c, p["at"], p["size"]).alias(f"doc_{c}") for c in ("raw", "form", "plain"))))
+    fit = tokens.select("th", F.inline(cut)).join(broadcast_items, ["h", "size"]).where(_fits())
+    # A window that fits in several forms counts once; `key` stands for the item window's words.
+    once = fit.groupBy("th", "at", "size", "item_id", "key").agg(F.max(_same()).alias("same"))
+    told = once.groupBy("th").agg(F.count("*").alias("n_windows"), F.count_if("same").alias("n_verbatim"), F.array_sort(F.collect_set("item_id")).alias("items"))
     return base.select("doc_id", "th").join(told, "th", "left").select("doc_id", F.col("n_windows").isNotNull().alias("contaminated"), F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"), F.coalesce("n_verbatim", F.lit(0)).cast("long").alias("n_verbatim"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), *more)

@@ -322,6 +322,64 @@ def test_short_items_beside_others(spark):
     assert found_items(spark, ["see 12 + 7 = ?", "see 13 + 7 = ?", "and the river runs from the lake to the sea", "nothing"], items) == {0: [0], 1: [0], 2: [1], 3: []}
 
 
+def decontaminated(texts, items, length=13):
+    """Brute force: every window of every text against every window of every item in each of its forms."""
+    sub, d = pytest.importorskip("regex").sub, decontamination
+
+    def plain(t):
+        return sub(d._OUTER, "", sub("[<>]", "^", t).lower()).split()
+
+    def template(t):
+        t = sub(d._NUMBER, "<num>", sub(d._DIGITS, "<num>", sub(d._NAME, "<name>", sub("[<>]", "^", t)).lower()))
+        return sub(d._OUTER, "", sub(d._UNIT, r"\1<unit>", t)).split()
+
+    def slots_agree(form, theirs, mine):
+        given = defaultdict(set)
+        for f, a, b in zip(form, theirs, mine):
+            if "<" in f:
+                given[a.lower()].add(b.lower())
+        return all(len(v) == 1 for v in given.values())
+
+    windows = set()
+    for item_id, text in enumerate(items):
+        raw, own, bare = (text or "").split(), template(text or ""), plain(text or "")
+        size = min(len(raw), length)
+        for i in range(len(raw) - size + 1) if size else ():
+            first = {tuple(template(before + raw[i])[-1:]) for before in ("", "x ", "1 ")}
+            cut = tuple(own[i : i + size])
+            forms = {(0, cut)} | {(1, f + cut[1:]) for f in first - {cut[:1]}}
+            forms = {(how, f) for how, f in forms if size >= 5 and sum("<" not in w for w in f) * 2 >= size} | {(2, tuple(bare[i : i + size]))}
+            windows |= {(item_id, tuple(raw[i : i + size]), cut, how, f, bare[i]) for how, f in forms}
+    out = []
+    for text in texts:
+        raw, own, bare = (text or "").split(), template(text or ""), plain(text or "")
+        met = {}
+        for item_id, theirs, cut, how, form, first in windows:
+            for at in range(len(raw) - len(form) + 1):
+                mine = raw[at : at + len(form)]
+                if tuple((bare if how == 2 else own)[at : at + len(form)]) == form and (how != 1 or bare[at] == first) and slots_agree(form, theirs, mine):
+                    met[at, item_id, theirs, cut] = [w.lower() for w in mine] == [w.lower() for w in theirs]
+        out.append((bool(met), len(met), sum(met.values()), sorted({m[1] for m in met})))
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(11)
+    few = ["the", "river", "had", "Bob", "Eve", "five", "12", "7.5", "km", "apples.", "and", "(then)", "London", "in", "gave", "hours", "?", "a<b"]
+    items = [" ".join(rng.choice(few) for _ in range(n)) for n in (1, 3, 4, 5, 6, 9, 13, 14, 20, 30)] + [None, "", "the river had the river had the river had the river had the river had"]
+    texts = [None, "", " ".join(few)]
+    for _ in range(60):
+        own = (items[rng.randrange(3, 10)] + " ").split()
+        changed = [{"Bob": "Ann", "Eve": "Ann", "12": "44", "five": "9", "km": "miles"}.get(w, w) if rng.random() < 0.7 else w for w in own]
+        texts.append(" ".join(rng.choice(few) for _ in range(rng.randrange(6))) + " " + " ".join(changed if rng.random() < 0.6 else own) + rng.choice(["", ".", " and the rest"]))
+    texts.append(" ".join(items[-1].split() * 20))
+    out = decontamination.decontaminate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    got = {r.doc_id: (r.contaminated, r.n_windows, r.n_verbatim, list(r["items"])) for r in out.collect()}
+    want = decontaminated(texts, items)
+    assert got == dict(enumerate(want))
+    assert 20 < sum(w[0] for w in want) and any(w[2] < w[1] for w in want)
+
+
 def test_slots_have_to_be_consistent(spark):
     item = "then it was Bob who had five and it was then Bob who ate"
     same, mixed = item.replace("Bob", "Eve"), item.replace("Bob", "Eve", 1).replace("Bob", "Ann")
