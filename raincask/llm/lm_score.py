@@ -52,8 +52,9 @@ class Batch:
         self.gram = [gram_hashes(hashed, self.owner, n) for n in range(1, order + 1)]
         full = np.concatenate(self.gram)
         full = full[full > 0]
-        self.part = lambda h: h % np.uint64(parts)
-        self.short = lambda h: h // np.uint64(parts) % np.uint64(1 << HASH_BITS)
+        # A hash's last bit is always set, so it takes no part.
+        self.part = lambda h: (h >> np.uint64(1)) % np.uint64(parts)
+        self.short = lambda h: (h >> np.uint64(1)) // np.uint64(parts) % np.uint64(1 << HASH_BITS)
         key, self.seen = np.unique(self.keyed(full), return_counts=True)
         self.key = key
 
