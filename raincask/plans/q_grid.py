@@ -21,8 +21,8 @@ def grid(spark, d):
     return W.aligned(tiled(spark, d), BY)
 
 
-def out(df, *cols):
-    return R6(df.select(S(F.col("label")).alias("label"), "cell", *cols), 5)
+def out(df, *cols, places=5):
+    return R6(df.select(S(F.col("label")).alias("label"), "cell", *cols), places)
 
 
 def box_sql(k, agg):
@@ -33,14 +33,14 @@ def box_sql(k, agg):
 def clamp_sql(k):
     h = k // 2
     return f"""o AS (SELECT unnest(range(-{h}, {h} + 1)) AS o), e AS (SELECT label, member, cell, least(greatest(iy + a.o, 0), (SELECT max(iy) FROM g)) AS y, least(greatest(ix + b.o, 0), (SELECT max(ix) FROM g)) AS x FROM g, o a, o b)
-    SELECT CAST(e.label AS VARCHAR) AS label, e.cell, round(avg(g.fc) + 3e-7, 5) AS mean FROM e JOIN g ON g.label = e.label AND g.member = e.member AND g.iy = e.y AND g.ix = e.x GROUP BY 1, 2"""
+    SELECT CAST(e.label AS VARCHAR) AS label, e.cell, round(avg(g.fc), 8) AS mean FROM e JOIN g ON g.label = e.label AND g.member = e.member AND g.iy = e.y AND g.ix = e.x GROUP BY 1, 2"""
 
 
 for K in (3, 5, 9):
     @query(f"w01_focal_mean_{K}", sql(f"WITH {GRID}, {clamp_sql(K)}", "tiled"))
     def w01(spark, d, k=K):
         """Box mean with replicated edges, in two passes."""
-        return out(W.focal_mean(grid(spark, d), "fc", k, BY, "mean", NY, NX).withColumn("mean", F.col("mean") + 3e-7), "mean")
+        return out(W.focal_mean(grid(spark, d), "fc", k, BY, "mean", NY, NX), "mean", places=8)
 
 
 for K in (5, 9):

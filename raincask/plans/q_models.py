@@ -69,12 +69,12 @@ def m02(spark, d):
     return R6(p.groupBy("lead", "iy").agg(F.count("*").alias("n"), F.avg("p").alias("mean"), F.max("p").alias("most")), 5)
 
 
-@query("a22_regime_quantiles", sql(f"WITH l AS ({L}) SELECT lead, iy AS regime, count(*) AS n, round(quantile_cont(tp, 0.99) + 3e-7, 5) AS f99, round(quantile_cont(obs, 0.99) + 3e-7, 5) AS o99 FROM l GROUP BY GROUPING SETS ((lead, iy), (lead)) HAVING count(*) >= 2000", "ladder"))
+@query("a22_regime_quantiles", sql(f"WITH l AS ({L}) SELECT lead, iy AS regime, count(*) AS n, round(quantile_cont(tp, 0.99), 8) AS f99, round(quantile_cont(obs, 0.99), 8) AS o99 FROM l GROUP BY GROUPING SETS ((lead, iy), (lead)) HAVING count(*) >= 2000", "ladder"))
 def a22(spark, d):
     """By lead and regime from 2000 rows on, and by lead alone, in one pass."""
     s = split(spark, d).withColumnRenamed("iy", "regime")
-    g = s.groupingSets([["lead", "regime"], ["lead"]], "lead", "regime").agg(F.count("*").alias("n"), (F.percentile("tp", F.lit(0.99)) + 3e-7).alias("f99"), (F.percentile("obs", F.lit(0.99)) + 3e-7).alias("o99"))
-    return R6(g.where("n >= 2000"), 5)
+    g = s.groupingSets([["lead", "regime"], ["lead"]], "lead", "regime").agg(F.count("*").alias("n"), F.percentile("tp", F.lit(0.99)).alias("f99"), F.percentile("obs", F.lit(0.99)).alias("o99"))
+    return R6(g.where("n >= 2000"), 8)
 
 
 @query("m06_regime_restore", sql(f"""WITH l AS ({L}), q AS (SELECT lead, iy AS regime, quantile_cont(tp, {TAILS}) AS qf, quantile_cont(obs, {TAILS}) AS qo FROM l WHERE split = 'val' GROUP BY GROUPING SETS ((lead, iy), (lead)) HAVING iy IS NULL OR count(*) >= 400),
@@ -197,7 +197,9 @@ def m09(spark, d):
     return R6(M.out_of_year(f, FEATURES, "label", range(3), [1996, 1997, 1998]).groupBy("year").agg(F.count("*").alias("n"), F.avg("p_0").alias("p_0"), F.avg("p_1").alias("p_1"), F.avg("p_2").alias("p_2")), 4)
 
 
-@query("m10_predictions")
+@query("m10_predictions", sql(f"""WITH {RATIO}, q AS (SELECT lead, iy, ix, quantile_cont(tp, {LEVELS}) AS qf, quantile_cont(obs, {LEVELS}) AS qo FROM l WHERE split = 'train' GROUP BY 1, 2, 3),
+    k AS (SELECT l.*, ratio, l.tp AS x, qf, qo, {_map_sql('l.tp')} FROM l LEFT JOIN r USING (lead, iy, ix) LEFT JOIN q USING (lead, iy, ix) WHERE split = 'test')
+    SELECT {', '.join(IDS)}, tp AS L0_raw, round(tp * coalesce(ratio, 1.0), 8) AS L1_climbias, round(coalesce(CASE WHEN qf IS NOT NULL THEN {MAPPED} END, tp), 8) AS L2_qmap FROM k""", "ladder"))
 def m10(spark, d):
     """Ratio, quantile map, head-free class of each test row: one chain of joins and columns."""
     s = split(spark, d)
@@ -205,7 +207,7 @@ def m10(spark, d):
     r, q = M.ratio_table(train, ["lead", "iy", "ix"]), M.with_knots(M.quantile_table(train, ["lead", "iy", "ix"], M.UNIFORM))
     p = s.where("split = 'test'").join(r, ["lead", "iy", "ix"], "left").join(q, ["lead", "iy", "ix"], "left")
     p = M.quantile_mapped(p, "tp", "L2_qmap")
-    return R6(p.select(*IDS, F.col("tp").alias("L0_raw"), (F.col("tp") * F.coalesce("ratio", F.lit(1.0))).alias("L1_climbias"), F.coalesce("L2_qmap", "tp").alias("L2_qmap")), 5)
+    return R6(p.select(*IDS, F.col("tp").alias("L0_raw"), (F.col("tp") * F.coalesce("ratio", F.lit(1.0))).alias("L1_climbias"), F.coalesce("L2_qmap", "tp").alias("L2_qmap")), 8)
 
 
 @query("m11_one_day", sql(f"WITH {RATIO} SELECT lead, iy, ix, tp, round(tp * coalesce(ratio, 1.0), 5) AS corrected, l_orderkey FROM l LEFT JOIN r USING (lead, iy, ix) WHERE time = DATE '2000-07-01'", "ladder"))

@@ -9,25 +9,55 @@ from ..operators import focal as W
 from ..operators.scores import rounded as R6
 from ..sources import daily, profile, synthetic
 from .book import query
+from .q_columns import EDGES, TERRAIN
 from .q_grid import grid
 from .views import cells, granules, paired, pairs, sql, table, tiled
 
 S = lambda c: c.cast("string")
 
 
-@query("s02_synthetic_forecast")
+def _uniform_sql(salt, *keys):
+    x = " + ".join([str(synthetic.stream(salt)), *(f"CAST({k} AS BIGINT) * {step}" for k, step in zip(keys, synthetic.STEPS))])
+    for _ in range(3):
+        x = f"(({x}) % {synthetic.PRIME}) * ((({x}) % {synthetic.PRIME}) + 48271)"
+    return f"((({x}) % {synthetic.PRIME} + 0.5::DOUBLE) / {synthetic.PRIME}::DOUBLE)"
+
+
+def _normal_sql(salt, *keys):
+    return f"(sqrt(-2 * ln({_uniform_sql(salt + 'r', *keys)})) * cos(2 * pi() * {_uniform_sql(salt + 'a', *keys)}))"
+
+
+def _realised_sql(mean, salt, *keys):
+    return f"CASE WHEN {_uniform_sql(salt + 'w', *keys)} < 1 - exp(-({mean}) / 6.0::DOUBLE) THEN least(greatest(({mean}) * exp(0.8::DOUBLE * {_normal_sql(salt + 'n', *keys)} - 0.32::DOUBLE), 0), 600) ELSE 0 END"
+
+
+def _world_sql(*years):
+    """CTEs up to `f`: cells, days and fields of the synthetic world on twelve rows of twelve cells, with the mean rain."""
+    return f"""dd AS (SELECT year, time, dayofyear(time) AS doy, date_diff('day', DATE '1970-01-01', time) AS day FROM (SELECT year, CAST(unnest(generate_series(make_date(year, 6, 1), make_date(year, 9, 30), INTERVAL 1 DAY)) AS DATE) AS time FROM (VALUES {', '.join(f'({y})' for y in years)}) y(year))),
+    w AS (SELECT *, sin(2 * pi() * (doy / 42.0::DOUBLE + {_uniform_sql('phase', 'year')})) AS wave FROM dd),
+    s AS (SELECT *, exp(-pow((doy - 215) / 60.0::DOUBLE, 2)) * (1 + 0.5::DOUBLE * wave) AS strength, 18.0::DOUBLE + 0.4::DOUBLE * (doy % 9) AS low_lat, 88.0::DOUBLE - 1.6::DOUBLE * (doy % 9) AS low_lon FROM w),
+    p AS (SELECT i AS cell, CAST(i // 12 AS INT) AS iy, (6.5 + i // 12)::DOUBLE AS lat, (66.5 + i % 12)::DOUBLE AS lon FROM (SELECT unnest(range(0, 144)) AS i)),
+    c AS (SELECT *, ({TERRAIN})::DOUBLE AS elev, (SELECT count(*) FILTER ((y1 > lat) <> (y2 > lat) AND lon < x1::DOUBLE + (lat - y1::DOUBLE) * (x2::DOUBLE - x1::DOUBLE) / nullif(y2::DOUBLE - y1::DOUBLE, 0)) FROM (VALUES {EDGES}) e(x1, y1, x2, y2)) % 2 = 1 AS land FROM p),
+    g AS (SELECT *, exp(-(pow((lat - low_lat) / 3.0::DOUBLE, 2) + pow((lon - low_lon) / 3.0::DOUBLE, 2))) AS low, exp(-pow((lat - 13.0::DOUBLE) / 6.0::DOUBLE, 2)) AS jet FROM s CROSS JOIN c),
+    f AS (SELECT *, 6 * strength + 14 * least(elev / 1000 * strength * CASE WHEN lon < 78 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END, 2.0) + CASE WHEN wave < -0.5 AND lat > 26 THEN 6.0::DOUBLE ELSE 0 END + 35 * low AS truth FROM g)"""
+
+
+@query("s02_synthetic_forecast", f"""WITH {_world_sql(2020, 2021)}, n AS (SELECT *, (0.75::DOUBLE * truth + 1) * exp(0.15::DOUBLE * lead * {_normal_sql('fc', 'cell', 'day', 'lead')}) AS noisy FROM f CROSS JOIN (VALUES (1), (3)) l(lead)),
+    t AS (SELECT CAST(lead AS INT) AS lead, CAST(year AS INT) AS year, {_realised_sql('noisy', 'tp', 'cell', 'day', 'lead')} AS tp FROM n) SELECT lead, year, count(*) AS n, round(avg(tp), 4) AS mean, round(max(tp), 4) AS most FROM t GROUP BY 1, 2""")
 def s02(spark, d):
     f = synthetic.forecast(spark, [2020, 2021], 12, 12)
     return R6(f.groupBy("lead", F.year("time").alias("year")).agg(F.count("*").alias("n"), F.avg("tp").alias("mean"), F.max("tp").alias("most")), 4)
 
 
-@query("s03_synthetic_obs")
+@query("s03_synthetic_obs", f"""WITH {_world_sql(2020)}, t AS (SELECT time, CASE WHEN land THEN {_realised_sql('truth', 'obs', 'cell', 'day')} END AS rain FROM f)
+    SELECT CAST(month(time) AS INT) AS month, count(rain) AS n, round(avg(rain), 4) AS mean FROM t GROUP BY 1""")
 def s03(spark, d):
     o = synthetic.observations(spark, [2020], 12, 12)
     return R6(o.groupBy(F.month("time").alias("month")).agg(F.count("rain").alias("n"), F.avg("rain").alias("mean")), 4)
 
 
-@query("s04_synthetic_analysis")
+@query("s04_synthetic_analysis", f"""WITH {_world_sql(2020)} SELECT iy, round(avg((12 * strength * jet - 6 * low * (lat - low_lat) / 3.0::DOUBLE) * (1 + 0.05::DOUBLE * {_normal_sql('u850', 'cell', 'day')})), 3) AS u850,
+    round(avg((1004 - 4 * strength * exp(-pow((lat - 24.0::DOUBLE) / 8.0::DOUBLE, 2)) - 6 * low) * (1 + 0.05::DOUBLE * {_normal_sql('mslp', 'cell', 'day')})), 3) AS mslp FROM f GROUP BY 1""")
 def s04(spark, d):
     return R6(synthetic.analysis(spark, [2020], 12, 12).groupBy("iy").agg(F.avg("u850").alias("u850"), F.avg("mslp").alias("mslp")), 3)
 
@@ -52,7 +82,7 @@ def s30(spark, d):
     return R6(x.select("cell", synthetic.rain_mean(False).alias("truth"), synthetic.rain_mean(True).alias("model")), 5)
 
 
-@query("s31_realisation")
+@query("s31_realisation", f"SELECT round(avg((r > 0)::INT), 4) AS wet, round(avg(r), 4) AS mean, round(max(r), 4) AS most FROM (SELECT {_realised_sql('6.0::DOUBLE', 't', 'id')} AS r FROM (SELECT unnest(range(0, 20000)) AS id))")
 def s31(spark, d):
     x = spark.range(20_000).withColumn("r", synthetic.realised(F.lit(6.0), "id", salt="t"))
     return R6(x.agg(F.avg((F.col("r") > 0).cast("int")).alias("wet"), F.avg("r").alias("mean"), F.max("r").alias("most")), 4)
@@ -128,11 +158,11 @@ def s22(spark, d):
 @query("f01_feature_table", sql("""WITH g AS (SELECT * FROM tiled), w AS (SELECT label, avg(fc) FILTER (lat BETWEEN 18 AND 28 AND lon BETWEEN 65 AND 88) AS zone FROM g GROUP BY 1),
     o AS (SELECT unnest(range(-1, 2)) AS o), e AS (SELECT label, member, cell, least(greatest(iy + a.o, 0), (SELECT max(iy) FROM g)) AS y, least(greatest(ix + b.o, 0), (SELECT max(ix) FROM g)) AS x FROM g, o a, o b),
     n AS (SELECT e.label, e.cell, avg(g.fc) AS n3 FROM e JOIN g ON g.label = e.label AND g.member = e.member AND g.iy = e.y AND g.ix = e.x GROUP BY 1, 2)
-    SELECT CAST(g.label AS VARCHAR) AS label, g.cell, g.fc AS tp, round(ln(1 + g.fc), 5) AS tp_log, round(n3 + 3e-7, 5) AS tp_n3_mean, round(zone + 3e-7, 5) AS zone_tp, round(sin(2 * pi() * dayofyear(g.label) / 365.25), 5) AS doy_sin, g.obs FROM g JOIN w ON w.label = g.label JOIN n ON n.label = g.label AND n.cell = g.cell WHERE land AND valid""", "tiled"))
+    SELECT CAST(g.label AS VARCHAR) AS label, g.cell, g.fc AS tp, round(ln(1 + g.fc), 8) AS tp_log, round(n3, 8) AS tp_n3_mean, round(zone, 8) AS zone_tp, round(sin(2 * pi() * dayofyear(g.label) / 365.25), 8) AS doy_sin, g.obs FROM g JOIN w ON w.label = g.label JOIN n ON n.label = g.label AND n.cell = g.cell WHERE land AND valid""", "tiled"))
 def f01(spark, d):
     """Land rows with both sides: rain, its log, its neighbourhood, the zone's plain mean, the season."""
     g = W.focal_mean(grid(spark, d), "fc", 3, ["label", "member"], "n3", 10, 15)
     zone = tiled(spark, d).where("lat BETWEEN 18 AND 28 AND lon BETWEEN 65 AND 88").groupBy("label").agg(F.avg("fc").alias("zone"))
     s, _ = rain.season_phase(F.col("label"))
     out = g.where("land AND valid").join(F.broadcast(zone), "label")
-    return R6(out.select(S(F.col("label")).alias("label"), "cell", F.col("fc").alias("tp"), F.log1p("fc").alias("tp_log"), (F.col("n3") + 3e-7).alias("tp_n3_mean"), (F.col("zone") + 3e-7).alias("zone_tp"), s.alias("doy_sin"), "obs"), 5)
+    return R6(out.select(S(F.col("label")).alias("label"), "cell", F.col("fc").alias("tp"), F.log1p("fc").alias("tp_log"), F.col("n3").alias("tp_n3_mean"), F.col("zone").alias("zone_tp"), s.alias("doy_sin"), "obs"), 8)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +11,24 @@ from pyspark.sql import functions as F
 from ..functions import space
 
 
+#: A prime below 2^31, and a multiplier for each key.
+PRIME, STEPS = 2_147_483_647, (7_919, 104_729, 1_299_709)
+
+
+def stream(salt: str) -> int:
+    """The whole number that a salt starts from."""
+    return zlib.crc32(salt.encode()) % PRIME
+
+
 def uniform(*keys: Column | str, salt: str) -> Column:
-    """A number in (0, 1) from the keys."""
-    return (F.pmod(F.xxhash64(*keys, F.lit(salt)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    """A number in (0, 1) from up to three whole numbers, by arithmetic that any engine can repeat."""
+    x = F.lit(stream(salt)).cast("long")
+    for key, step in zip(keys, STEPS):
+        x = x + (F.col(key) if isinstance(key, str) else key).cast("long") * step
+    for _ in range(3):
+        x = x % PRIME
+        x = x * (x + 48_271)
+    return (x % PRIME + 0.5) / float(PRIME)
 
 
 def normal(*keys: Column | str, salt: str) -> Column:
@@ -33,7 +49,7 @@ def days(spark: SparkSession, years: list[int], first: str = "06-01", last: str
     doy = F.dayofyear("time")
     wave = F.sin(2 * math.pi * (doy / 42.0 + uniform("year", salt="phase")))
     low_age = F.pmod(doy, F.lit(9))
-    return d.withColumns({"strength": F.exp(-F.pow((doy - 215) / 60.0, F.lit(2.0))) * (1 + 0.5 * wave), "wave": wave, "low_lat": 18.0 + 0.4 * low_age, "low_lon": 88.0 - 1.6 * low_age})
+    return d.withColumns({"day": F.unix_date("time"), "strength": F.exp(-F.pow((doy - 215) / 60.0, F.lit(2.0))) * (1 + 0.5 * wave), "wave": wave, "low_lat": 18.0 + 0.4 * low_age, "low_lon": 88.0 - 1.6 * low_age})
 
 
 def fields(cell_days: DataFrame) -> DataFrame:
@@ -66,17 +82,17 @@ def forecast(spark: SparkSession, years: list[int], ny: int, nx: int, leads: lis
     """Forecast rows (lead, time, iy, ix, tp, u850, ...), less exact at longer leads."""
     base = fields(days(spark, years).crossJoin(F.broadcast(grid(spark, ny, nx))))
     each = base.withColumn("lead", F.explode(F.array(*(F.lit(v) for v in leads))))
-    noisy = rain_mean(True) * F.exp(0.15 * F.col("lead") * normal("cell", "time", "lead", salt="fc"))
-    return each.withColumn("tp", realised(noisy, "cell", "time", "lead", salt="tp"))
+    noisy = rain_mean(True) * F.exp(0.15 * F.col("lead") * normal("cell", "day", "lead", salt="fc"))
+    return each.withColumn("tp", realised(noisy, "cell", "day", "lead", salt="tp"))
 
 
 def observations(spark: SparkSession, years: list[int], ny: int, nx: int) -> DataFrame:
     """Observed rain on land; null over sea."""
     base = fields(days(spark, years).crossJoin(F.broadcast(grid(spark, ny, nx))))
-    return base.select("time", "cell", "iy", "ix", F.when(F.col("land"), realised(rain_mean(False), "cell", "time", salt="obs")).alias("rain"))
+    return base.select("time", "cell", "iy", "ix", F.when(F.col("land"), realised(rain_mean(False), "cell", "day", salt="obs")).alias("rain"))
 
 
 def analysis(spark: SparkSession, years: list[int], ny: int, nx: int) -> DataFrame:
     """The true state with five per cent of noise."""
     base = fields(days(spark, years).crossJoin(F.broadcast(grid(spark, ny, nx))))
-    return base.select("time", "cell", "iy", "ix", *((F.col(c) * (1 + 0.05 * normal("cell", "time", salt=c))).alias(c) for c in ("u850", "v850", "mslp", "tcwv", "cape")))
+    return base.select("time", "cell", "iy", "ix", *((F.col(c) * (1 + 0.05 * normal("cell", "day", salt=c))).alias(c) for c in ("u850", "v850", "mslp", "tcwv", "cape")))
