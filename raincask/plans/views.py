@@ -55,7 +55,7 @@ def granules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         (1 + 2 * (F.col("l_linenumber") % 2)).cast("int").alias("lead"), (F.col("l_suppkey") % 10).cast("int").alias("iy"), (F.col("l_partkey") % 10).cast("int").alias("ix"), F.year("l_shipdate").alias("year"),
-        F.to_date("l_shipdate").alias("time"), F.col("l_quantity").alias("tp"), F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) / 1000, 4).alias("obs"), "l_orderkey", "l_partkey", "l_suppkey",
+        F.to_date("l_shipdate").alias("time"), F.col("l_quantity").alias("tp"), F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) / 1000, 8).alias("obs"), "l_orderkey", "l_partkey", "l_suppkey",
     )
 
 
@@ -80,7 +80,7 @@ SQL = {
     "tiled": "SELECT * REPLACE (CAST(iy % 10 AS INT) AS iy), CAST(iy // 10 AS INT) AS member FROM dense",
     "granules": "SELECT CAST(floor(epoch(ts) / 1800) AS BIGINT) AS slot, round(sum(value), 4) AS rate FROM events GROUP BY 1",
     "ladder": """SELECT CAST(1 + 2 * (l_linenumber % 2) AS INT) AS lead, CAST(l_suppkey % 10 AS INT) AS iy, CAST(l_partkey % 10 AS INT) AS ix, CAST(year(l_shipdate) AS INT) AS year,
-        CAST(l_shipdate AS DATE) AS time, l_quantity AS tp, round(l_extendedprice * (1 - l_discount) / 1000, 4) AS obs, l_orderkey, l_partkey, l_suppkey FROM lineitem""",
+        CAST(l_shipdate AS DATE) AS time, l_quantity AS tp, round(l_extendedprice * (1 - l_discount) / 1000, 8) AS obs, l_orderkey, l_partkey, l_suppkey FROM lineitem""",
 }
 NEEDS = {"paired": ["pairs", "cells"], "dense": ["pairs", "cells"], "tiled": ["pairs", "cells", "dense"]}
 
