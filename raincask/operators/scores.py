@@ -73,6 +73,23 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     return df.join(ranks, [*by, value])
 
 
+def quantiles(df: DataFrame, value: str, levels: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, q): interpolated quantiles of the values that are there, as an array in the order of `levels`.
+
+    They come from counts of distinct values. Rows combine before the shuffle, and a group's distinct
+    values are sorted, which spills, and never held in memory together. A group without a value has no row;
+    without `by` there is one row, whose quantiles are null if there is no value.
+    """
+    group = Window.partitionBy(*by)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    placed = counts.withColumns({"_upto": F.sum("_n").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(group)})
+    place = [(F.col("_all") - 1) * F.lit(float(level)) for level in levels]
+    ends = [end for p in place for end in (F.min(F.when(F.col("_upto") > F.floor(p), F.col("_v"))), F.min(F.when(F.col("_upto") > F.ceil(p), F.col("_v"))))]
+    found = placed.groupBy(*by).agg(F.max("_all").alias("_all"), *(e.alias(f"_e{i}") for i, e in enumerate(ends)))
+    q = [F.when(F.floor(p) == F.ceil(p), F.col(f"_e{2 * i}")).otherwise((F.ceil(p) - p) * F.col(f"_e{2 * i}") + (p - F.floor(p)) * F.col(f"_e{2 * i + 1}")) for i, p in enumerate(place)]
+    return found.select(*by, F.array(*q).alias("q"))
+
+
 def rank_auc(df: DataFrame, value: str, event: str, by: Sequence[str]) -> DataFrame:
     """n_event, n_other, auc (null without both): the chance that an event's value is above another's, ties half."""
     each = df.groupBy(*by, value).agg(F.count_if(F.col(event)).alias("_e"), F.count_if(~F.col(event)).alias("_o"))
@@ -102,8 +119,7 @@ def stability_index(df: DataFrame, value: str, side: str, reference: str, tests:
     """
     keys = _by(by) or ["_all"]
     df = df if by else df.withColumn("_all", F.lit(1))
-    probs = F.array(*(F.lit(i / 10) for i in range(11)))
-    edges = df.where(F.col(side) == reference).groupBy(*keys).agg(F.array_distinct(F.percentile(value, probs)).alias("_edges"))
+    edges = quantiles(df.where(F.col(side) == reference), value, [i / 10 for i in range(11)], keys).select(*keys, F.array_distinct("q").alias("_edges"))
     edges = edges.withColumn("_inner", F.when(F.size("_edges") < 3, F.array().cast("array<double>")).otherwise(F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0)))))
     binned = df.join(F.broadcast(edges) if not by else edges, keys).withColumn("_bin", F.size(F.filter("_inner", lambda e: F.col(value) >= e)))
     counts = binned.groupBy(*keys, "_bin").agg(F.count_if(F.col(side) == reference).alias("_a"), F.count_if(F.col(side) == tests).alias("_b"), F.max(F.size("_edges")).alias("_size"))

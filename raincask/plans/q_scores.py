@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rain, space
 from ..operators import scores as S
+from ..sources.profile import value_profile
 from .book import query
 from .views import cells, dense, granules, ladder, paired, pairs, sql, table
 
@@ -223,9 +224,7 @@ def a33(spark, d):
 @query("a34_value_profile", sql("""SELECT count(*) FILTER (obs IS NULL) AS missing, count(*) FILTER (obs <= -900) AS fill_like, round(avg((obs IS NULL)::INT), 6) AS missing_fraction, round(avg((obs >= 2.5)::INT), 6) AS wet_fraction,
     round(quantile_cont(CASE WHEN obs >= 2.5 THEN obs END, 0.5), 6) AS wet_p50, round(quantile_cont(CASE WHEN obs >= 2.5 THEN obs END, 0.99), 6) AS wet_p99 FROM pairs""", "pairs"))
 def a34(spark, d):
-    o = F.col("obs")
-    wet = F.when(o >= 2.5, o)
-    return R6(pairs(spark, d).agg(F.count_if(o.isNull()).alias("missing"), F.count_if(o <= -900).alias("fill_like"), F.avg(o.isNull().cast("int")).alias("missing_fraction"), F.avg((o >= 2.5).cast("int")).alias("wet_fraction"), F.percentile(wet, F.lit(0.5)).alias("wet_p50"), F.percentile(wet, F.lit(0.99)).alias("wet_p99")))
+    return R6(value_profile(pairs(spark, d), "obs"))
 
 
 @query("a35_land_from_obs", sql("SELECT c.cell, round(count(obs) / (SELECT count(DISTINCT label) FROM pairs)::DOUBLE, 6) AS share, count(obs) / (SELECT count(DISTINCT label) FROM pairs)::DOUBLE >= 0.9 AS land FROM cells c LEFT JOIN pairs p USING (cell) GROUP BY c.cell", "pairs", "cells"))

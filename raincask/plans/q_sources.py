@@ -150,6 +150,19 @@ def s21t(spark, d):
     return profile.time_profile(pairs(spark, d), "label", ["cell"])
 
 
+@query("k13_field_evidence", sql(" UNION ALL ".join(f"SELECT '{f}' AS field, count(*) AS n, count(*) - count({f}) AS missing, round(min({f}), 6)::DOUBLE AS least, round(avg({f}), 6) AS mean, round(max({f}), 6)::DOUBLE AS most FROM paired" for f in ("fc", "obs", "lat", "lon")), "paired"))
+def k13(spark, d):
+    """Statistics of each field, all from one pass."""
+    return R6(profile.field_statistics(paired(spark, d), ["fc", "obs", "lat", "lon"]))
+
+
+@query("k15_text_evidence", "SELECT * FROM (SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{p}'" for p in profile.EVIDENCE) + " END AS pattern FROM documents) WHERE pattern IS NOT NULL")
+def k15(spark, d):
+    """Texts that may bear on the day a label covers, with the first pattern met."""
+    texts = table(spark, d, "documents").select("doc_id", F.col("source").alias("place"), F.lit("text").alias("name"), "text")
+    return profile.text_evidence(texts).select("doc_id", "pattern")
+
+
 @query("s22_fetch_plan", "SELECT CAST(n AS INT) AS days, CAST(n * 48 AS INT) AS granules FROM (SELECT unnest(range(1, 32)) AS n)")
 def s22(spark, d):
     return spark.range(1, 32).select(F.col("id").cast("int").alias("days"), (F.col("id") * 48).cast("int").alias("granules"))

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.scores import quantiles
+
+# Wording that may bear on the day a date label covers.
+EVIDENCE = (
+    r"08\s*[:.]?\s*30", r"\b0?3\s*[:.]?\s*00\s*(utc|gmt|z)\b", r"\b03\s*z\b", r"\b0300\b", r"\bist\b",
+    r"\bending\b", r"\bending at\b", r"\bstarting\b", r"\bprevious day\b", r"\bnext day\b",
+    r"\bpreceding\b", r"\b24[\s-]*h(ou)?r", r"\baccumulat", r"\bvalid\b", r"\bobservation time\b",
+)
+
 
 def axis_profile(df: DataFrame, column: str) -> DataFrame:
     """n, least, most, least and most spacing of a coordinate's distinct values."""
@@ -22,5 +33,24 @@ def time_profile(df: DataFrame, column: str, key: list[str] = ()) -> DataFrame:
 
 
 def value_profile(df: DataFrame, value: str, fill_below: float = -900.0, wet: float = 2.5) -> DataFrame:
+    """One row: missing, fill-like, shares missing and wet, median and 99th percentile of the wet values."""
     v = F.col(value)
-    return df.agg(F.count_if(v.isNull()).alias("missing"), F.count_if(v <= fill_below).alias("fill_like"), F.percentile(F.when(v >= wet, v), F.lit(0.5)).alias("wet_p50"), F.percentile(F.when(v >= wet, v), F.lit(0.99)).alias("wet_p99"))
+    counts = df.agg(F.count_if(v.isNull()).alias("missing"), F.count_if(v <= fill_below).alias("fill_like"), F.avg(v.isNull().cast("int")).alias("missing_fraction"), F.avg((v >= wet).cast("int")).alias("wet_fraction"))
+    wet_ones = quantiles(df.where(v >= wet), value, [0.5, 0.99]).select(F.col("q")[0].alias("wet_p50"), F.col("q")[1].alias("wet_p99"))
+    return counts.join(wet_ones, how="left")  # one row each
+
+
+def field_statistics(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """One row a field: n, missing (NaN too), least, mean and most, from one pass over the table."""
+    there = {f: F.nullif(F.col(f).cast("double"), F.lit(float("nan"))) for f in fields}
+    row = [
+        F.struct(F.lit(f).alias("field"), F.count("*").alias("n"), F.count_if(v.isNull()).alias("missing"), F.min(v).alias("least"), F.avg(v).alias("mean"), F.max(v).alias("most"))
+        for f, v in there.items()
+    ]
+    return df.agg(F.array(*row).alias("rows")).select(F.inline("rows"))
+
+
+def text_evidence(attributes: DataFrame) -> DataFrame:
+    """attributes (place, name, text): those that speak of a time window, with the first pattern met. For a human to judge."""
+    hit = F.coalesce(*(F.when(F.col("text").rlike(f"(?i){p}"), F.lit(p)) for p in EVIDENCE))
+    return attributes.withColumn("pattern", hit).where("pattern IS NOT NULL")
