@@ -103,7 +103,17 @@ def j07(spark, d):
 TILES = [("A", [(69.0, 8.0), (75.0, 8.0), (75.0, 14.0), (69.0, 14.0)]), ("B", [(76.0, 9.0), (84.0, 11.0), (80.0, 20.0)]), ("C", [(200.0, 50.0), (201.0, 50.0), (201.0, 51.0)])]
 
 
-@query("j08_district_bridge")
+# The triangle's overlap is summed by trapezoids between all places where its height within the cell's row bends.
+BRIDGE = """c AS (SELECT iy, ix, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon FROM cells WHERE land),
+    ra AS (SELECT 'A' AS district, iy, ix, greatest(least(lon + 0.75, 75) - greatest(lon - 0.75, 69), 0) * greatest(least(lat + 0.75, 14) - greatest(lat - 0.75, 8), 0) AS a FROM c),
+    x AS (SELECT *, unnest([lon - 0.75, lon + 0.75, 76, 80, 84, 76 + (lat - 9.75) * 4, 76 + (lat - 8.25) * 4, 76 + (lat - 9.75) * 4 / 11, 76 + (lat - 8.25) * 4 / 11, 80 + (20.75 - lat) * 4 / 9, 80 + (19.25 - lat) * 4 / 9]) AS x FROM c),
+    k AS (SELECT DISTINCT * FROM x WHERE x BETWEEN greatest(lon - 0.75, 76) AND least(lon + 0.75, 84)),
+    h AS (SELECT *, greatest(least(lat + 0.75, CASE WHEN x <= 80 THEN 9 + (x - 76) * 11 / 4 ELSE 20 - (x - 80) * 9 / 4 END) - greatest(lat - 0.75, 9 + (x - 76) / 4), 0) AS high FROM k),
+    t AS (SELECT iy, ix, (x - lag(x) OVER w) * (high + lag(high) OVER w) / 2 AS a FROM h WINDOW w AS (PARTITION BY iy, ix ORDER BY x)),
+    o AS (SELECT * FROM ra UNION ALL SELECT 'B', iy, ix, sum(a) FROM t GROUP BY iy, ix)"""
+
+
+@query("j08_district_bridge", sql(f"WITH {BRIDGE} SELECT district, iy, ix, round(a / sum(a) OVER (PARTITION BY district), 6) AS w, false AS fallback FROM o WHERE a > 0 UNION ALL SELECT district, n.iy, n.ix, 1.0, true FROM (SELECT m.district, min({{'away': pow(lat - m.y, 2) + pow(lon - m.x, 2), 'iy': iy, 'ix': ix}}) AS n FROM (VALUES ('A', 72.0, 11.0), ('B', 80.0, 40 / 3.0), ('C', 200.5, 50.5)) m(district, x, y), c WHERE m.district NOT IN (SELECT district FROM o WHERE a > 0) GROUP BY 1)", "cells"))
 def j08(spark, d):
     """Polygon and cell overlaps, over all land cells of the grid."""
     return R6(G.bridge(cells(spark, d).where("land"), TILES, 1.5))
