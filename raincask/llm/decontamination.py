@@ -42,7 +42,7 @@ UNITS = (
 NUMBERS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
 
 _NAME = r"(?<=[^\s.!?:;|]\s)\p{Lu}[\p{L}'’-]*\p{Ll}[\p{L}'’-]*"
-_DIGITS = r"[0-9]+(?:[.,:/][0-9]+)*"
+_DIGITS = r"[0-9]++(?:[.,:/][0-9]++)*+"
 _NUMBER = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(NUMBERS)})(?![\p{{L}}\p{{N}}])"
 _UNIT = rf"(<num>\s?)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})s?(?![\p{{L}}\p{{N}}])"
 _OUTER = r"(?<=[\p{L}\p{N}>])[^\p{L}\p{N}<>\s]+(?!\S)|(?<!\S)[^\p{L}\p{N}<>\s]+(?=[\p{L}\p{N}<])"
