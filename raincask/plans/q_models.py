@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import boosting as B
+from ..operators import ladder as LD
 from ..operators import models as M
 from ..operators.lookup import fallback_lookup
 from ..operators.scores import rounded as R6
@@ -109,43 +111,50 @@ def features(spark, d):
     return split(spark, d).withColumns({"tp_log": F.log1p("tp"), "season_sin": s, "season_cos": c, "label": F.when(F.col("tp") > 40, 1).when(F.col("obs") > 60, 2).otherwise(0)})
 
 
-@query("m03_boosted")
-def m03(spark, d):
-    f = features(spark, d)
-    model = M.boosted_regressor(f.where("split = 'train'"), FEATURES, trees=5)
-    p = M.predict_rain(model, f.where("split = 'test'"), "L3_gbm")
-    e = F.col("L3_gbm") - F.col("obs")
-    return R6(p.groupBy("lead").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.min("L3_gbm").alias("least")), 4)
+#: Rounds and depth of the learned levels in these queries.
+BOOSTING = {"rounds": 4, "depth": 3, "rate": 0.3}
+YEARS, CLASSES = [1996, 1997, 1998], [0, 1, 2]
+AWARE = [*FEATURES, *(f"p_{c}" for c in CLASSES)]
+TRAIN, VAL = F.col("split") == "train", F.col("split") == "val"
 
 
-YEARS, CLASSES = [1996, 1997, 1998], [0, 1, 2]
+def scored(df, name, **more):
+    e = F.col(name) - F.col("obs")
+    return R6(df.groupBy("lead").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.min(name).alias("least"), *(v.alias(k) for k, v in more.items())), 4)
 
 
-def regime_features(spark, d):
-    """Training rows with the class probabilities that other years give, and test rows with those of all of them."""
+@query("m03_boosted")
+def m03(spark, d):
+    """Tweedie trees that stop on the validation year."""
     f = features(spark, d)
-    return M.cross_fitted(f.where(F.col("year").isin(YEARS)), f.where("split = 'test'"), FEATURES, "label", CLASSES, YEARS)
+    model = B.fit(f, FEATURES, F.col("obs"), "tweedie", [B.Problem(TRAIN, VAL)], **BOOSTING)[0]
+    return scored(f.where("split = 'test'").withColumn("L3_gbm", B.prediction(model)), "L3_gbm")
 
 
-AWARE = [*FEATURES, *(f"p_{c}" for c in CLASSES)]
+def regime_features(spark, d):
+    """All rows with class probabilities: training rows have those that other years give."""
+    f = features(spark, d)
+    return LD.class_probabilities(f, FEATURES, "label", CLASSES, TRAIN & F.col("year").isin(YEARS), YEARS, **BOOSTING)[1]
 
 
 @query("m04_regime_boosted")
 def m04(spark, d):
-    """Boosted trees that know the class probabilities, cross-fitted by year."""
-    train, test = regime_features(spark, d)
-    p = M.predict_rain(M.boosted_regressor(train, AWARE, trees=5), test, "L4_gbm_regime")
-    e = F.col("L4_gbm_regime") - F.col("obs")
-    return R6(p.groupBy("lead").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.min("L4_gbm_regime").alias("least")), 4)
+    """Tweedie trees that know the class probabilities, cross-fitted by year."""
+    f = regime_features(spark, d)
+    model = B.fit(f, AWARE, F.col("obs"), "tweedie", [B.Problem(TRAIN & F.col("year").isin(YEARS), VAL)], **BOOSTING)[0]
+    return scored(f.where("split = 'test'").withColumn("L4_gbm_regime", B.prediction(model)), "L4_gbm_regime")
+
+
+def whole_ladder(spark, d, thresholds=()):
+    f = features(spark, d)
+    return LD.fit_ladder(f.where(VAL | F.col("year").isin(YEARS)), FEATURES, CLASSES, YEARS, thresholds, least_expert_rows=500, least_map_rows=400, **BOOSTING), f.where("split = 'test'")
 
 
 @query("m05_experts")
 def m05(spark, d):
     """A boosted model for each class with enough rows, mixed by the class probabilities and shrunk to the general one."""
-    train, test = regime_features(spark, d)
-    p = M.predict_mixture(M.fit_experts(train, AWARE, "label", CLASSES, least_rows=500, trees=3), test, "L5_moe")
-    e = F.col("L5_moe") - F.col("obs")
-    return R6(p.groupBy("lead").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.min("L5_moe").alias("least")), 4)
+    ladder, test = whole_ladder(spark, d)
+    return scored(LD.predict_table(ladder, test), "L5_moe")
 
 
 @query("m05_gate", sql("SELECT lead, count(*) AS n, round(avg(0.25 * (0.2 * (tp + 1) + 0.8 * tp) + 0.75 * (0.5 * tp / 2 + 0.5 * tp)), 4) AS mean FROM ladder GROUP BY 1", "ladder"))
@@ -158,8 +167,45 @@ def m05_gate(spark, d):
 @query("m12_importance")
 def m12_importance(spark, d):
     """Shares of the gain in a fitted boosted model."""
-    f = features(spark, d).where("split = 'train'")
-    return spark.createDataFrame(M.importance(M.boosted_regressor(f, FEATURES, trees=5), FEATURES), "feature string, share double")
+    f = features(spark, d)
+    return spark.createDataFrame(B.importance(B.fit(f, FEATURES, F.col("obs"), "tweedie", [B.Problem(TRAIN, VAL)], **BOOSTING)[0]), "feature string, share double")
+
+
+@query("m12_shapley")
+def m12_shapley(spark, d):
+    """Exact attributions of the Tweedie level for all test rows: means by lead and feature, and how far they are from adding up."""
+    f = features(spark, d)
+    model = B.fit(f, FEATURES, F.col("obs"), "tweedie", [B.Problem(TRAIN, VAL)], **BOOSTING)[0]
+    c = f.where("split = 'test'").select("lead", B.contributions(model).alias("c"), B.margin(model).alias("m"))
+    gap = F.abs(F.aggregate("c", F.lit(B.base_value(model)), lambda s, x: s + x) - F.col("m"))
+    each = c.select("lead", gap.alias("gap"), F.posexplode("c").alias("at", "value")).withColumn("feature", F.element_at(F.array(*map(F.lit, FEATURES)), F.col("at") + 1))
+    return R6(each.groupBy("lead", "feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.avg(F.abs("value")).alias("strength"), F.max("gap").alias("gap")), 6)
+
+
+#: Features of each driver theme.
+THEMES = {"rain": ["tp", "tp_log"], "place": ["iy", "ix"], "lead": ["lead"], "season": ["season_sin", "season_cos"], "regime": [f"p_{c}" for c in CLASSES]}
+
+
+@query("t03_model_drivers")
+def t03_model(spark, d):
+    """The strongest driver themes of each test row, by attributions of the regime-aware level, counted by place."""
+    ladder, test = whole_ladder(spark, d)
+    p = B.with_probabilities(ladder.classifier, test)
+    top = LD.drivers(ladder, p, ["l_orderkey", "l_partkey", "l_suppkey", "lead", "time", "tp"], THEMES, 3)
+    return R6(top.groupBy("driver", "rank", "direction").agg(F.count("*").alias("n"), F.sum("contribution_log").alias("total")), 2)
+
+
+@query("m13_explanations")
+def m13_explanations(spark, d):
+    """Each row of one day: its levels, predicted class, how typical it is of the archive, confidence and first driver."""
+    ladder, test = whole_ladder(spark, d)
+    key = F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "lead", "tp", "obs").alias("id")
+    day = LD.predict_table(ladder, test.where("time = DATE '2000-07-01'")).withColumn("id", key)
+    archive = B.with_probabilities(ladder.classifier, features(spark, d).where(TRAIN)).withColumn("id", key).withColumn("regime_pred", M.argmax(CLASSES, [f"p_{c}" for c in CLASSES])[0])
+    kind = LD.typicality(day, archive, archive.where(F.pmod("id", F.lit(500)) == 0), ["tp_log", "iy", "ix", "season_sin"], "regime_pred", "id").withColumnRenamed("query", "id")
+    first = LD.drivers(ladder, day, ["id"], THEMES, 1).select("id", "driver", "direction")
+    out = day.join(kind, "id").join(first, "id").withColumn("confidence", LD.explained_confidence(F.col("regime_conf"), F.col("typicality")))
+    return R6(out.select("id", "lead", "tp", "L4_gbm_regime", "regime_pred", "regime_conf", "distance", "typicality", "confidence", "driver", "direction"), 5)
 
 
 DRIVERS = {"rain": ("tp", 0.02), "north": ("iy", -0.1), "east": ("ix", 0.05), "lead": ("lead", -0.3), "season": ("year", -0.0007), "supply": ("l_suppkey", 0.001)}
@@ -178,29 +224,35 @@ def t03(spark, d):
 @query("m07_exceedance_head")
 def m07(spark, d):
     f = features(spark, d)
-    head = M.exceedance_head(f.where("split = 'train'"), f.where("split = 'val'"), FEATURES, 64.5)
-    p = head(f.where("split = 'test'"))
-    return R6(p.groupBy("lead").agg(F.count("*").alias("n"), F.min(F.col("`p_gt_64.5`")).alias("least"), F.max(F.col("`p_gt_64.5`")).alias("most"), F.avg(F.col("`p_gt_64.5`")).alias("mean")), 4)
+    p = LD.with_head(f.where("split = 'test'"), "p", LD.fit_head(f, FEATURES, 64.5, TRAIN, VAL, **BOOSTING))
+    return R6(p.groupBy("lead").agg(F.count("*").alias("n"), F.min("p").alias("least"), F.max("p").alias("most"), F.avg("p").alias("mean")), 4)
 
 
 @query("m08_regime_classifier")
 def m08(spark, d):
+    """Boosted trees of all classes at once; the fourth class has no rows and gets no probability."""
     f = features(spark, d)
-    p = M.regime_classifier(f.where("split = 'train'"), FEATURES, "label", range(4), trees=5)(f.where("split = 'test'"))
+    models, p = LD.class_probabilities(f, FEATURES, "label", range(4), TRAIN, [], **BOOSTING)
     name, most = M.argmax(["0", "1", "2", "3"], [f"p_{c}" for c in range(4)])
-    return R6(p.select(name.alias("predicted"), most.alias("confidence"), F.col("label")).groupBy("predicted", "label").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence")), 4)
+    p = p.where("split = 'test'").select(name.alias("predicted"), most.alias("confidence"), F.col("label"))
+    return R6(p.groupBy("predicted", "label").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence")), 4)
 
 
 @query("m09_out_of_year")
 def m09(spark, d):
+    """Each year's class probabilities from the other years."""
     f = features(spark, d).where("year BETWEEN 1996 AND 1998")
-    return R6(M.out_of_year(f, FEATURES, "label", range(3), [1996, 1997, 1998]).groupBy("year").agg(F.count("*").alias("n"), F.avg("p_0").alias("p_0"), F.avg("p_1").alias("p_1"), F.avg("p_2").alias("p_2")), 4)
+    p = LD.class_probabilities(f, FEATURES, "label", CLASSES, F.lit(True), YEARS, **BOOSTING)[1]
+    return R6(p.groupBy("year").agg(F.count("*").alias("n"), *(F.avg(f"p_{c}").alias(f"p_{c}") for c in CLASSES)), 4)
 
 
 @query("m10_predictions")
 def m10(spark, d):
-    """Ratio, quantile map, head-free class of each test row: one chain of joins and columns."""
-    return R6(predictions(spark, d), 5)
+    """The whole prediction table of the test rows: seven levels, heads, class probabilities, predicted class and its confidence."""
+    ladder, test = whole_ladder(spark, d, thresholds=(15.6, 64.5))
+    p = LD.predict_table(ladder, test)
+    levels = ["L0_raw", "L1_climbias", "L2_qmap", "L3_gbm_generic", "L4_gbm_regime", "L5_moe", "L6_regime_qm", "p_gt_15_6", "p_gt_64_5", *(f"p_{c}" for c in CLASSES), "regime_conf"]
+    return R6(p.select(*IDS, "regime_pred", *levels), 5)
 
 
 def predictions(spark, d):
