@@ -21,10 +21,12 @@ from .common import materialise, text_or_empty
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
 SECRET_KIND = len(BASE_KINDS)
+#: Kinds whose shape labeler tests a number.
+NUMBERS = (1, 2, 3)
 SPANS = "array<struct<kind: int, start: long, stop: long, base: boolean, v1: int, v2: int, v3: int, v4: int>>"
 
 # Patterns that give the leftmost matches without overlap, each begun where no earlier one could begin.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
@@ -33,6 +35,8 @@ LOOSE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+[\x20]?(?:\(at\)|\[a
 LOOSE_PHONE = r"(?<![0-9+(.-])(?<![0-9+][\x20(])(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9]|[.-][0-9])"
 LOOSE_CARD = r"(?<![0-9.])[0-9]{4}[.][0-9]{4}[.][0-9]{4}[.][0-9]{4}(?![0-9]|[.][0-9])"
 SECRET = r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{20,}+={0,2}(?![A-Za-z0-9_+/=-])"
+#: Code points of text before a span that its labelers see.
+BEFORE = 64
 # Gazetteers (fixed values): endings of domains, first digits of card issuers, beginnings and lengths of keys, words near each kind.
 ENDINGS = "com org net edu gov mil int info biz io ai dev app me co us uk de fr es it nl be ch at ie pt pl se no dk fi cz gr hu ro ru jp cn in kr br mx ar ca au nz za".split()
 ISSUERS = "^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35|36|38)"
@@ -61,19 +65,51 @@ def octets(text: Column) -> Column:
     return F.forall(F.split(text, r"\."), lambda p: p.rlike("^0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"))
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, stop, value, before>>: code points of the successive matches, and 24 of text before each."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start: long, stop: long, value: string, before: string>>)").alias("out"))
+#: Elements in a run of `scan`: its cost grows with the product of this and their number.
+SCAN = 128
+
+
+def scan(a: Column, step, zero: Column) -> Column:
+    """Running values step(... step(step(zero, a[0]), a[1]) ...), one for each element; step has to be associative.
+
+    A fold that appends copies what it has, so runs of SCAN elements are folded by themselves, then the
+    totals of the runs, and the runs are shifted by the total before them.
+    """
+    def fold(x: Column) -> Column:
+        start = F.struct(zero.alias("at"), F.array().cast("array<long>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["value"])
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["value"].alias("value"), F.right(x["gap"], F.lit(24)).alias("before")))).alias("out"))
+        def one(acc: Column, v: Column) -> Column:
+            at = step(acc["at"], v)
+            return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
 
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("value"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["out"]))
+        return F.aggregate(x, start, one, lambda acc: acc["out"])
+
+    def joined(runs: Column) -> Column:
+        totals = fold(F.transform(runs, lambda r: F.element_at(r, -1)))
+        before = F.slice(F.concat(F.array(zero), totals), F.lit(1), F.size(runs))
+        return F.flatten(F.transform(F.arrays_zip(runs.alias("run"), before.alias("base")), lambda z: F.transform(z["run"], lambda v: step(z["base"], v))))
+
+    def cut(x: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / SCAN).cast("int"))
+        return F.transform(at, lambda k: fold(F.slice(x, k * SCAN + 1, F.lit(SCAN))))
+
+    # A lambda's argument is evaluated once; a column used twice would be made twice.
+    def bound(x: Column, make) -> Column:
+        return F.element_at(F.transform(F.array(x), make), 1)
+
+    return bound(a, lambda x: F.when(F.size(x) > SCAN, bound(cut(x), joined)).otherwise(fold(x)))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct<start, stop, value, before>>: code points of the successive matches, and the text before each, BEFORE at most."""
+    def placed(parts: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(parts["gaps"], 1, F.size(parts["values"])).alias("gap"), parts["values"].alias("value"))
+        stops = scan(F.transform(pairs, lambda x: (F.length(x["gap"]) + F.length(x["value"])).cast("long")), lambda total, n: total + n, F.lit(0).cast("long"))
+        each = F.arrays_zip(pairs.alias("pair"), stops.alias("stop"))
+        return F.transform(each, lambda z: F.struct((z["stop"] - F.length(z["pair"]["value"])).alias("start"), z["stop"].alias("stop"), z["pair"]["value"].alias("value"), F.right(z["pair"]["gap"], F.lit(BEFORE)).alias("before")))
+
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(text.rlike(pattern), F.element_at(F.transform(F.array(parts), placed), 1))
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -85,7 +121,7 @@ def _candidates(found: Column, kind: int, base) -> Column:
     def candidate(m: Column) -> Column:
         value, number = m["value"], digits(m["value"])
         if kind == 0:
-            end = F.lower(F.regexp_extract(value, "([A-Za-z0-9-]+)$", 1))
+            end = F.lower(F.regexp_extract(value, "(?<![A-Za-z0-9-])([A-Za-z0-9-]++)$", 1))
             shape = _vote(value.rlike(r"^[A-Za-z0-9][^@]*[A-Za-z0-9]?[\x20]?[@(\[{]"), value.rlike(r"^[._%+-]|\.\.|-$"))
             gazetteer = _vote(end.isin(ENDINGS), F.length(end) < 2)
         elif kind == 1:
@@ -99,10 +135,10 @@ def _candidates(found: Column, kind: int, base) -> Column:
             gazetteer = _vote(number.rlike("^(?:1?[2-9][0-9]{2}[2-9]|[2-9][0-9]{8,14}$)"), number.rlike("^0{3}|^1?[01]"))
         else:
             mixed = value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[0-9].*[0-9]")
-            shape = _vote(value.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$") | mixed, value.rlike("^[0-9_+/=-]+$|^[A-Za-z]+(?:[-_/+][A-Za-z0-9]{1,12}){2,}$"))
+            shape = _vote(value.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$") | mixed, value.rlike("^[0-9_+/=-]+$|^[A-Za-z]++(?:[-_/+][A-Za-z0-9]{1,12}+){2,}+$"))
             gazetteer = _vote(value.rlike(KEYS) | F.length(value).isin(32, 40, 64), value.rlike("/.*/"))
         against = r"(?:commit|sha[0-9]*|md5|checksum|digest|revision)[\x20:#=\x22']*$" if kind == SECRET_KIND else r"(?:version|v\.|section|isbn|issn|order|invoice|id|no\.?|figure|table|page)[\x20:#]*$"
-        context = _vote(F.lower(m["before"]).rlike(rf"(?:{CONTEXT[kind]})[^\n]{{0,16}}$"), F.lower(m["before"]).rlike(against))
+        context = _vote(F.lower(m["before"]).rlike(rf"(?:{CONTEXT[kind]})[^\n]{{0,40}}$"), F.lower(m["before"]).rlike(against))
         around = _vote(m["before"].rlike(r"[=:]\s*[\x22']?$|[\x22'`]$" if kind == SECRET_KIND else r"(?:^|[\s(,;:<])$"), m["before"].rlike(r"[A-Za-z0-9_/\\=-]$"))
         return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), base(m).alias("base"), shape.alias("v1"), gazetteer.alias("v2"), context.alias("v3"), around.alias("v4"))
 
@@ -125,6 +161,21 @@ def candidates(text: Column) -> Column:
     return F.concat(*parts)
 
 
+def apart(spans: Column) -> Column:
+    """The spans that are not base ones and overlap none of those; two scans over all spans in order of their starts."""
+    none, far = F.lit(-1).cast("long"), F.lit((1 << 62)).cast("long")
+
+    def kept(sorted_spans: Column) -> Column:
+        stops = scan(F.transform(sorted_spans, lambda s: F.when(s["base"], s["stop"]).otherwise(none)), lambda x, y: F.greatest(x, y), none)
+        starts = F.reverse(scan(F.reverse(F.transform(sorted_spans, lambda s: F.when(s["base"], s["start"]).otherwise(far))), lambda x, y: F.least(x, y), far))
+        each = F.arrays_zip(sorted_spans.alias("span"), stops.alias("before"), starts.alias("after"))
+        clear = F.filter(each, lambda z: ~z["span"]["base"] & (z["before"] <= z["span"]["start"]) & (z["after"] >= z["span"]["stop"]))
+        return F.transform(clear, lambda z: z["span"])
+
+    by_start = F.array_sort(spans, lambda x, y: F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise(0))
+    return F.element_at(F.transform(F.array(by_start), kept), 1)
+
+
 VOTES = ("v1", "v2", "v3", "v4")
 
 
@@ -175,7 +226,10 @@ def train_logistic(rows: list[tuple[list[float], float, float]], rounds: int = 3
 
 
 def accepted(patterns: list[tuple[int, tuple[int, ...], float]], rounds: int = 50) -> list[tuple[int, tuple[int, ...]]]:
-    """(kind, votes) of the patterns that the span classifier takes; EM runs for each kind by itself."""
+    """(kind, votes) of the patterns that the span classifier takes; EM runs for each kind by itself.
+
+    Of numbers, whose shape is a checksum, a range or a count of digits, none is taken whose shape is against it.
+    """
     rows = []
     for kind in range(len(KINDS)):
         table = [(v, n) for k, v, n in patterns if k == kind]
@@ -185,7 +239,7 @@ def accepted(patterns: list[tuple[int, tuple[int, ...], float]], rounds: int = 5
     if not rows:
         return []
     weight = train_logistic(rows)
-    return [(k, v) for k in range(len(KINDS)) for v in itertools.product((-1, 0, 1), repeat=len(VOTES)) if sum(a * b for a, b in zip(weight, features(v, k))) > 0]
+    return [(k, v) for k in range(len(KINDS)) for v in itertools.product((-1, 0, 1), repeat=len(VOTES)) if (v[0] >= 0 or k not in NUMBERS) and sum(a * b for a, b in zip(weight, features(v, k))) > 0]
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,7 +264,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.array_sort(F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))))
 
     own = F.filter("c", lambda s: s["base"])
-    loose = F.filter("c", lambda s: ~s["base"] & take(s) & ((s["kind"] == SECRET_KIND) | ~F.exists(own, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))))
+    secrets = F.filter("c", lambda s: ~s["base"] & take(s) & (s["kind"] == SECRET_KIND))
+    others = F.filter("c", lambda s: s["base"] | (take(s) & (s["kind"] != SECRET_KIND)))
+    loose = F.when(F.exists("c", lambda s: ~s["base"] & (s["kind"] != SECRET_KIND)), F.concat(secrets, apart(others))).otherwise(secrets)
     return spans.select("doc_id", plain(own).alias("base"), plain(F.when(F.exists("c", lambda s: ~s["base"]), F.concat(own, loose)).otherwise(own)).alias("spans"))
 
 
