@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import rain
@@ -11,7 +13,7 @@ from ..sources import daily, profile, synthetic
 from .book import query
 from .q_columns import EDGES, TERRAIN
 from .q_grid import grid
-from .views import cells, granules, paired, pairs, sql, table, tiled
+from .views import cells, dense, granules, paired, pairs, sql, table, tiled
 
 S = lambda c: c.cast("string")
 
@@ -126,6 +128,44 @@ def s15(spark, d):
     return table(spark, d, "customer").select("c_custkey", no_fill("c_acctbal").alias("v"))
 
 
+def _written(spark, df, form, **options):
+    """df written by one of the grid sources, a file to a partition, and read back."""
+    from ..sources import grids
+    from ..storage import shared_dir
+
+    grids.register(spark)
+    path = f"{shared_dir(spark)}/raincask/{form}-{uuid.uuid4().hex}"
+    df.repartition("file").write.format(form).options(**options).mode("append").save(path)
+    return spark.read.format(form).options(**options, records="7").load(path), path
+
+
+MONTHS = "SELECT label, iy, ix, CASE WHEN valid THEN obs END AS v, CAST(year(label) * 100 + month(label) AS VARCHAR) AS file, day(label) - 1 AS record FROM dense"
+
+
+@query("s15_raw_grids", sql(f"""WITH m AS ({MONTHS}) SELECT file, CAST(record AS INT) AS record, count(*) AS n, count(v) AS there, round(sum(v::FLOAT::DOUBLE), 3) AS total, round(max(v::FLOAT::DOUBLE), 3) AS most FROM m GROUP BY 1, 2""", "dense"))
+def s15_raw(spark, d):
+    """Monthly files of raw daily fields, written from the cells' rain and read back by ranges of records; days without a field are not asked for."""
+    g = dense(spark, d)
+    ny = g.agg(F.max("iy")).first()[0] + 1
+    rows = g.select(F.date_format("label", "yyyyMM").alias("file"), (F.dayofmonth("label") - 1).alias("record"), "iy", "ix", F.when(F.col("valid"), F.col("obs")).alias("value"))
+    back, _ = _written(spark, rows, "raincask_raw", ny=str(ny), nx="15")
+    asked = rows.select("file", "record").distinct()
+    own = rows.select("iy", "ix").distinct()
+    out = back.join(asked, ["file", "record"], "left_semi").join(own, ["iy", "ix"], "left_semi")
+    return R6(out.groupBy("file", "record").agg(F.count("*").alias("n"), F.count("value").alias("there"), F.sum("value").alias("total"), F.max("value").alias("most")), 3)
+
+
+@query("s12_netcdf_files", sql(f"""WITH m AS ({MONTHS}) SELECT file, count(*) AS n, count(v) AS there, CAST(date_diff('day', DATE '1990-01-01', min(label)) AS DOUBLE) AS first, CAST(date_diff('day', DATE '1990-01-01', max(label)) AS DOUBLE) AS last, round(sum(v), 4) AS total, max(v) AS most FROM m GROUP BY 1""", "dense"))
+def s12_netcdf(spark, d):
+    """Monthly classic files, a record a day, written from the cells' rain and read back by ranges of records."""
+    g = dense(spark, d)
+    rows = g.select(F.date_format("label", "yyyyMM").alias("file"), F.lit(0).alias("record"), F.date_diff("label", F.lit("1990-01-01").cast("date")).cast("double").alias("time"), F.lit("days since 1990-01-01").alias("time_units"), F.col("iy").cast("double").alias("y"), F.col("ix").cast("double").alias("x"), F.when(F.col("valid"), F.col("obs")).alias("value"))
+    back, _ = _written(spark, rows, "raincask_netcdf", variable="rain")
+    own = g.select(F.col("iy").cast("double").alias("y"), F.col("ix").cast("double").alias("x")).distinct()
+    out = back.where("time_units = 'days since 1990-01-01'").join(own, ["y", "x"], "left_semi").groupBy("file")
+    return R6(out.agg(F.count("*").alias("n"), F.count("value").alias("there"), F.min("time").alias("first"), F.max("time").alias("last"), F.sum("value").alias("total"), F.max("value").alias("most")), 4)
+
+
 @query("s17_granule_selection", sql("SELECT count(*) AS granules, CAST(max(slot) - min(slot) + 1 - count(*) AS BIGINT) AS gaps FROM granules WHERE slot >= 946000 * 2 + 1048 AND slot < 946000 * 2 + 2048", "granules"))
 def s17(spark, d):
     g = daily.selected_granules(granules(spark, d), 946_000 * 2 + 1048, 946_000 * 2 + 2048)

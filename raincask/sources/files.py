@@ -14,7 +14,7 @@ from ..operators.pairing import assert_empty
 from .mapping import SourceError, mapped, source
 
 #: Properties that may hold a district's name, and its state, the first that is there (fixed values).
-NAMES = ("district", "DISTRICT", "dtname", "NAME_2", "name", "NAME")
+NAMES = ("district", "DISTRICT", "dtname", "NAME_2", "district_name", "name")
 STATES = ("state", "STATE", "stname", "NAME_1")
 
 
