@@ -115,7 +115,10 @@ def features(spark, d):
 BOOSTING = {"rounds": 4, "depth": 3, "rate": 0.3}
 YEARS, CLASSES = [1996, 1997, 1998], [0, 1, 2]
 AWARE = [*FEATURES, *(f"p_{c}" for c in CLASSES)]
-TRAIN, VAL = F.col("split") == "train", F.col("split") == "val"
+
+
+def part(name):
+    return F.col("split") == name
 
 
 def scored(df, name, **more):
@@ -127,27 +130,27 @@ def scored(df, name, **more):
 def m03(spark, d):
     """Tweedie trees that stop on the validation year."""
     f = features(spark, d)
-    model = B.fit(f, FEATURES, F.col("obs"), "tweedie", [B.Problem(TRAIN, VAL)], **BOOSTING)[0]
+    model = B.fit(f, FEATURES, F.col("obs"), "tweedie", [B.Problem(part("train"), part("val"))], **BOOSTING)[0]
     return scored(f.where("split = 'test'").withColumn("L3_gbm", B.prediction(model)), "L3_gbm")
 
 
 def regime_features(spark, d):
     """All rows with class probabilities: training rows have those that other years give."""
     f = features(spark, d)
-    return LD.class_probabilities(f, FEATURES, "label", CLASSES, TRAIN & F.col("year").isin(YEARS), YEARS, **BOOSTING)[1]
+    return LD.class_probabilities(f, FEATURES, "label", CLASSES, part("train") & F.col("year").isin(YEARS), YEARS, **BOOSTING)[1]
 
 
 @query("m04_regime_boosted")
 def m04(spark, d):
     """Tweedie trees that know the class probabilities, cross-fitted by year."""
     f = regime_features(spark, d)
-    model = B.fit(f, AWARE, F.col("obs"), "tweedie", [B.Problem(TRAIN & F.col("year").isin(YEARS), VAL)], **BOOSTING)[0]
+    model = B.fit(f, AWARE, F.col("obs"), "tweedie", [B.Problem(part("train") & F.col("year").isin(YEARS), part("val"))], **BOOSTING)[0]
     return scored(f.where("split = 'test'").withColumn("L4_gbm_regime", B.prediction(model)), "L4_gbm_regime")
 
 
 def whole_ladder(spark, d, thresholds=()):
     f = features(spark, d)
-    return LD.fit_ladder(f.where(VAL | F.col("year").isin(YEARS)), FEATURES, CLASSES, YEARS, thresholds, least_expert_rows=500, least_map_rows=400, **BOOSTING), f.where("split = 'test'")
+    return LD.fit_ladder(f.where(part("val") | F.col("year").isin(YEARS)), FEATURES, CLASSES, YEARS, thresholds, least_expert_rows=500, least_map_rows=400, **BOOSTING), f.where("split = 'test'")
 
 
 @query("m05_experts")
@@ -168,14 +171,14 @@ def m05_gate(spark, d):
 def m12_importance(spark, d):
     """Shares of the gain in a fitted boosted model."""
     f = features(spark, d)
-    return spark.createDataFrame(B.importance(B.fit(f, FEATURES, F.col("obs"), "tweedie", [B.Problem(TRAIN, VAL)], **BOOSTING)[0]), "feature string, share double")
+    return spark.createDataFrame(B.importance(B.fit(f, FEATURES, F.col("obs"), "tweedie", [B.Problem(part("train"), part("val"))], **BOOSTING)[0]), "feature string, share double")
 
 
 @query("m12_shapley")
 def m12_shapley(spark, d):
     """Exact attributions of the Tweedie level for all test rows: means by lead and feature, and how far they are from adding up."""
     f = features(spark, d)
-    model = B.fit(f, FEATURES, F.col("obs"), "tweedie", [B.Problem(TRAIN, VAL)], **BOOSTING)[0]
+    model = B.fit(f, FEATURES, F.col("obs"), "tweedie", [B.Problem(part("train"), part("val"))], **BOOSTING)[0]
     c = f.where("split = 'test'").select("lead", B.contributions(model).alias("c"), B.margin(model).alias("m"))
     gap = F.abs(F.aggregate("c", F.lit(B.base_value(model)), lambda s, x: s + x) - F.col("m"))
     each = c.select("lead", gap.alias("gap"), F.posexplode("c").alias("at", "value")).withColumn("feature", F.element_at(F.array(*map(F.lit, FEATURES)), F.col("at") + 1))
@@ -201,7 +204,7 @@ def m13_explanations(spark, d):
     ladder, test = whole_ladder(spark, d)
     key = F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "lead", "tp", "obs").alias("id")
     day = LD.predict_table(ladder, test.where("time = DATE '2000-07-01'")).withColumn("id", key)
-    archive = B.with_probabilities(ladder.classifier, features(spark, d).where(TRAIN)).withColumn("id", key).withColumn("regime_pred", M.argmax(CLASSES, [f"p_{c}" for c in CLASSES])[0])
+    archive = B.with_probabilities(ladder.classifier, features(spark, d).where(part("train"))).withColumn("id", key).withColumn("regime_pred", M.argmax(CLASSES, [f"p_{c}" for c in CLASSES])[0])
     kind = LD.typicality(day, archive, archive.where(F.pmod("id", F.lit(500)) == 0), ["tp_log", "iy", "ix", "season_sin"], "regime_pred", "id").withColumnRenamed("query", "id")
     first = LD.drivers(ladder, day, ["id"], THEMES, 1).select("id", "driver", "direction")
     out = day.join(kind, "id").join(first, "id").withColumn("confidence", LD.explained_confidence(F.col("regime_conf"), F.col("typicality")))
@@ -224,7 +227,7 @@ def t03(spark, d):
 @query("m07_exceedance_head")
 def m07(spark, d):
     f = features(spark, d)
-    p = LD.with_head(f.where("split = 'test'"), "p", LD.fit_head(f, FEATURES, 64.5, TRAIN, VAL, **BOOSTING))
+    p = LD.with_head(f.where("split = 'test'"), "p", LD.fit_head(f, FEATURES, 64.5, part("train"), part("val"), **BOOSTING))
     return R6(p.groupBy("lead").agg(F.count("*").alias("n"), F.min("p").alias("least"), F.max("p").alias("most"), F.avg("p").alias("mean")), 4)
 
 
@@ -232,7 +235,7 @@ def m07(spark, d):
 def m08(spark, d):
     """Boosted trees of all classes at once; the fourth class has no rows and gets no probability."""
     f = features(spark, d)
-    models, p = LD.class_probabilities(f, FEATURES, "label", range(4), TRAIN, [], **BOOSTING)
+    models, p = LD.class_probabilities(f, FEATURES, "label", range(4), part("train"), [], **BOOSTING)
     name, most = M.argmax(["0", "1", "2", "3"], [f"p_{c}" for c in range(4)])
     p = p.where("split = 'test'").select(name.alias("predicted"), most.alias("confidence"), F.col("label"))
     return R6(p.groupBy("predicted", "label").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence")), 4)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rain, space
+from ..operators import detection as DT
 from ..operators import evidence as E
 from ..operators import focal as W
 from ..operators import regimes as R
@@ -229,6 +230,39 @@ def a30(spark, d):
     return by.join(primary, "code", "left").na.fill(0, ["primary_systems"])
 
 
+#: A grid of 1,200 rows of 1,100 cells, the gates on it, and the cells of a tile's side.
+WIDE, WIDE_GATES, TILE = DT.Grid(1200, 1100, -40.0, 20.0, 0.1), DT.Gates(box=(-30.0, 70.0, 30.0, 120.0), sigma_cells=8.0, ring_degrees=1.0), 256
+
+
+def wide_tiles(spark, d):
+    """A calm field in which each event lowers the pressure around its cell and turns the wind; a time is a third of a month."""
+    e = table(spark, d, "events").select(F.trunc("ts", "month").alias("month"), F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2)).cast("int").alias("part"), "event_id", "value")
+    centre = e.select(
+        (F.col("month").cast("timestamp_ntz") + F.make_dt_interval(F.col("part") * 10)).alias("time"), F.pmod(F.col("event_id") * 7919 + 13, F.lit(WIDE.rows)).cast("int").alias("cy"),
+        F.pmod(F.col("event_id") * 104_729 + 7, F.lit(WIDE.columns)).cast("int").alias("cx"), (F.col("value") / 20).alias("depth"),
+    )
+    around = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(2.0 ** -(dy * dy + dx * dx)).alias("w")) for dy in range(-2, 3) for dx in range(-2, 3)))).alias("o")
+    each = centre.select("time", "cy", "cx", "depth", around)
+    part = F.round(F.col("depth") * F.col("o.w"), 6)
+    summed = each.groupBy("time", (F.col("cy") + F.col("o.dy")).alias("iy"), (F.col("cx") + F.col("o.dx")).alias("ix")).agg(*(F.sum((c * 1e6).cast("long")).alias(n) for n, c in (("low", part), ("east", -part * F.col("o.dy")), ("north", part * F.col("o.dx")))))
+    field = summed.select("time", "iy", "ix", (1008.0 - F.col("low") / 1e6).alias("mslp"), (F.col("east") / 1e6).alias("u"), (F.col("north") / 1e6).alias("v"))
+    return DT.detect(field, WIDE, WIDE_GATES, TILE, fill=(1008.0, 0.0, 0.0))
+
+
+@query("r01_tiled_systems")
+def r01_tiled(spark, d):
+    """Systems of a large grid by the real gates: background, vorticity, closed ring, separation, class."""
+    out = DT.systems(wide_tiles(spark, d), WIDE_GATES)
+    return R6(out.select(S(F.col("time")).alias("time"), "iy", "ix", "lat", "lon", "mslp", "residual", "depth", "vorticity", "wind", "class"), 5)
+
+
+@query("r03_tiled_audit")
+def r03_tiled(spark, d):
+    """How many cells of the large grid survive each gate, by time, and how many centres are left."""
+    tiles = wide_tiles(spark, d)
+    return R6(DT.audit(tiles, DT.systems(tiles, WIDE_GATES)).withColumn("time", S(F.col("time"))), 5)
+
+
 @query("t01_greedy_top")
 def t01(spark, d):
     c = candidates(spark, d).select(F.col("label").alias("time"), "member", "iy", "ix", "lat", "lon", "residual")
