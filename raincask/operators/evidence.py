@@ -57,23 +57,60 @@ def material(df: DataFrame, least_blocks: int = 10, least_cells: int = 100, g: f
     return df.withColumn("usable", usable).withColumn("material", usable & apart("hedges_g") & (F.abs("hedges_g") >= g) & apart("mae_diff") & (F.abs("mae_diff") >= mae))
 
 
+#: Days that one bitmap holds, and which of them are kept: from 1810 to 2079.
+BITMAP_DAYS, BITMAPS = 32_768, (-1, 0, 1)
+
+
+def distinct_days(day: str, some: Column | None = None) -> Column:
+    """How many different days a group has, among rows where `some` is true: an aggregate of bitmaps, so nothing is sorted or counted apart.
+
+    Bitmaps of a group merge by `or`, before the shuffle too, and take 4 KB for each 90 years. A day
+    beyond BITMAPS is an error.
+    """
+    number = F.date_diff(F.col(day).cast("date"), F.lit("1900-01-01").cast("date"))
+    bucket, position = F.floor(number / BITMAP_DAYS), F.pmod(number, F.lit(BITMAP_DAYS)).cast("long")
+    there = F.col(day).isNotNull() if some is None else F.col(day).isNotNull() & some
+    strange = F.max(F.when(there & ~bucket.isin(*BITMAPS), F.raise_error(F.lit("a day lies outside 1810 to 2079")).cast("long")))
+    return sum((F.bitmap_count(F.bitmap_construct_agg(F.when(there & (bucket == k), position))) for k in BITMAPS), F.coalesce(strange, F.lit(0).cast("long")))
+
+
+def by_threshold(grouped: DataFrame, keys: Sequence[str], thresholds: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Columns <name>_<place of the threshold> as a row for each threshold."""
+    each = F.array(*(F.struct(F.lit(float(t)).alias("threshold"), *(F.col(f"{n}_{i}").alias(n) for n in names)) for i, t in enumerate(thresholds)))
+    wide = {f"{n}_{i}" for n in names for i in range(len(thresholds))}
+    return grouped.withColumn("_each", F.explode(each)).select(*keys, *(c for c in grouped.columns if c not in wide and c not in keys), "_each.*")
+
+
 def atlas(long: DataFrame, fc: str, obs: str, day: str, thresholds: Sequence[float], template: DataFrame) -> DataFrame:
     """Scores by (axis, regime, region or 'all', threshold); groups of the template without data appear with n = 0.
 
-    long has one row for each cell-day and mask. Grouping sets give the region margin in the same pass.
+    long has one row for each cell-day and mask. All thresholds are columns of one pass, days are bitmaps,
+    and grouping sets give the region margin in the same pass.
     """
-    each = long.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
-    f, o = F.col(fc) >= F.col("threshold"), F.col(obs) >= F.col("threshold")
-    counts = [F.count_if(f & o).alias("hits"), F.count_if(f & ~o).alias("false_alarms"), F.count_if(~f & o).alias("misses"), F.count_if(~f & ~o).alias("correct_negatives"), F.countDistinct(day).alias("n_days"), F.count_if(o).alias("events")]
-    keys = ["axis", "regime", "region", "threshold"]
-    g = each.groupingSets([keys, ["axis", "regime", "threshold"]], *keys).agg(*continuous_aggregates(fc, obs), *counts)
-    g = contingency_scores(g.withColumn("region", F.coalesce("region", F.lit("all"))))
-    out = template.join(g, keys, "left")
+    names = ("hits", "false_alarms", "misses", "correct_negatives", "events")
+    counts = []
+    for i, t in enumerate(thresholds):
+        f, o = F.col(fc) >= float(t), F.col(obs) >= float(t)
+        counts += [F.count_if(c).alias(f"{n}_{i}") for n, c in zip(names, (f & o, f & ~o, ~f & o, ~f & ~o, o))]
+    keys = ["axis", "regime", "region"]
+    g = long.groupingSets([keys, keys[:2]], *keys).agg(*continuous_aggregates(fc, obs), distinct_days(day).alias("n_days"), *counts)
+    g = contingency_scores(by_threshold(g, keys, thresholds, names).withColumn("region", F.coalesce("region", F.lit("all"))))
+    out = template.join(g, [*keys, "threshold"], "left")
     filled = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "n_days", "events")})
     note = F.concat_ws("; ", F.when(F.col("n_days") < 30, "few days"), F.when(F.col("n") < 1000, "few cells"), F.when(F.col("events") < 20, "few events"))
     return filled.withColumn("low_sample", note)
 
 
+def threshold_counts(long: DataFrame, obs: str, day: str, thresholds: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """(by, threshold, events, months): events at >= each threshold, and in how many months of the year; one pass, a month being a bit."""
+    counts = []
+    for i, t in enumerate(thresholds):
+        hit = F.col(obs) >= float(t)
+        months = F.bit_count(F.bit_or(F.when(hit, F.expr(f"shiftleft(1, month({day}) - 1)")))).cast("long")
+        counts += [F.count_if(hit).alias(f"events_{i}"), F.coalesce(months, F.lit(0).cast("long")).alias(f"months_{i}")]
+    return by_threshold(long.groupBy(*by).agg(*counts), by, thresholds, ("events", "months"))
+
+
 def atlas_maps(df: DataFrame, fc: str, obs: str, regime: str, threshold: float, cell: Sequence[str] = ("iy", "ix")) -> DataFrame:
     """Per cell and regime: days, mean error, and the hits, misses and false alarms at >= threshold."""
     f, o = F.col(fc) >= threshold, F.col(obs) >= threshold

@@ -153,7 +153,7 @@ def a25(spark, d):
 
 @query("a27_regime_counts", sql(f"WITH {MASKS} SELECT axis, regime, count(DISTINCT label) AS days, count(*) AS samples FROM ms GROUP BY 1, 2", "paired"))
 def a27(spark, d):
-    return masked(spark, d).groupBy("axis", "regime").agg(F.countDistinct("label").alias("days"), F.count("*").alias("samples"))
+    return masked(spark, d).groupBy("axis", "regime").agg(E.distinct_days("label").alias("days"), F.count("*").alias("samples"))
 
 
 @query("a28_usable_groups", sql(f"WITH {MASKS}, c AS (SELECT axis, regime, region, count(*) AS n FROM ms GROUP BY 1, 2, 3) SELECT axis, regime, CAST(sum((n >= 30)::INT) AS BIGINT) AS usable, count(*) AS groups FROM c GROUP BY 1, 2", "paired"))
@@ -164,9 +164,7 @@ def a28(spark, d):
 
 @query("a29_threshold_counts", sql(f"WITH {MASKS}, x AS (SELECT *, unnest([15.6, 64.5, 115.6])::DOUBLE AS threshold FROM ms) SELECT axis, regime, threshold, CAST(count(*) FILTER (obs >= threshold) AS BIGINT) AS events, count(DISTINCT CASE WHEN obs >= threshold THEN month(label) END) AS months FROM x GROUP BY 1, 2, 3", "paired"))
 def a29(spark, d):
-    x = masked(spark, d).withColumn("threshold", F.explode(F.array(*(F.lit(t) for t in (15.6, 64.5, 115.6)))))
-    hit = F.col("obs") >= F.col("threshold")
-    return x.groupBy("axis", "regime", "threshold").agg(F.count_if(hit).alias("events"), F.countDistinct(F.when(hit, F.month("label"))).alias("months"))
+    return E.threshold_counts(masked(spark, d), "obs", "label", (15.6, 64.5, 115.6), ["axis", "regime"])
 
 
 def candidates(spark, d):
