@@ -125,11 +125,27 @@ def _clipped(points: str, axis: str, bound: Column, keep_above: bool) -> Column:
     return F.flatten(F.transform(points, edge))
 
 
+def near_outlines(cells: DataFrame, outlines: DataFrame, step: float, bucket_cells: int = 8) -> DataFrame:
+    """cells (iy, ix, lat, lon) beside the outlines (district, points) whose bounding box their own box meets.
+
+    A hash join on squares of `bucket_cells` cells a side: a cell lies in one, an outline in those of its
+    bounding box and half a cell around it. So neither each cell meets each outline, nor has either
+    side to be small.
+    """
+    side, half = step * bucket_cells, step / 2
+    ends = [(agg(F.transform("points", lambda p, c=c: p[c])) + F.lit(d)).alias(f"{c}{n}") for c in ("x", "y") for n, agg, d in (("0", F.array_min, -half), ("1", F.array_max, half))]
+    boxed = outlines.select("district", "points", *ends)
+    for c in ("x", "y"):
+        boxed = boxed.withColumn(f"b{c}", F.explode(F.sequence(F.floor(F.col(f"{c}0") / side).cast("int"), F.floor(F.col(f"{c}1") / side).cast("int"))))
+    placed = cells.select("iy", "ix", "lat", "lon", F.floor(F.col("lon") / side).cast("int").alias("bx"), F.floor(F.col("lat") / side).cast("int").alias("by"))
+    met = placed.join(boxed, ["bx", "by"]).where((F.col("lon") >= F.col("x0")) & (F.col("lon") <= F.col("x1")) & (F.col("lat") >= F.col("y0")) & (F.col("lat") <= F.col("y1")))
+    return met.select("iy", "ix", "lat", "lon", "district", "points")
+
+
 def bridge(cells: DataFrame, districts: list[tuple[str, list[tuple[float, float]]]], step: float) -> DataFrame:
     """`bridge_rows` over a table of valid cells (iy, ix, lat, lon); of equally near cells the least (iy, ix) is taken."""
     spark = cells.sparkSession
-    outlines = F.broadcast(spark.createDataFrame(districts, "district string, points array<struct<x: double, y: double>>"))
-    met = cells.select("iy", "ix", "lat", "lon").crossJoin(outlines)
+    met = near_outlines(cells, spark.createDataFrame(districts, "district string, points array<struct<x: double, y: double>>"), step)
     for axis, at in (("x", "lon"), ("y", "lat")):
         for side, above in ((-step / 2, True), (step / 2, False)):
             # explode keeps each step's points from being written out in full wherever the next uses them.
