@@ -145,13 +145,28 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str
     """(doc_id, key, keep_id) of each document that goes because a group that it is in keeps another.
 
     Groups hang together over links of `least` Jaccard similarity of `words`-word shingles (A-Z in lower
-    case) among candidates; the least id stays. `key` is the `text_key` of what goes. Null ids take no
-    part; empty texts are copies of each other; rows that repeat an id and its text are one document, and
-    of an id with several texts the first by order takes part. An empty table gives no rows; other
-    columns are ignored, whatever their names.
+    case) among candidates. A document is an (id, text): rows that repeat both are one, an id with several
+    texts is several. The least id of a group stays, a null one after all others, and of equal ids the
+    text with the least `key` (`text_key`), which is also how the result names what goes. Empty texts are
+    copies of each other. An empty table gives no rows; other columns are ignored, whatever their names.
     """
-    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_key(id_col, text_col).alias("key"), text_or_empty(text_col).alias("text"))
-    with rows_per_batch(docs.sparkSession, BATCH_ROWS):
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(id_col, text_col).alias("key"), text_or_empty(text_col).alias("text"))
+    ids = base.select("doc_id", "key").distinct()
+    if not ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").limit(1).count():
+        return _near_copies(base, words, least)
+    # Some ids are null or stand for several texts: documents are numbered in order, and the numbers are their ids.
+    order = [F.col("doc_id").asc_nulls_last(), F.col("key").asc()]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbers = materialise(ids.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("number", F.monotonically_increasing_id()), "numbers")
+    gone = _near_copies(base.select("key", "text").join(numbers, "key").select(F.col("number").alias("doc_id"), "key", "text"), words, least)
+    named = gone.join(numbers.select(F.col("number").alias("doc_id"), F.col("doc_id").alias("id")), "doc_id")
+    kept = numbers.select(F.col("number").alias("keep_id"), F.col("doc_id").alias("kept"))
+    return named.join(kept, "keep_id").select(F.col("id").alias("doc_id"), "key", F.col("kept").alias("keep_id"))
+
+
+def _near_copies(base: DataFrame, words: int, least: float) -> DataFrame:
+    """`near_copies` of base (doc_id, key, text), whose ids are there and stand for one text each."""
+    with rows_per_batch(base.sparkSession, BATCH_ROWS):
         printed = materialise(base.mapInArrow(_print(words), "doc_id long, key long, fp long, bands array<long>"), "word-fingerprints")
     total = printed.count()
     # Fingerprints: near ones hang together first; then each names the least document that has it.
