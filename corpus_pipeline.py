@@ -35,8 +35,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (0.8 of five-word shingles), keeps the document with the least id.
 
-    Null ids take no part and stay. Rows that repeat an id and its text stay or go together; of an id
-    with several texts the first by order takes part, and the others stay.
+    A document is an (id, text): rows that repeat both stay or go together, and null ids come after all others.
     """
     return without(docs, near_copies(docs).select("key"))
 
@@ -54,7 +53,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("SimHash near-dedup", near_stage), ("benchmark decontamination", benchmark_stage), ("best-fit packing", packing_stage)]
 
-#: SQL can express neither the classifier nor the tokenizer; tests hold the stages against brute force.
+#: SQL can express neither the classifier nor the tokenizer; tests plant cases for each stage and hold its operators against brute force.
 ORACLE_SQL = None
 
 
