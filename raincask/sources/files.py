@@ -5,6 +5,7 @@ Contents stay where they are: listings read no content, audits read each file on
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,22 @@ def merged(defaults: Mapping[str, object], given: Mapping[str, object], where: s
     return {k: merged(v, given[k] or {}, f"{where}{k}.") if isinstance(v, Mapping) and v and k in given else given.get(k, v) for k, v in defaults.items()}
 
 
+def read_settings(spark: SparkSession, path: str, defaults: Mapping[str, object], **over: object) -> dict[str, object]:
+    """Defaults, over them a JSON file (or a YAML one, where a YAML parser is installed) of any store that Spark reads, over that what is given."""
+    text = spark.read.text(path, wholetext=True).first()["value"]
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise SourceError(f"{path}: no YAML parser is installed; settings may be JSON, too") from e
+        told = yaml.safe_load(text)
+    else:
+        told = json.loads(text) if text.strip() else {}
+    if not isinstance(told or {}, Mapping):
+        raise SourceError(f"{path}: settings are not a mapping")
+    return merged(merged(defaults, told or {}), over)
+
+
 # ---------------------------------------------------------------- files
 def listed(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(name, size) of each file under a folder; no content is read."""

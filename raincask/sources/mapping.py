@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..operators.pairing import assert_empty
 
 SOURCES: dict[tuple[str, str], Callable[..., DataFrame]] = {}
 KINDS = ("forecast", "obs", "obs_native", "analysis")
@@ -62,3 +65,38 @@ def read_parquet(spark: SparkSession, path: str, fields: dict[str, tuple[str, fl
 def no_fill(value: str, above: float = -998.0):
     """Values at or below the fill limit are null."""
     return F.when(F.col(value) > above, F.col(value))
+
+
+#: What each kind of table has to hold: its key and its fields.
+CONTRACTS = {
+    "forecast": (("lead", "time", "iy", "ix"), ("tp", "u850", "v850", "tcwv", "cape", "mslp")),
+    "obs": (("time", "iy", "ix"), ("rain",)),
+    "analysis": (("time", "iy", "ix"), ("u850", "v850", "tcwv", "cape", "mslp")),
+    "static": (("iy", "ix"), ("slope", "aspect", "elev", "land", "coast_dist")),
+}
+
+
+def increasing(df: DataFrame, index: str, coordinate: str) -> DataFrame:
+    """The index values whose coordinate is missing, not the only one, or not above that of the index before: none if all is well."""
+    axis = df.groupBy(index).agg(F.min(coordinate).alias("least"), F.max(coordinate).alias("most"))  # a row a grid line
+    before = F.lag("most").over(Window.orderBy(index))
+    return axis.where(F.col("least").isNull() | (F.col("least") != F.col("most"))).select(index).unionByName(axis.withColumn("_b", before).where("least <= _b").select(index)).distinct()
+
+
+def validated(df: DataFrame, kind: str) -> DataFrame:
+    """df, if it keeps its kind's contract: its fields are there, each key comes once, and lat and lon grow with iy and ix.
+
+    A forecast's rain may be missing, but not negative. Fields beyond the contract are left alone.
+    """
+    if kind not in CONTRACTS:
+        raise SourceError(f"no such kind: {kind}")
+    keys, fields = CONTRACTS[kind]
+    missing = [c for c in (*keys, "lat", "lon", *fields) if c not in df.columns]
+    if missing:
+        raise SourceError(f"{kind}: columns missing: {missing}")
+    assert_empty(df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), f"{kind}: a key comes twice")
+    for index, coordinate in (("iy", "lat"), ("ix", "lon")):
+        assert_empty(increasing(df, index, coordinate), f"{kind}: {coordinate} does not increase with {index}")
+    if kind == "forecast":
+        assert_empty(df.where("tp < 0"), "forecast: negative rain")
+    return df

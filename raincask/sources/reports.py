@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import space
+from ..operators.detection import Gates
 from ..operators.gates import passing_summary
 from ..operators.pairing import GateError
 from ..operators.regimes import RADIUS_KM
 from .profile import axis_profile, field_statistics, text_evidence, time_profile, value_profile
-from .sinks import BundleError, write_bundle
+from .sinks import BundleError, markdown, write_bundle
 
 
 def plain(value: object) -> object:
@@ -90,13 +91,44 @@ def write_record(spark: SparkSession, path: str, title: str, record: Mapping[str
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/{form}")
 
 
-def definitions() -> dict:
-    """Which rules the regimes follow, read from the values that the operators themselves use."""
+def definitions(gates: Gates = Gates(box=space.SYSTEM_BOX)) -> dict:
+    """Which rules the regimes follow, with their thresholds; those of systems are read from the gates that detection uses.
+
+    Nothing here is an official declaration of any event: all classes are objective stand-ins or scores.
+    """
+    low = f"a local minimum of pressure whose departure from a Gaussian background of {gates.sigma_cells:g} cells is at most -{gates.residual:g} hPa, vorticity at least {gates.vorticity:g}e-5 a second, and a complete ring at {gates.ring_degrees:g} degrees at least {gates.depth:g} hPa higher"
     return {
         "regions": [{"region": str(n)} for n in space.REGIONS],
         "systems": [{"class": name, "radius_km": RADIUS_KM[code]} for code, name in ((1, "low"), (2, "depression"))],
         "monsoon state": {"active": "anomaly of at least one deviation", "break": "anomaly of at most minus one deviation", "months": "July and August"},
-    }
+        "thresholds": [
+            {"axis": "active and break", "rule": "area-weighted land rain of the zone; anomaly by the day of the year, smoothed over 31 days, of at least one deviation for 3 consecutive days of July and August; 20 years needed", "kind": "objective stand-in"},
+            {"axis": "low", "rule": low, "kind": "objective stand-in"},
+            {"axis": "depression", "rule": "a low with a ring at least 4 hPa higher, vorticity of at least 2e-5 a second and wind of at least 8.7 m/s around it", "kind": "objective stand-in"},
+            {"axis": "separation", "rule": f"centres at least {gates.separation_degrees:g} degrees apart, the deepest first, {gates.most} a time at most", "kind": "objective stand-in"},
+            {"axis": "western disturbance", "rule": "not detected: no upstream track and no climatology of vorticity aloft", "kind": "not supported"},
+            {"axis": "orographic", "rule": "upslope flow, score 1 at 0.12 m/s", "kind": "heuristic score"},
+            {"axis": "coastal", "rule": "onshore wind, score 1 at 8 m/s, falling off over 150 km from the sea", "kind": "heuristic score"},
+            {"axis": "convective", "rule": "CAPE over 2500 J/kg times water over 60 kg/m2, each 1 at most", "kind": "heuristic score"},
+        ],
+    }
+
+
+def capability_record(status: str, move_to_learning: bool, capabilities: Mapping[str, Mapping[str, object]], data: Mapping[str, object], decision: str) -> dict:
+    """What a run could tell, as a record of several sections for `write_record`: each capability with its availability, what was detected, its kind and why."""
+    rows = [{"capability": name, "available": bool(c["available"]), "detected": c.get("detected"), "kind": c["kind"], "reason": c["reason"]} for name, c in capabilities.items()]
+    return {"status": status, "move to regime-aware learning": "YES" if move_to_learning else "NO", "capabilities": rows, "data": dict(data), "decision": decision}
+
+
+def verification_report(title: str, sections: Mapping[str, DataFrame], notes: Mapping[str, str] | None = None) -> str:
+    """Small tables of scores as one Markdown report, a section each, with a note under its heading where there is one."""
+    lines = [f"# {title}"]
+    for name, table in sections.items():
+        lines += ["", f"## {name}", ""]
+        if notes and name in notes:
+            lines += [notes[name], ""]
+        lines.append(markdown(table))
+    return "\n".join(lines) + "\n"
 
 
 def export_run(path: str, payloads: Mapping[str, object], summaries: Mapping[str, Mapping[str, object]], trained: Mapping[str, object] | None = None) -> dict:
