@@ -136,7 +136,7 @@ def select_interval(messages: DataFrame, wanted: DataFrame) -> DataFrame:
     met = wanted.join(there, span, "left")
     assert_empty(met.where("_init IS NULL").select(*span), "no message for the interval")
     assert_empty(met.where("_init <> init").select(*span, "init", "_init"), "message of another cycle")
-    mine = messages.join(F.broadcast(wanted.select(*span)), span, "left_semi").select(*span, "init", "key", "value").distinct()
+    mine = messages.join(wanted.select(*span), span, "left_semi").select(*span, "init", "key", "value").distinct()
     assert_empty(mine.groupBy(*span, "key").agg(F.count("*").alias("n")).where("n > 1"), "messages of one interval disagree")
     return mine
 

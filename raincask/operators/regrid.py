@@ -68,7 +68,7 @@ def bilinear(field: DataFrame, value: str, targets: DataFrame, by: list[str], or
     fy, fx = y - F.floor(y), x - F.floor(x)
     corner = lambda dy, dx: F.struct((F.floor(y) + dy).cast("int").alias("iy"), (F.floor(x) + dx).cast("int").alias("ix"), ((fy if dy else 1 - fy) * (fx if dx else 1 - fx)).alias("w"))
     need = targets.select("target", F.inline(F.array(corner(0, 0), corner(0, 1), corner(1, 0), corner(1, 1)))).where("w > 1e-9")
-    got = field.join(F.broadcast(need), ["iy", "ix"])
+    got = field.join(need, ["iy", "ix"])
     return got.groupBy("target", *by).agg(F.when(F.sum("w") > 1 - 1e-6, F.sum(F.col("w") * F.col(value))).alias(value))
 
 
@@ -133,7 +133,7 @@ def near_outlines(cells: DataFrame, outlines: DataFrame, step: float, bucket_cel
     side to be small.
     """
     side, half = step * bucket_cells, step / 2
-    ends = [(agg(F.transform("points", lambda p, c=c: p[c])) + F.lit(d)).alias(f"{c}{n}") for c in ("x", "y") for n, agg, d in (("0", F.array_min, -half), ("1", F.array_max, half))]
+    ends = [(agg(F.col(f"points.{c}")) + F.lit(d)).alias(f"{c}{n}") for c in ("x", "y") for n, agg, d in (("0", F.array_min, -half), ("1", F.array_max, half))]
     boxed = outlines.select("district", "points", *ends)
     for c in ("x", "y"):
         boxed = boxed.withColumn(f"b{c}", F.explode(F.sequence(F.floor(F.col(f"{c}0") / side).cast("int"), F.floor(F.col(f"{c}1") / side).cast("int"))))

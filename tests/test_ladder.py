@@ -56,7 +56,7 @@ def test_training_rows_have_probabilities_of_other_years(rows):
     assert out.count() == rows.count() and len(models) == 3
     own = B.with_probabilities(models[0], rows.where("year = 1995")).select("id", F.col("p_1").alias("q")).join(out.select("id", "p_1"), "id")
     assert own.where("abs(q - p_1) > 1e-12").count() == 0
-    left_out = B.fit(rows, FEATURES, F.col("label"), "softmax", [B.Problem(train & (F.col("year") != 1995))], classes=CLASSES, rounds=3, depth=2)[0]
+    left_out = B.fit(rows, FEATURES, F.col("label"), "softmax", [B.Problem(train & (F.col("year") != 1995)), B.Problem(train)], classes=CLASSES, rounds=3, depth=2)[0]
     assert left_out.trees == models[0].trees
 
 
