@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.rain import ratio
-from ..storage import stored
 
 # Literal edges of the ten reliability bins, as equal steps of a tenth come out in binary.
 RELIABILITY_EDGES = [i / 10 for i in range(11)]
@@ -66,34 +65,34 @@ def metric_block(df: DataFrame, fc: str, obs: str, thresholds: Sequence[float],
     return out
 
 
-def running_counts(counts: DataFrame, value: str, weights: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """counts (by, value, weights) with `<w>_below`, the sum of each weight over the smaller values of the group, and `<w>_all`.
+def running_counts(df: DataFrame, value: str, weights: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """(by, value, weights): df's sums by group and distinct value, with `<w>_below`, the sum over the group's smaller values, and `<w>_all`.
 
-    Order statistics without a window over a whole group: rows are cut into ranges of (by, value) of about
-    equal numbers, each range adds up by itself, and the ranges' totals, a few numbers each, are added to
-    them in order. So one group may hold all rows. The ranges decide where sums are made, never what
-    they are. Values of a group are distinct and not null.
+    Order statistics without a window over a whole group: about equal numbers of rows lie between
+    neighbouring cuts (one pass of approximate quantiles; as many cuts as shuffle partitions), each range of a group
+    adds up by itself, and the ranges' totals, a few numbers each, are added to them in order. So one
+    group may hold all rows. The cuts decide where sums are made, never what they are. Nulls are left out.
     """
-    spark = counts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held, _ = stored(counts.repartitionByRange(parts, *by, value).withColumn("_range", F.spark_partition_id()), "counts")
+    there = df.where(F.col(value).isNotNull())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = there.agg(F.percentile_approx(F.col(value).cast("double"), F.array(*(F.lit(k / parts) for k in range(1, parts))), 1000).alias("c")).first()["c"] if parts > 1 else None
+    place = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col(value))) if cuts else F.lit(0)
+    counts = there.groupBy(*by, value).agg(*(c.alias(w) for w, c in weights.items())).withColumn("_range", place)
     within = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    totals = held.groupBy(*by, "_range").agg(*(F.sum(w).alias(f"_t_{w}") for w in weights))  # a row for each group and range it lies in
-    order = Window.partitionBy(*by).orderBy("_range")
-    before = totals.select(*by, "_range", *(F.coalesce(F.sum(f"_t_{w}").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_b_{w}") for w in weights), *(F.sum(f"_t_{w}").over(Window.partitionBy(*by)).alias(f"{w}_all") for w in weights))
-    placed = held.withColumns({f"_w_{w}": F.coalesce(F.sum(w).over(within), F.lit(0)) for w in weights})
-    same = [placed[c].eqNullSafe(before[c]) for c in (*by, "_range")]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    out = placed.join(before, condition).select(*(placed[c] for c in counts.columns), *((F.col(f"_b_{w}") + F.col(f"_w_{w}")).alias(f"{w}_below") for w in weights), *(F.col(f"{w}_all") for w in weights))
-    return out
+    totals = counts.groupBy(*by, "_range").agg(*(F.sum(w).alias(f"_t_{w}") for w in weights))  # a row for each group and range it lies in
+    order = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*by, "_range", *(F.coalesce(F.sum(f"_t_{w}").over(order), F.lit(0)).alias(f"_b_{w}") for w in weights), *(F.sum(f"_t_{w}").over(Window.partitionBy(*by)).alias(f"{w}_all") for w in weights))
+    placed = counts.withColumns({f"_w_{w}": F.coalesce(F.sum(w).over(within), F.lit(0)) for w in weights}).alias("placed")
+    before = before.alias("before")
+    same = F.lit(True)
+    for c in (*by, "_range"):
+        same = same & F.col(f"placed.{c}").eqNullSafe(F.col(f"before.{c}"))
+    return placed.join(before, same).select(*(F.col(f"placed.{c}") for c in (*by, value, *weights)), *((F.col(f"_b_{w}") + F.col(f"_w_{w}")).alias(f"{w}_below") for w in weights), *(F.col(f"{w}_all") for w in weights))
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Rank of each value within its stratum, ties averaged; from counts of distinct values, so ties cost nothing."""
-    each = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_ties"))
-    ranks = running_counts(each, value, ["_ties"], by).select(*by, value, (F.col("_ties_below") + (F.col("_ties") + 1) / 2).alias("rank"))
+    ranks = running_counts(df, value, {"_ties": F.count("*")}, by).select(*by, value, (F.col("_ties_below") + (F.col("_ties") + 1) / 2).alias("rank"))
     return df.join(ranks, [*by, value])
 
 
@@ -104,8 +103,7 @@ def quantiles(df: DataFrame, value: str, levels: Sequence[float], by: Sequence[s
     nor the whole table is sorted in one task. A group without a value has no row; without `by` there is
     one row, whose quantiles are null if there is no value.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    placed = running_counts(counts, "_v", ["_n"], by).withColumn("_upto", F.col("_n_below") + F.col("_n"))
+    placed = running_counts(df.select(*by, F.col(value).cast("double").alias("_v")), "_v", {"_n": F.count("*")}, by).withColumn("_upto", F.col("_n_below") + F.col("_n"))
     place = [(F.col("_n_all") - 1) * F.lit(float(level)) for level in levels]
     ends = [end for p in place for end in (F.min(F.when(F.col("_upto") > F.floor(p), F.col("_v"))), F.min(F.when(F.col("_upto") > F.ceil(p), F.col("_v"))))]
     found = placed.groupBy(*by).agg(F.max("_n_all").alias("_n_all"), *(e.alias(f"_e{i}") for i, e in enumerate(ends)))
@@ -115,8 +113,7 @@ def quantiles(df: DataFrame, value: str, levels: Sequence[float], by: Sequence[s
 
 def rank_auc(df: DataFrame, value: str, event: str, by: Sequence[str]) -> DataFrame:
     """n_event, n_other, auc (null without both): the chance that an event's value is above another's, ties half."""
-    each = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(F.col(event)).alias("_e"), F.count_if(~F.col(event)).alias("_o"))
-    scored = running_counts(each, value, ["_o"], by).withColumn("_u", F.col("_e") * (F.col("_o_below") + F.col("_o") / 2))
+    scored = running_counts(df, value, {"_e": F.count_if(F.col(event)), "_o": F.count_if(~F.col(event))}, by).withColumn("_u", F.col("_e") * (F.col("_o_below") + F.col("_o") / 2))
     return scored.groupBy(*by).agg(F.sum("_e").alias("n_event"), F.sum("_o").alias("n_other"), F.sum("_u").alias("u")).withColumn("auc", ratio(F.col("u"), F.col("n_event") * F.col("n_other"))).drop("u")
 
 
