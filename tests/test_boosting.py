@@ -134,3 +134,40 @@ def test_contributions_add_up_and_match_all_subsets(table, rows):
             others = [k for k in range(3) if k != f]
             want = sum(math.factorial(n) * math.factorial(2 - n) / 6 * (value(x, {*s, f}) - value(x, set(s))) for n in range(3) for s in itertools.combinations(others, n))
             assert told[i][f] == pytest.approx(want, abs=1e-9)
+
+
+def test_equal_rows_are_added_up_and_all_count(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    n = 6000
+    a, b = rng.integers(0, 6, n), rng.integers(0, 5, n)
+    rain = np.where(rng.random(n) < 0.3, 0.0, np.round(rng.gamma(1.0, 4.0 + 3 * a) * 16) / 16)
+    rows = [(float(a[i]), None if b[i] == 4 else float(b[i]), float(rain[i]), int(rain[i] > 6) + int(a[i] > 3), ("train", "train", "val", "test")[i % 4]) for i in range(n)]
+    df = spark.createDataFrame(rows, "a double, b double, rain double, kind int, part string").repartition(3).cache()
+    train, valid, lines = F.col("part") == "train", F.col("part") == "val", []
+    histograms = B._histograms
+    monkeypatch.setattr(B, "_histograms", lambda table, *rest: (lines or lines.append(table.agg(F.count("*"), F.sum("n")).first()), histograms(table, *rest))[1])
+    for loss, target, classes in (("tweedie", F.col("rain"), (0,)), ("softmax", F.col("kind"), (0, 1, 2))):
+        fits = []
+        for fold in (3, 1e9):
+            monkeypatch.setattr(B, "FOLD", fold)
+            lines.clear()
+            fits.append(B.fit(df, ["a", "b"], target, loss, [B.Problem(train, valid), B.Problem(train & (F.col("a") > 1), valid)], rounds=1, depth=2, classes=classes))
+            assert lines[0][1] == 4500 and (lines[0][0] <= 6 * 5 * 3 if fold == 3 else lines[0][0] == 4500)
+        for folded, plain in zip(*fits):
+            assert folded.edges == plain.edges and folded.start == pytest.approx(plain.start) and np.allclose(folded.history, plain.history, rtol=1e-4)
+            for ours, theirs in zip(folded.trees, plain.trees):
+                for s, t in zip(ours, theirs):
+                    assert (s.feature, s.bin, s.left, s.cover) == (t.feature, t.bin, t.left, t.cover) and np.allclose(s.value, t.value, atol=1e-5)
+
+
+def test_sums_of_lines_are_those_of_their_rows():
+    rng = np.random.default_rng(12)
+    for loss, outputs in (("squared", 1), ("tweedie", 1), ("logistic", 1), ("softmax", 3)):
+        y = rng.gamma(1.0, 9.0, 50) if loss in ("squared", "tweedie") else rng.integers(0, max(2, outputs), 50).astype(float)
+        margin = np.repeat(rng.normal(size=(1, outputs)), 50, axis=0)
+        parts = (y[:, None] == np.arange(outputs)).astype(float) if loss == "softmax" else y[:, None]
+        constant = y * y if loss == "squared" else y**0.7 if loss == "tweedie" else 0 * y
+        line = np.array([50.0]), parts.sum(axis=0, keepdims=True), np.array([constant.sum()]), margin[:1]
+        assert np.allclose(B._line_losses(loss, *line, 1.3), B.mean_loss(loss, y, margin).sum())
+        for ours, rows in zip(B._line_gradients(loss, line[0], line[1], line[3], 1.3), B.gradients(loss, y, margin)):
+            assert np.allclose(ours[0], rows.sum(axis=0))
