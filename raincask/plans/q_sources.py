@@ -129,13 +129,13 @@ def s15(spark, d):
 
 
 def _written(spark, df, form, **options):
-    """df written by one of the grid sources, a file to a partition, and read back."""
+    """df written by one of the grid sources, a file to a partition in the order of its records, and read back."""
     from ..sources import grids
     from ..storage import shared_dir
 
     grids.register(spark)
     path = f"{shared_dir(spark)}/raincask/{form}-{uuid.uuid4().hex}"
-    df.repartition("file").write.format(form).options(**options).mode("append").save(path)
+    df.repartition("file").sortWithinPartitions("file", "record", *[c for c in df.columns if c == "time"]).write.format(form).options(**options).mode("append").save(path)
     return spark.read.format(form).options(**options, records="7").load(path), path
 
 

@@ -13,13 +13,15 @@ import datetime as dt
 import math
 import re
 import struct
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 
 class GridError(ValueError):
@@ -73,6 +75,33 @@ def _masked(values: np.ndarray, missing: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.float64), pa.float64(), mask=missing | ~np.isfinite(values))
 
 
+class _Spool:
+    """Rows of a file on their way into it, in an unnamed temporary file: a task holds one record and one batch. Rows in the order of records are read once or twice."""
+
+    def __init__(self, kind: np.dtype, key: str):
+        self.kind, self.key, self.parts, self.last = kind, key, [], -1
+        self.disk = tempfile.TemporaryFile()
+
+    def add(self, rows: np.ndarray, last: int = -1) -> None:
+        self.last = max(self.last, last)
+        if len(rows):
+            self.parts.append((self.disk.tell(), len(rows), rows[self.key].min(), rows[self.key].max()))
+            self.disk.write(rows.tobytes())
+
+    def rows(self, key) -> Iterator[np.ndarray]:
+        for offset, n, low, high in self.parts:
+            if low <= key <= high:
+                self.disk.seek(offset)
+                rows = np.frombuffer(self.disk.read(n * self.kind.itemsize), self.kind)
+                yield rows[rows[self.key] == key]
+
+
+def _by_file(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
+    for batch in batches:
+        for name in batch["file"].unique().to_pylist() if batch.num_rows else []:
+            yield name, batch.filter(pc.equal(batch["file"], name))
+
+
 # ---------------------------------------------------------------- raw daily grids
 RAW = [("file", pa.string()), ("record", pa.int32()), ("iy", pa.int32()), ("ix", pa.int32()), ("value", pa.float64())]
 RAW_SCHEMA = "file string, record int, iy int, ix int, value double"
@@ -83,7 +112,7 @@ class RawGrids(DataSource):
 
     Options: ny, nx; fill (values at or below it are missing, -998 by default); records (a task, 64 by
     default). A file whose size fits no whole number of fields is an error. Writing takes rows of
-    (file, record, iy, ix, value), all rows of a file in one partition, and gives missing cells -999.
+    (file, record, iy, ix, value), all rows of a file in one partition and best in the order of records, and gives missing cells -999.
     """
 
     @classmethod
@@ -118,29 +147,33 @@ class RawReader(DataSourceReader):
         iy, ix = np.divmod(np.arange(cells, dtype=np.int32), np.int32(self.nx))
         for record in range(part.first, part.stop):
             values = np.frombuffer(read_bytes(part.path, 4 * cells * record, 4 * cells), "<f4")
-            yield _batch(RAW, [pa.array([part.path.rsplit("/", 1)[-1]] * cells), np.full(cells, record, np.int32), iy, ix, _masked(values, values <= self.fill)])
+            yield _batch(RAW, [pa.repeat(part.path.rsplit("/", 1)[-1], cells), np.full(cells, record, np.int32), iy, ix, _masked(values, values <= self.fill)])
 
 
-class RawWriter(DataSourceWriter):
+class RawWriter(DataSourceArrowWriter):
     def __init__(self, options):
         self.path, self.ny, self.nx = options["path"], int(options["ny"]), int(options["nx"])
 
-    def write(self, rows) -> WriterCommitMessage:
-        fields: dict[tuple[str, int], np.ndarray] = {}
-        for file, record, iy, ix, value in rows:
-            field = fields.setdefault((file, record), np.full((self.ny, self.nx), -999.0, "<f4"))
-            if value is not None:
-                field[iy, ix] = value
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        kind = np.dtype([("record", "<i8"), ("iy", "<i4"), ("ix", "<i4"), ("value", "<f4")])
+        files: dict[str, _Spool] = {}
+        for name, batch in _by_file(iterator):
+            there = batch["value"].is_valid().to_numpy(zero_copy_only=False)
+            rows = np.empty(len(there), kind)
+            for c in kind.names:
+                rows[c] = batch[c].to_numpy(zero_copy_only=False)
+            files.setdefault(name, _Spool(kind, "record")).add(rows[there], int(rows["record"].max()))
         store, at = _store(self.path)
         store.create_dir(at, recursive=True)
-        for name in sorted({f for f, _ in fields}):
-            last = max(r for f, r in fields if f == name)
-            empty = np.full((self.ny, self.nx), -999.0, "<f4")
+        for name, spool in sorted(files.items()):
             # Written aside and moved, so that a task that runs twice leaves one whole file.
             aside = f"{at}/.{name}-{np.random.default_rng().integers(1 << 62)}"
             with store.open_output_stream(aside) as out:
-                for r in range(last + 1):
-                    out.write(fields.get((name, r), empty).tobytes())
+                for r in range(spool.last + 1):
+                    field = np.full((self.ny, self.nx), -999.0, "<f4")
+                    for rows in spool.rows(r):
+                        field[rows["iy"], rows["ix"]] = rows["value"]
+                    out.write(field.tobytes())
             store.move(aside, f"{at}/{name}")
         return WriterCommitMessage()
 
@@ -284,7 +317,7 @@ class NetcdfFields(DataSource):
 
     Options: variable; records (a task, 64 by default). A coordinate is the variable of its dimension's
     name, or the position where there is none. `time` is a number in the units of the file (`time_units`).
-    Writing takes the same rows, all rows of a file in one partition, and makes files of version 2.
+    Writing takes the same rows, all rows of a file in one partition and best in the order of time, and makes files of version 2.
     """
 
     @classmethod
@@ -331,11 +364,20 @@ class NetcdfReader(DataSourceReader):
         y, x = (a.ravel() for a in np.meshgrid(axes[1], axes[2], indexing="ij"))
         for record in range(part.first, part.stop):
             n = len(y)
-            yield _batch(self.FIELDS, [pa.array([part.path.rsplit("/", 1)[-1]] * n), np.full(n, record, np.int32), np.full(n, axes[0][record]), pa.array([units] * n, pa.string()), y, x, unpacked(v, slab(part.path, header, v, record, record + 1))])
+            yield _batch(self.FIELDS, [pa.repeat(part.path.rsplit("/", 1)[-1], n), np.full(n, record, np.int32), np.full(n, axes[0][record]), pa.repeat(pa.scalar(units, pa.string()), n), y, x, unpacked(v, slab(part.path, header, v, record, record + 1))])
 
 
 def classic_file(variable: str, units: str, time: np.ndarray, y: np.ndarray, x: np.ndarray, values: np.ndarray, attributes: dict[str, str] | None = None) -> bytes:
     """A version-2 classic file of one variable (time, y, x) in doubles, NaN stored as the fill value -999, time being the record dimension."""
+    return _classic_head(variable, units, len(time), y, x, attributes) + b"".join(_classic_record(t, v) for t, v in zip(time, values))
+
+
+def _classic_record(time: float, values: np.ndarray) -> bytes:
+    return np.array([time], ">f8").tobytes() + np.where(np.isnan(values), -999.0, values).astype(">f8").tobytes()
+
+
+def _classic_head(variable: str, units: str, records: int, y: np.ndarray, x: np.ndarray, attributes: dict[str, str] | None = None) -> bytes:
+    """All of a classic file that comes before its records."""
     def text(s: str) -> bytes:
         raw = s.encode()
         return struct.pack(">i", len(raw)) + raw + b"\0" * (-len(raw) % 4)
@@ -353,32 +395,41 @@ def classic_file(variable: str, units: str, time: np.ndarray, y: np.ndarray, x:
 
     def header(begins: list[int]) -> bytes:
         of = [text(name) + struct.pack(f">i{len(ids)}i", len(ids), *ids) + listed(_ATTRIBUTE, own_attributes) + struct.pack(">iiq", 6, size, begin) for (name, ids, own_attributes, size), begin in zip(own, begins)]
-        return b"CDF\x02" + struct.pack(">i", len(time)) + dims + listed(_ATTRIBUTE, [words(k, v) for k, v in (attributes or {}).items()]) + listed(_VARIABLE, of)
+        return b"CDF\x02" + struct.pack(">i", records) + dims + listed(_ATTRIBUTE, [words(k, v) for k, v in (attributes or {}).items()]) + listed(_VARIABLE, of)
 
     start = len(header([0] * 4))
     begins = [start, start + 8 * len(y), start + 8 * (len(y) + len(x)), start + 8 * (len(y) + len(x) + 1)]
-    stored = np.where(np.isnan(values), -999.0, values).astype(">f8")
-    records = b"".join(np.array([t], ">f8").tobytes() + v.tobytes() for t, v in zip(time, stored))
-    return header(begins) + y.astype(">f8").tobytes() + x.astype(">f8").tobytes() + records
+    return header(begins) + y.astype(">f8").tobytes() + x.astype(">f8").tobytes()
 
 
-class NetcdfWriter(DataSourceWriter):
+class NetcdfWriter(DataSourceArrowWriter):
     def __init__(self, options):
         self.path, self.variable = options["path"], options["variable"]
 
-    def write(self, rows) -> WriterCommitMessage:
-        files: dict[str, list] = {}
-        for file, _, time, units, y, x, value in rows:
-            files.setdefault(file, []).append((time, units, y, x, math.nan if value is None else value))
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        kind = np.dtype([("time", "<f8"), ("y", "<f8"), ("x", "<f8"), ("value", "<f8")])
+        files: dict[str, tuple[_Spool, str, dict]] = {}
+        for name, batch in _by_file(iterator):
+            rows = np.empty(batch.num_rows, kind)
+            for c in kind.names:
+                rows[c] = batch[c].cast(pa.float64()).fill_null(math.nan).to_numpy(zero_copy_only=False)
+            if name not in files:
+                files[name] = _Spool(kind, "time"), batch["time_units"][0].as_py() or "", {c: set() for c in kind.names[:3]}
+            files[name][0].add(rows)
+            for c, found in files[name][2].items():
+                found.update(np.unique(rows[c]).tolist())
         store, at = _store(self.path)
         store.create_dir(at, recursive=True)
-        for name, cells in files.items():
-            axes = [np.unique([c[k] for c in cells]) for k in (0, 2, 3)]
-            field = np.full([len(a) for a in axes], np.nan)
-            field[tuple(np.searchsorted(a, [c[k] for c in cells]) for a, k in zip(axes, (0, 2, 3)))] = [c[4] for c in cells]
+        for name, (spool, units, found) in files.items():
+            time, y, x = (np.array(sorted(f)) for f in found.values())
             aside = f"{at}/.{name}-{np.random.default_rng().integers(1 << 62)}"
             with store.open_output_stream(aside) as out:
-                out.write(classic_file(self.variable, cells[0][1] or "", *axes, field))
+                out.write(_classic_head(self.variable, units, len(time), y, x))
+                for t in time:
+                    field = np.full((len(y), len(x)), np.nan)
+                    for rows in spool.rows(t):
+                        field[np.searchsorted(y, rows["y"]), np.searchsorted(x, rows["x"])] = rows["value"]
+                    out.write(_classic_record(t, field))
             store.move(aside, f"{at}/{name}")
         return WriterCommitMessage()
 
