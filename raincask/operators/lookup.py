@@ -15,6 +15,10 @@ from pyspark.sql.window import Window
 from ..storage import stored
 
 
+#: Rows of a table that a task may be sent whole.
+BROADCAST_ROWS = 10_000
+
+
 def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], value: str, default) -> DataFrame:
     """Left join with a default where the table has no row."""
     return df.join(table.select(*keys, value), list(keys), "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
@@ -23,9 +27,12 @@ def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], value: str, def
 def fallback_lookup(df: DataFrame, table: DataFrame, exact: Sequence[str], wide: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Values of the row for all keys, else of the row whose other keys are null."""
     narrow = [k for k in exact if k not in wide]
+    table, _ = stored(table.select(*exact, *values), "lookup")
     some = table.where(F.col(narrow[0]).isNotNull()).select(*exact, *(F.col(v).alias(f"_e_{v}") for v in values))
     whole = table.where(F.col(narrow[0]).isNull()).select(*wide, *(F.col(v).alias(f"_w_{v}") for v in values))
-    out = df.join(some, list(exact), "left").join(whole, list(wide), "left")
+    # A table of few rows goes to all tasks: joined by its keys, all rows of a key would lie in one.
+    near = F.broadcast if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda t: t
+    out = df.join(near(some), list(exact), "left").join(near(whole), list(wide), "left")
     return out.select(*df.columns, *(F.coalesce(f"_e_{v}", f"_w_{v}").alias(v) for v in values))
 
 
