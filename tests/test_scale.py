@@ -75,3 +75,12 @@ def test_raw_writer_takes_batches(tmp_path):
     want = np.full((3, 2, 2), -999.0, "<f4")
     want[2, 1, 0], want[0, 1, 1] = 5.0, 2.5
     assert (tmp_path / "a").read_bytes() == want.tobytes() and np.frombuffer((tmp_path / "b").read_bytes(), "<f4").tolist() == [-999.0, 1.5, *[-999.0] * 6]
+
+
+def test_stability_of_many_groups_is_that_of_few(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(int(i % 3), "ab"[int(i % 2)], float(x)) for i, x in enumerate(rng.gamma(1.0, 9.0, 600).round(1))], "g int, side string, x double")
+    told = lambda: sorted((r.g, round(r.psi, 9), r.bins) for r in scores.stability_index(df, "x", "side", "a", "b", ["g"]).collect())
+    few = told()
+    monkeypatch.setattr(scores, "BROADCAST_GROUPS", 0)
+    assert told() == few and len(few) == 3
