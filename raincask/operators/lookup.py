@@ -42,6 +42,8 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 #: Archive rows and queries of a block, on average in the largest stratum, and numbers of a table of distances.
 BLOCK_ROWS, BLOCK_QUERIES, BLOCK_CELLS = 16_384, 8_192, 1 << 22
+#: Boxes of lines for each block of rows.
+BLOCK_BOXES = 8
 
 
 def _vectors(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +145,12 @@ def nearest(queries: DataFrame, archive: DataFrame, by: Sequence[str], qid: str,
 
 
 def nearest_lines(queries: DataFrame, lines: DataFrame, by: Sequence[str], vector: str, need: str, weight: str) -> DataFrame:
-    """(by, vector, distance, weight): for each query vector of few dimensions, the nearest lines that together stand for `need` rows.
+    """(by, vector, distance, weight): `nearest_lists` with a row for each query and line."""
+    return nearest_lists(queries, lines, by, vector, need, weight).select(*by, vector, F.inline("_near")).withColumnRenamed("_n", weight)
+
+
+def nearest_lists(queries: DataFrame, lines: DataFrame, by: Sequence[str], vector: str, need: str, weight: str) -> DataFrame:
+    """(by, vector, _near: array of (distance, _n)): for each query vector of few dimensions, the nearest lines that together stand for `need` rows, a list from each box.
 
     queries: (by, vector, need), lines: (by, vector, weight), a line for each distinct vector, whose
     weight says how many rows it stands for. Cuts at approximate quantiles make boxes of lines. A query
@@ -151,14 +158,15 @@ def nearest_lines(queries: DataFrame, lines: DataFrame, by: Sequence[str], vecto
     then meets the boxes within that distance alone.
     """
     by, size = list(by), lines.select(F.max(F.size(vector))).first()[0] or 0
-    cells = max(1, math.ceil(_largest(lines, by) / BLOCK_ROWS))
+    cells = max(1, math.ceil(_largest(lines, by) * BLOCK_BOXES / BLOCK_ROWS))
     sides = max(1, math.ceil(cells ** (1 / max(size, 1))))
     share = F.array(*(F.lit(i / sides) for i in range(1, sides)))
     cuts = list(lines.select(*(F.percentile_approx(F.col(vector)[c], share, 1000) for c in range(size))).first()) if sides > 1 else []
-    spot = sum((F.size(F.filter(F.array(*map(F.lit, sorted(set(cut)))), lambda x, c=c: x <= F.col(vector)[c])) * sides**c for c, cut in enumerate(cuts)), F.lit(0))
+    reached = lambda c: lambda x: x <= F.col(vector)[c]
+    spot = sum((F.size(F.filter(F.array(*map(F.lit, sorted(set(cut)))), reached(c))) * sides**c for c, cut in enumerate(cuts)), F.lit(0))
     placed = lines.select(*by, F.col(vector).alias("_a"), F.col(weight).cast("long").alias("_n"), spot.cast("long").alias("_box"))
     asked = queries.select(*by, F.col(vector).alias("_q"), F.col(need).cast("long").alias("_need"), spot.cast("long").alias("_box")).withColumn("_far", F.lit(float("inf")))
-    boxes = placed.groupBy(*by, "_box").agg(F.array(*(F.min(F.col("_a")[c]) for c in range(size))).alias("_low"), F.array(*(F.max(F.col("_a")[c]) for c in range(size))).alias("_high"))
+    boxes = placed.groupBy(*by, "_box").agg(F.count("*").alias("_lines"), *(end(F.col("_a")[c]).alias(f"{name}{c}") for c in range(size) for name, end in (("_low", F.min), ("_high", F.max))))
     keys = [*by, "_box", "_qb"]
 
     def meet(asked: DataFrame, farthest: bool) -> DataFrame:
@@ -179,16 +187,21 @@ def nearest_lines(queries: DataFrame, lines: DataFrame, by: Sequence[str], vecto
                 one = left.select([*by, "_q", "_need"])
                 return one.append_column("_far", pa.array(far, pa.float64()))
             near = distance <= left["_far"].to_numpy()[i]
-            one = left.take(i[near])
-            return pa.table({**{c: one[c] for c in (*by, "_q")}, "distance": pa.array(distance[near]), "_n": right["_n"].take(j[near])})
+            i, j, distance = i[near], j[near], distance[near]
+            first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])[: len(i)])
+            one = left.take(i[first])
+            each = pa.StructArray.from_arrays([pa.array(distance, pa.float64()), pa.array(n[j], pa.int64())], ["distance", "_n"])
+            return pa.table({**{c: one[c] for c in (*by, "_q")}, "_near": pa.ListArray.from_arrays(pa.array([*first, len(i)], pa.int32()), each)})
 
         fields = [split.schema[c] for c in (*by, "_q")]
-        more = [T.StructField("_need", T.LongType()), T.StructField("_far", T.DoubleType())] if farthest else [T.StructField("distance", T.DoubleType()), T.StructField("_n", T.LongType())]
+        more = [T.StructField("_need", T.LongType()), T.StructField("_far", T.DoubleType())] if farthest else [T.StructField("_near", T.ArrayType(T.StructType([T.StructField("distance", T.DoubleType()), T.StructField("_n", T.LongType())])))]
         return split.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInArrow(run, T.StructType([*fields, *more]))
 
-    gap = F.aggregate(F.zip_with(F.zip_with("_low", "_q", lambda a, b: F.greatest(a - b, F.lit(0.0))), F.zip_with("_q", "_high", lambda a, b: F.greatest(a - b, F.lit(0.0))), lambda a, b: a * a + b * b), F.lit(0.0), lambda s, x: s + x)
+    beyond = [F.greatest(F.col(f"_low{c}") - F.col("_q")[c], F.col("_q")[c] - F.col(f"_high{c}"), F.lit(0.0)) for c in range(size)]
+    gap = sum((x * x for x in beyond), F.lit(0.0))
     bounded, _ = stored(meet(asked, True), "nearest")
     # A margin for the last bits, in which a bound may differ from a distance.
     boxes = boxes.select(*(F.col(c).alias(c) for c in boxes.columns))  # columns of their own, as lines are met again
-    again = bounded.join(F.broadcast(boxes) if boxes.count() <= BLOCK_ROWS else boxes, by).where(F.sqrt(gap) <= F.col("_far") * (1 + 1e-9)).drop("_low", "_high")
-    return meet(again, False).select(*by, F.col("_q").alias(vector), "distance", F.col("_n").alias(weight))
+    again = bounded.join(F.broadcast(boxes) if boxes.count() <= BLOCK_ROWS else boxes, by).where(F.sqrt(gap) <= F.col("_far") * (1 + 1e-9)).select(*by, "_q", "_need", "_far", "_box")
+    again, _ = stored(again, "boxes")
+    return meet(again, False).select(*by, F.col("_q").alias(vector), "_near")
